@@ -143,3 +143,8 @@ def model_input(orders: DataFrame, model: str, key: str = "order_id") -> DataFra
             for c in categorical
         ],
     )
+
+
+def cap_batch(orders: DataFrame, max_orders: int | None) -> DataFrame:
+    """At most ``max_orders`` uploaded rows; None (the default use) keeps them all."""
+    return orders if max_orders is None else orders.limit(max_orders)

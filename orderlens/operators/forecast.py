@@ -23,7 +23,7 @@ def monthly_orders(orders: DataFrame, min_orders: int) -> DataFrame:
     bought = F.col("order_purchase_timestamp")
     return (
         orders.where(bought.isNotNull())
-        .groupBy(F.date_trunc("month", bought.cast("timestamp_ntz")).cast("date").alias("month"))
+        .groupBy(F.trunc(bought.cast("date"), "month").alias("month"))
         .agg(F.count(F.lit(1)).alias("orders"))
         .where(F.col("orders") >= min_orders)
     )

@@ -18,6 +18,9 @@ from orderlens.session import checkpointed
 # opened four times as wide on each side, and the result is verified against it.
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 4.0 / SKETCH_ACCURACY
+# Up to this many values the margin is too few ranks wide to rely on; all values
+# of so small a column are counted instead.
+UNBRACKETED_UP_TO = 20_000
 
 
 def exact_quantiles(
@@ -49,23 +52,25 @@ def exact_quantiles(
         for p in probabilities:
             low = edges.index(min(max(p - BRACKET_MARGIN, 0.0), 1.0))
             high = edges.index(min(max(p + BRACKET_MARGIN, 0.0), 1.0))
-            cuts = sketch[name]["cuts"]
+            cuts, n = sketch[name]["cuts"], sketch[name]["n"]
+            wide = n > UNBRACKETED_UP_TO
             targets.append(F.struct(
                 F.lit(name).alias("metric"),
                 F.lit(float(p)).alias("probability"),
                 F.col(name).alias("value"),
-                F.get(cuts, F.lit(low)).alias("low"),
-                F.get(cuts, F.lit(high)).alias("high"),
-                sketch[name]["n"].alias("n"),
+                F.when(wide, F.get(cuts, F.lit(low))).alias("low"),
+                F.when(wide, F.get(cuts, F.lit(high))).alias("high"),
+                n.alias("n"),
             ))
     rows = (
         values.select(F.inline(F.array(*targets)))
-        .where(F.col("value").isNotNull() & (F.col("value") <= F.col("high")))
+        .where(F.col("value").isNotNull() & F.coalesce(F.col("value") <= F.col("high"), F.lit(True)))
     )
     # Everything under the bracket collapses into one counted row (null value).
     counted = rows.groupBy(
         "metric", "probability", "n",
-        F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"),
+        F.when(F.coalesce(F.col("value") >= F.col("low"), F.lit(True)), F.col("value"))
+        .alias("value"),
     ).agg(F.count(F.lit(1)).alias("copies"))
 
     upward = Window.partitionBy("metric", "probability").orderBy(F.col("value").asc_nulls_first())
