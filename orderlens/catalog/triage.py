@@ -462,11 +462,10 @@ def batch_cap(spark, sf_dir):
 
 @query("j13_scored_with_uploads", """
     WITH uploads AS (
-        SELECT order_id, max_by(category, (order_item_id, product_id, seller_id, price))
-                   AS main_category,
-               max_by(seller_state, (order_item_id, product_id, seller_id, price))
-                   AS customer_state
-        FROM item_lines GROUP BY order_id)
+        SELECT order_id, category AS main_category, seller_state AS customer_state FROM (
+            SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_item_id DESC,
+                       product_id DESC, seller_id DESC, price DESC) AS rn FROM item_lines) x
+        WHERE rn = 1)
     SELECT s.order_id, round(s.delay_probability, 4) AS delay_probability,
            coalesce(u.main_category, 'unknown') AS main_category,
            coalesce(u.customer_state, 'unknown') AS customer_state

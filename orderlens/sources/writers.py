@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions import scalar as S
 from orderlens.operators.risk import action_queue_export
+from orderlens.session import staged
 
 
 def replace_table(df: DataFrame, path: str) -> int:
@@ -26,83 +24,99 @@ def merge_rows(
     With ``order`` a key that comes twice in the batch keeps its last row only.
     Incoming rows with a null key are appended and replace nothing.
     """
-    if order is not None:
-        last = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-        keyed = incoming.where(F.col(key).isNotNull()).withColumn("_last", last)
-        incoming = (
-            keyed.where(F.col("_last") == 1).drop("_last")
-            .unionByName(incoming.where(F.col(key).isNull()))
-        )
-    keys = incoming.where(F.col(key).isNotNull()).select(key).distinct()
-    return stored.join(keys, key, "left_anti").unionByName(incoming, allowMissingColumns=True)
-
-
-class VersionedTable:
-    """A Parquet table whose versions are directories and whose head is a pointer.
-
-    A version is written completely before the pointer moves, and a path being
-    read is never overwritten, so a job killed half-way leaves the old version
-    readable.  A batch that is replayed finds its own version and does nothing.
+    batch = incoming if order is None else last_per_key(incoming, key, order)
+    keys = batch.where(F.col(key).isNotNull()).select(key).distinct()
+    return stored.join(keys, key, "left_anti").unionByName(batch, allowMissingColumns=True)
+
+
+def last_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """The row with the highest ``order`` per key; rows without a key all stay.
+
+    ``max_by`` combines on the map side, so copies of a hot key never meet.
     """
+    row = F.struct(*[F.col(c) for c in batch.columns])
+    latest = (
+        batch.where(F.col(key).isNotNull()).groupBy(key)
+        .agg(F.max_by(row, F.col(order)).alias("row")).select("row.*")
+    )
+    return latest.unionByName(batch.where(F.col(key).isNull()))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(conf).exists(location)
+
+
+def _delete_partition(spark: SparkSession, path: str, name: str, value: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    location = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={value}")
+    location.getFileSystem(conf).delete(location, True)
+
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
-    def _head(self) -> dict | None:
-        fs, jvm = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.root}/HEAD.json")
-        if not fs.exists(pointer):
-            return None
-        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/HEAD.json")
-                          .first()[0])
-
-    def _move_head(self, version: str, batch: str | None) -> None:
-        fs, jvm = self._fs()
-        staged = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_head-{uuid.uuid4().hex}")
-        out = fs.create(staged, True)
-        out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
-        out.close()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.root}/HEAD.json")
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            staged.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
-        )
-        overwrite = self.spark.sparkContext._gateway.new_array(
-            jvm.org.apache.hadoop.fs.Options.Rename, 1
-        )
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(staged, pointer, overwrite)
-
-    def exists(self) -> bool:
-        return self._head() is not None
-
-    def read(self) -> DataFrame:
-        head = self._head()
-        if head is None:
-            raise FileNotFoundError(f"table {self.root} has no version yet")
-        return self.spark.read.parquet(f"{self.root}/{head['version']}")
-
-    def upsert(
-        self, incoming: DataFrame, key: str = "order_id", batch: str | None = None,
-        order: str | None = None,
-    ) -> int:
-        """Merge a batch and return the table's row count."""
-        head = self._head()
-        if head is not None and batch is not None and head["batch"] == batch:
-            return self.read().count()
-        if head is None:
-            empty = incoming.limit(0)
-            merged = merge_rows(empty, incoming, key, order)
-        else:
-            merged = merge_rows(self.read(), incoming, key, order)
-        version = f"v-{batch or uuid.uuid4().hex}"
-        merged.write.mode("overwrite").parquet(f"{self.root}/{version}")
-        self._move_head(version, batch)
-        return self.read().count()
+PART = "part"
+
+
+def month_part(moment: str = "order_purchase_timestamp") -> Column:
+    """Partition value of an order table: the purchase month."""
+    return F.coalesce(F.date_format(moment, "yyyy-MM"), F.lit("unknown"))
+
+
+def key_part(key: str = "order_id", parts: int = 16) -> Column:
+    """Partition value of a table without a natural one: a hash slot of the key."""
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(parts)).cast("string"), F.lit("unknown"))
+
+
+def upsert_table(
+    incoming: DataFrame, path: str, key: str = "order_id", part: Column | None = None,
+    order: str | None = None,
+) -> int:
+    """Merge a batch into a partitioned Parquet table; returns its row count.
+
+    Only the partitions the batch touches are read and rewritten (dynamic
+    partition overwrite): those of its own rows and those holding older rows of
+    its keys.  Orders arrive by purchase time, so a batch touches a month or two
+    of a table of any age.  Spark moves the new files in when the job commits;
+    running the same batch again gives the same table, so a job that dies half
+    way is simply run again.
+    """
+    spark = incoming.sparkSession
+    if order is not None:
+        incoming = last_per_key(incoming, key, order)
+    batch = staged(incoming.withColumn(PART, part if part is not None else key_part(key)), "batch")
+    if _exists(spark, path):
+        stored = spark.read.schema(batch.schema).parquet(path)
+        keys = batch.where(F.col(key).isNotNull()).select(key).distinct()
+        older = stored.select(key, PART).join(keys, key, "left_semi").select(PART)
+        # partition names only: bounded by the table's partition count
+        touched = [r[0] for r in batch.select(PART).union(older).distinct().collect()]
+        kept = stored.where(F.col(PART).isin(touched)).join(keys, key, "left_anti")
+        merged = kept.unionByName(batch)
+    else:
+        touched, merged = [], batch
+    (
+        merged.hint("rebalance", PART)  # splits a hot partition's rows over several files
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PART).parquet(path)
+    )
+    if touched:
+        left = {r[0] for r in batch.select(PART).distinct().collect()}
+        moved_out = [t for t in touched if t not in left]
+        if moved_out:
+            # partitions whose every row moved elsewhere got no new files
+            rest = spark.read.schema(batch.schema).parquet(path)
+            emptied = (
+                rest.where(F.col(PART).isin(moved_out)).join(keys, key, "left_anti")
+                .select(PART).distinct()
+            )
+            for name in set(moved_out) - {r[0] for r in emptied.collect()}:
+                _delete_partition(spark, path, PART, name)
+    return spark.read.schema(batch.schema).parquet(path).count()
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """An upserted table without its partition column."""
+    return spark.read.parquet(path).drop(PART)
 
 
 def storage_form(df: DataFrame) -> DataFrame:
