@@ -111,7 +111,7 @@ def upsert(spark, sf_dir):
     orders = view(spark, sf_dir, "v_orders").select(
         "order_id", "order_status", "order_purchase_timestamp"
     )
-    part = writers.month_part()
+    part = writers.period_part(pattern="yyyy")
     writers.upsert_table(
         orders.where(F.col("order_status") != "shipped"), path, part=part
     )
@@ -208,28 +208,27 @@ def corpus_json(spark, sf_dir):
     star_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), "text", "source"
     ).write.json(path)
-    return readers.read_corpus(spark, path).groupBy("source").agg(
+    return readers.read_corpus(spark, path, one_per_line=True).groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).cast("bigint").alias("chars")
     )
 
 
-_SLICED = """
-    SELECT order_id, row_number() OVER (ORDER BY order_purchase_timestamp ASC NULLS LAST, order_id)
-               AS r, order_purchase_timestamp FROM v_orders
-"""
-
-
-@query("i1_i2_chronological_slices", f"""
-    SELECT order_id, CAST(ceil(r / 2000.0E0) AS BIGINT) AS slice FROM ({_SLICED}) s
-    WHERE r > 2000 AND r <= 6000
+@query("i1_i2_chronological_slices", """
+    SELECT order_id, CAST(ceil(r / ceil(n / 4.0E0)) AS BIGINT) AS slice FROM (
+        SELECT order_id, count(*) OVER () AS n, row_number() OVER (
+            ORDER BY order_purchase_timestamp ASC NULLS LAST, order_id) AS r FROM v_orders) s
 """)
 def chronological_slices(spark, sf_dir):
     orders = view(spark, sf_dir, "v_orders")
-    state, parts = ingest.IngestState(), []
-    for number in (1, 2, 3):
-        batch, state = ingest.next_slice(orders, state)
-        parts.append(batch.select("order_id", F.lit(number).cast("bigint").alias("slice")))
-    return parts[1].unionByName(parts[2])
+    size = -(-orders.count() // 4)
+    state, slices = ingest.IngestState(), None
+    while True:
+        batch, advanced = ingest.next_slice(orders, state, size)
+        if advanced.cursor == state.cursor:
+            return slices
+        part = batch.select("order_id", F.lit(advanced.runs).cast("bigint").alias("slice"))
+        slices = part if slices is None else slices.unionByName(part)
+        state = advanced
 
 
 @query("i3_remaining", """
@@ -253,7 +252,7 @@ def stream_replay(spark, sf_dir):
     # files in purchase-time order, so that micro-batches arrive chronologically
     tables["orders"].repartitionByRange(3, "order_purchase_timestamp").write.parquet(source)
     ingest.stream_ingest(
-        spark, source, "orders", tables, root, scratch_path(spark, "stream")
+        spark, source, "orders", tables, root, scratch_path(spark, "stream"), period="yyyy"
     ).awaitTermination()
     level = writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}")
     labels = writers.read_upserted(spark, f"{root}/{FEATURES_TABLE}")
@@ -270,14 +269,15 @@ def late_reviews(spark, sf_dir):
     root = scratch_path(spark, "gold")
     tables = order_tables(spark, sf_dir)
     early = {**tables, "reviews": tables["reviews"].where(F.col("review_answer_timestamp").isNull())}
+    part = writers.period_part(pattern="yyyy")
     level = build_order_level(early)
-    writers.upsert_table(level, f"{root}/{ORDERS_TABLE}", part=writers.month_part())
+    writers.upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part)
     features_now = features.feature_table(level).join(
         level.select("order_id", "order_purchase_timestamp"), "order_id")
-    writers.upsert_table(features_now, f"{root}/{FEATURES_TABLE}", part=writers.month_part())
+    writers.upsert_table(features_now, f"{root}/{FEATURES_TABLE}", part=part)
     # the answered reviews arrive later and change their orders
     answered = tables["reviews"].where(F.col("review_answer_timestamp").isNotNull())
-    ingest.ingest_orders(tables, ingest.changed_orders(answered), root)
+    ingest.ingest_orders(tables, ingest.changed_orders(answered), root, period="yyyy")
     return writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}").select(
         "order_id", big("review_score")
     )

@@ -72,8 +72,11 @@ def lookup(table: DataFrame, ids: DataFrame, *columns: str, key: str = "order_id
     return table.select(key, *columns).join(ids.select(key).distinct(), key, "left_semi")
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """The text corpus: a JSON array of id, text and source."""
+def read_corpus(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """The text corpus: id, text and source, as a JSON array or one record per line.
+
+    An array is one unsplittable record; a corpus of any size comes line by line.
+    """
     return spark.read.schema("id string, text string, source string").option(
-        "multiLine", "true"
+        "multiLine", str(not one_per_line).lower()
     ).json(path)

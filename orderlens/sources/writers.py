@@ -57,9 +57,9 @@ def _delete_partition(spark: SparkSession, path: str, name: str, value: str) ->
 PART = "part"
 
 
-def month_part(moment: str = "order_purchase_timestamp") -> Column:
-    """Partition value of an order table: the purchase month."""
-    return F.coalesce(F.date_format(moment, "yyyy-MM"), F.lit("unknown"))
+def period_part(moment: str = "order_purchase_timestamp", pattern: str = "yyyy-MM") -> Column:
+    """Partition value of an order table: the period of purchase, a month by default."""
+    return F.coalesce(F.date_format(moment, pattern), F.lit("unknown"))
 
 
 def key_part(key: str = "order_id", parts: int = 16) -> Column:

@@ -20,7 +20,7 @@ from orderlens.operators.features import feature_table
 from orderlens.operators.order_level import build_order_level
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE
 from orderlens.session import staged
-from orderlens.sources.writers import _exists, month_part, upsert_table
+from orderlens.sources.writers import _exists, period_part, upsert_table
 
 DEFAULT_BATCH_SIZE = 2000
 ORDER_CHILDREN = ("items", "payments", "reviews")
@@ -131,15 +131,18 @@ def restrict(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFram
     return cut
 
 
-def ingest_orders(tables: dict[str, DataFrame], ids: DataFrame, root: str) -> dict[str, int]:
+def ingest_orders(
+    tables: dict[str, DataFrame], ids: DataFrame, root: str, period: str = "yyyy-MM"
+) -> dict[str, int]:
     """Rebuild the given orders and upsert both gold tables; returns their row counts."""
     level = staged(build_order_level(restrict(tables, ids)), "slice")
     features = feature_table(level).join(
         level.select("order_id", "order_purchase_timestamp"), "order_id"
     )
+    part = period_part(pattern=period)
     return {
-        ORDERS_TABLE: upsert_table(level, f"{root}/{ORDERS_TABLE}", part=month_part()),
-        FEATURES_TABLE: upsert_table(features, f"{root}/{FEATURES_TABLE}", part=month_part()),
+        ORDERS_TABLE: upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part),
+        FEATURES_TABLE: upsert_table(features, f"{root}/{FEATURES_TABLE}", part=part),
     }
 
 
@@ -159,7 +162,7 @@ def run_increment(
 
 def stream_ingest(
     spark: SparkSession, source: str, name: str, tables: dict[str, DataFrame], root: str,
-    checkpoint: str, files_per_trigger: int = 1,
+    checkpoint: str, files_per_trigger: int = 1, period: str = "yyyy-MM",
 ) -> StreamingQuery:
     """Follow a folder of Parquet files of one table and keep the gold tables current.
 
@@ -174,7 +177,7 @@ def stream_ingest(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        ingest_orders(tables, changed_orders(batch), root)
+        ingest_orders(tables, changed_orders(batch), root, period)
 
     return (
         arrivals.writeStream.foreachBatch(load)
