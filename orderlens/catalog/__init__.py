@@ -1,6 +1,6 @@
 """All checked queries.  Importing the modules registers them."""
 
-from orderlens.catalog import analytics, ingest, orders, text, triage  # noqa: F401
+from orderlens.catalog import analytics, ingest, modelling, orders, text, triage  # noqa: F401
 from orderlens.catalog.core import QUERIES, SQL, complete_sql
 from orderlens.catalog.relations import RELATIONS
 

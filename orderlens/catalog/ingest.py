@@ -272,8 +272,7 @@ def late_reviews(spark, sf_dir):
     part = writers.period_part(pattern="yyyy")
     level = build_order_level(early)
     writers.upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part)
-    features_now = features.feature_table(level).join(
-        level.select("order_id", "order_purchase_timestamp"), "order_id")
+    features_now = features.feature_table(level, "order_purchase_timestamp")
     writers.upsert_table(features_now, f"{root}/{FEATURES_TABLE}", part=part)
     # the answered reviews arrive later and change their orders
     answered = tables["reviews"].where(F.col("review_answer_timestamp").isNotNull())

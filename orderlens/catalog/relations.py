@@ -183,3 +183,56 @@ RELATIONS["customer_rollup"] = """
            sum(coalesce(total_payment_value, total_price, 0)) AS spend
     FROM order_level WHERE customer_unique_id IS NOT NULL GROUP BY customer_unique_id
 """
+
+# Labelled scores of both models, for the metrics.
+RELATIONS["labelled"] = """
+    SELECT 'delay' AS model, s.order_id, CAST(f.is_late AS INT) AS label,
+           s.delay_probability AS score
+    FROM scored s JOIN features f ON f.order_id = s.order_id WHERE f.is_late IS NOT NULL
+    UNION ALL
+    SELECT 'low_review', s.order_id, CAST(f.low_review AS INT), s.low_review_probability
+    FROM scored s JOIN features f ON f.order_id = s.order_id WHERE f.low_review IS NOT NULL
+"""
+
+RELATIONS["curve"] = """
+    SELECT model, score, pos, neg,
+           sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+           sum(pos) OVER (PARTITION BY model) AS all_pos,
+           sum(neg) OVER (PARTITION BY model) AS all_neg
+    FROM (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos,
+                 count(*) FILTER (WHERE label = 0) AS neg FROM labelled GROUP BY model, score) c
+    WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING)
+"""
+
+RELATIONS["best_cut"] = """
+    SELECT model, score AS threshold, f1 FROM (
+        SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, score) AS rn FROM (
+            SELECT model, score, 2.0E0 * tp / (all_pos + tp + fp) AS f1 FROM curve) f) g
+    WHERE rn = 1
+"""
+
+RELATIONS["rank_metrics"] = """
+    SELECT model, sum(pos * (all_neg - fp + neg / 2.0E0)) / max(all_pos * all_neg) AS roc_auc,
+           sum(pos * 1.0E0 / all_pos * tp / (tp + fp)) AS pr_auc
+    FROM curve GROUP BY model
+"""
+
+RELATIONS["cut_counts"] = """
+    SELECT l.model, c.cut, c.threshold,
+           count(*) FILTER (WHERE score >= c.threshold AND label = 1) AS tp,
+           count(*) FILTER (WHERE score >= c.threshold AND label = 0) AS fp,
+           count(*) FILTER (WHERE score < c.threshold AND label = 1) AS fn,
+           count(*) FILTER (WHERE score < c.threshold AND label = 0) AS tn
+    FROM labelled l JOIN (
+        SELECT model, 'tuned' AS cut, threshold FROM best_cut
+        UNION ALL SELECT model, 'half', 0.5E0 FROM best_cut) c ON c.model = l.model
+    GROUP BY l.model, c.cut, c.threshold
+"""
+
+RELATIONS["point_metrics"] = """
+    SELECT *, coalesce(tp * 1.0E0 / nullif(tp + fp, 0), 0) AS precision,
+           coalesce(tp * 1.0E0 / nullif(tp + fn, 0), 0) AS recall,
+           coalesce(2.0E0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+           (tp + tn) * 1.0E0 / (tp + fp + fn + tn) AS accuracy
+    FROM cut_counts
+"""

@@ -123,7 +123,7 @@ def nearest_vectors(spark, sf_dir):
 
 _BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 _STRIP = r"'^\s+|\s+$', '', 'g'"
-_MARK = ""
+_MARK = chr(0xE000)  # a character no text uses
 
 
 def _keywords_sql(expr: str) -> str:

@@ -66,7 +66,7 @@ def add_labels(order_level: DataFrame) -> DataFrame:
     )
 
 
-def feature_table(order_level: DataFrame) -> DataFrame:
+def feature_table(order_level: DataFrame, *extra: str) -> DataFrame:
     """Features beside labels.  Both come from the same row: no join is needed."""
     passed = [c for c in ORDER_TIME_NUMERIC if c not in DERIVED_NUMERIC]
     return order_level.select(
@@ -75,11 +75,20 @@ def feature_table(order_level: DataFrame) -> DataFrame:
         *passed,
         *ORDER_TIME_CATEGORICAL,
         *[expr.alias(name) for name, expr in label_columns().items()],
+        *extra,
+    )
+
+
+def scoring_frame(order_level: DataFrame, *extra: str) -> DataFrame:
+    """Features, labels and outcome straight from the order-level rows, join-free."""
+    outcome = [c for c in OUTCOME_NUMERIC if c != "is_late_int"]
+    return feature_table(order_level, *outcome, *extra).withColumn(
+        "is_late_int", F.col("is_late").cast("int").cast("double")
     )
 
 
 def with_outcome(features: DataFrame, order_level: DataFrame, *extra: str) -> DataFrame:
-    """Features with the delivery outcome the low-review model may see."""
+    """The same for two stored tables: features with the outcome columns joined on."""
     outcome = [c for c in OUTCOME_NUMERIC if c != "is_late_int"]
     joined = features.join(order_level.select("order_id", *outcome, *extra), "order_id", "left")
     return joined.withColumn("is_late_int", S.tri_state(F.col("is_late")).cast("int").cast("double"))

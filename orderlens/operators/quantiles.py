@@ -37,34 +37,30 @@ def exact_quantiles(
         min(max(p + side, 0.0), 1.0)
         for p in probabilities for side in (-BRACKET_MARGIN, BRACKET_MARGIN)
     })
-    sketch = values.agg(
-        F.struct(*[
-            F.struct(
-                F.percentile_approx(name, [float(e) for e in edges], SKETCH_ACCURACY).alias("cuts"),
-                F.count(name).alias("n"),
-            ).alias(name)
-            for name in metrics
-        ]).alias("sketch")
-    ).scalar()
-
-    targets = []
-    for name in metrics:
-        for p in probabilities:
-            low = edges.index(min(max(p - BRACKET_MARGIN, 0.0), 1.0))
-            high = edges.index(min(max(p + BRACKET_MARGIN, 0.0), 1.0))
-            cuts, n = sketch[name]["cuts"], sketch[name]["n"]
-            wide = n > UNBRACKETED_UP_TO
-            targets.append(F.struct(
-                F.lit(name).alias("metric"),
-                F.lit(float(p)).alias("probability"),
-                F.col(name).alias("value"),
-                F.when(wide, F.get(cuts, F.lit(low))).alias("low"),
-                F.when(wide, F.get(cuts, F.lit(high))).alias("high"),
-                n.alias("n"),
-            ))
+    # SQL text here: one expression per metric instead of dozens of column calls
+    edge_list = ", ".join(f"{e!r}D" for e in edges)
+    sketch = values.selectExpr("struct(" + ", ".join(
+        f"struct(percentile_approx(`{m}`, array({edge_list}), {SKETCH_ACCURACY}) AS cuts, "
+        f"count(`{m}`) AS n) AS `{m}`"
+        for m in metrics
+    ) + ") AS sketch").scalar()
+
+    def target(metric: str, p: float) -> str:
+        low = edges.index(min(max(p - BRACKET_MARGIN, 0.0), 1.0))
+        high = edges.index(min(max(p + BRACKET_MARGIN, 0.0), 1.0))
+        sketched = f"_sketch.`{metric}`"
+        wide = f"{sketched}.n > {UNBRACKETED_UP_TO}"
+        return (
+            f"struct('{metric}' AS metric, {float(p)!r}D AS probability, `{metric}` AS value, "
+            f"if({wide}, {sketched}.cuts[{low}], NULL) AS low, "
+            f"if({wide}, {sketched}.cuts[{high}], NULL) AS high, {sketched}.n AS n)"
+        )
+
+    targets = ", ".join(target(m, p) for m in metrics for p in probabilities)
     rows = (
-        values.select(F.inline(F.array(*targets)))
-        .where(F.col("value").isNotNull() & F.coalesce(F.col("value") <= F.col("high"), F.lit(True)))
+        # one column for the sketch, so that its subquery is planned once
+        values.withColumn("_sketch", sketch).selectExpr(f"inline(array({targets}))")
+        .where("value IS NOT NULL AND coalesce(value <= high, true)")
     )
     # Everything under the bracket collapses into one counted row (null value).
     counted = rows.groupBy(

@@ -19,6 +19,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # no Python stack trace per column call
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -136,9 +136,7 @@ def ingest_orders(
 ) -> dict[str, int]:
     """Rebuild the given orders and upsert both gold tables; returns their row counts."""
     level = staged(build_order_level(restrict(tables, ids)), "slice")
-    features = feature_table(level).join(
-        level.select("order_id", "order_purchase_timestamp"), "order_id"
-    )
+    features = feature_table(level, "order_purchase_timestamp")
     part = period_part(pattern=period)
     return {
         ORDERS_TABLE: upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part),
