@@ -71,22 +71,22 @@ def item_rollup(lines: DataFrame) -> DataFrame:
     )
 
 
-def seller_points(lines: DataFrame, centroids: DataFrame) -> DataFrame:
+def seller_points(items: DataFrame, sellers: DataFrame, centroids: DataFrame) -> DataFrame:
     """Per order: the places it ships from, each with its number of lines.
 
-    Lines are first counted per (order, zip), which also folds a hot order, so
-    an order's array is bounded by the number of zip prefixes.
+    Sellers are placed first, so item lines meet one dimension only.  Lines are
+    counted per (order, zip), which also folds a hot order; an order's array is
+    bounded by the number of zip prefixes.
     """
-    per_zip = (
-        lines.where(F.col("seller_zip_code_prefix").isNotNull())
-        .groupBy("order_id", "seller_zip_code_prefix")
-        .agg(F.count(F.lit(1)).alias("lines"))
-    )
+    places = sellers.select(
+        "seller_id", F.col("seller_zip_code_prefix").alias("zip_prefix")
+    ).join(centroids, "zip_prefix")
     return (
-        per_zip.join(
-            centroids.withColumnRenamed("zip_prefix", "seller_zip_code_prefix"),
-            "seller_zip_code_prefix", "inner",
-        )
+        items.where(F.col("order_id").isNotNull()).select("order_id", "seller_id")
+        .join(places, "seller_id")
+        .groupBy("order_id", "zip_prefix")
+        .agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"),
+             F.count(F.lit(1)).alias("lines"))
         .groupBy("order_id")
         .agg(F.collect_list(F.struct("lat", "lng", "lines")).alias("seller_points"))
     )
@@ -186,7 +186,9 @@ def build_order_level(tables: dict[str, DataFrame]) -> DataFrame:
     )
     joined = (
         base.join(item_rollup(lines), "order_id", "left")
-        .join(seller_points(lines, centroids), "order_id", "left")
+        .join(
+            seller_points(tables["items"], tables["sellers"], centroids), "order_id", "left"
+        )
         .join(payment_rollup(tables["payments"]), "order_id", "left")
         .join(latest_review(tables["reviews"]), "order_id", "left")
     )

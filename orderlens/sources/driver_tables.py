@@ -7,6 +7,8 @@ tables; the operators work on any source of the nine tables.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEW_SQL: dict[str, str] = {
@@ -110,18 +112,28 @@ LOGICAL_NAMES = {
 }
 
 
+@functools.cache
+def _star_table(spark: SparkSession, application: str, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet test tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the Parquet test tables; its schema is read once per session."""
+    return _star_table(spark, spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived order table."""
+@functools.cache
+def _view(spark: SparkSession, application: str, sf_dir: str, name: str) -> DataFrame:
     sql = VIEW_SQL[name]
     inputs = {t: star_table(spark, sf_dir, t) for t in STAR_TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **inputs)
 
 
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One derived order table."""
+    return _view(spark, spark.sparkContext.applicationId, sf_dir, name)
+
+
 def order_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All nine order tables, keyed by logical name."""
     return {logical: view(spark, sf_dir, name) for logical, name in LOGICAL_NAMES.items()}
