@@ -11,12 +11,12 @@ the sort-merge joins otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions import scalar as S
 from orderlens.schemas import ORDER_TIMESTAMPS
-from orderlens.session import staged
+from orderlens.session import spread, staged
 
 
 def geo_centroids(geolocation: DataFrame) -> DataFrame:
@@ -43,9 +43,9 @@ def item_lines(
     items: DataFrame, products: DataFrame, category_translation: DataFrame, sellers: DataFrame
 ) -> DataFrame:
     """Item lines with the product and seller attributes the roll-up reads."""
+    columns = ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
     return (
-        items.where(F.col("order_id").isNotNull())
-        .select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
+        spread(items.where(F.col("order_id").isNotNull()).select(*columns))
         .join(translated_products(products, category_translation), "product_id", "left")
         .join(
             sellers.select("seller_id", "seller_state", "seller_zip_code_prefix"),
@@ -54,20 +54,64 @@ def item_lines(
     )
 
 
+# What a line contributes to: its product carries the line's figures, the other
+# kinds are only counted.
+_PRODUCT, _SELLER, _CATEGORY, _STATE = range(4)
+_FIGURES = {
+    "line": "order_item_id", "price": "price", "freight": "freight_value",
+    "weight": "product_weight_g", "volume": "product_volume_cm3",
+}
+
+
 def item_rollup(lines: DataFrame) -> DataFrame:
-    """Counts, money, physical attributes and modal values per order."""
-    return lines.groupBy("order_id").agg(
-        F.count("order_item_id").alias("n_items"),
-        F.count_distinct("seller_id").alias("n_sellers"),
-        F.count_distinct("product_id").alias("n_products"),
+    """Counts, money, physical attributes and modal values per order.
+
+    Lines are first folded to one row per (order, kind, value), which spreads a
+    hot order over the cluster and needs fixed-width buffers only; distinct and
+    modal values per order are then plain counts and a minimum over those rows.
+    """
+
+    def cell(kind: int, value: str) -> Column:
+        carried = [
+            (F.col(c) if kind == _PRODUCT else F.lit(None)).cast("double").alias(name)
+            for name, c in _FIGURES.items()
+        ]
+        return F.struct(
+            F.lit(kind).alias("kind"), F.col(value).cast("string").alias("value"), *carried
+        )
+
+    cells = lines.select("order_id", F.inline(F.array(
+        cell(_PRODUCT, "product_id"), cell(_SELLER, "seller_id"),
+        cell(_CATEGORY, "product_category_name_english"), cell(_STATE, "seller_state"),
+    ))).where((F.col("kind") == _PRODUCT) | F.col("value").isNotNull())
+    folded = cells.groupBy("order_id", "kind", "value").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.count("line").alias("lines"),
+        *[F.sum(c).alias(c) for c in ("price", "freight", "weight", "volume")],
+        F.count("weight").alias("weights"), F.count("volume").alias("volumes"),
+        F.max("weight").alias("max_weight"),
+    )
+
+    def distinct(kind: int) -> Column:
+        return F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
+
+    def modal(kind: int) -> Column:
+        """The most frequent value; ties go to the smallest."""
+        own = F.col("kind") == kind
+        rarity = F.struct(-F.col("copies"), F.col("value"))
+        return F.min_by(F.when(own, F.col("value")), F.when(own, rarity))
+
+    return folded.groupBy("order_id").agg(
+        F.sum("lines").alias("n_items"),
+        distinct(_SELLER).alias("n_sellers"),
+        distinct(_PRODUCT).alias("n_products"),
         F.coalesce(F.sum("price"), F.lit(0.0)).alias("total_price"),
-        F.coalesce(F.sum("freight_value"), F.lit(0.0)).alias("total_freight"),
-        F.avg("product_weight_g").alias("avg_product_weight_g"),
-        F.max("product_weight_g").alias("max_product_weight_g"),
-        F.avg("product_volume_cm3").alias("avg_product_volume_cm3"),
-        # ties go to the smallest value
-        F.mode("product_category_name_english", True).alias("main_category"),
-        F.mode("seller_state", True).alias("main_seller_state"),
+        F.coalesce(F.sum("freight"), F.lit(0.0)).alias("total_freight"),
+        (F.sum("weight") / F.nullif(F.sum("weights"), F.lit(0))).alias("avg_product_weight_g"),
+        F.max("max_weight").alias("max_product_weight_g"),
+        (F.sum("volume") / F.nullif(F.sum("volumes"), F.lit(0))).alias("avg_product_volume_cm3"),
+        modal(_CATEGORY).alias("main_category"),
+        modal(_STATE).alias("main_seller_state"),
     )
 
 
@@ -82,7 +126,7 @@ def seller_points(items: DataFrame, sellers: DataFrame, centroids: DataFrame) ->
         "seller_id", F.col("seller_zip_code_prefix").alias("zip_prefix")
     ).join(centroids, "zip_prefix")
     return (
-        items.where(F.col("order_id").isNotNull()).select("order_id", "seller_id")
+        spread(items.where(F.col("order_id").isNotNull()).select("order_id", "seller_id"))
         .join(places, "seller_id")
         .groupBy("order_id", "zip_prefix")
         .agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"),

@@ -2,7 +2,7 @@
 
 ``exact_quantiles`` narrows each quantile with a mergeable sketch to a bracket
 holding a sliver of the rows, then counts the values inside the bracket exactly.
-Two scans, no sort of the data, and equal values travel as one counted row.
+Three narrow scans, no sort of the data, and equal values travel as one counted row.
 """
 
 from __future__ import annotations
@@ -23,11 +23,18 @@ BRACKET_MARGIN = 4.0 / SKETCH_ACCURACY
 UNBRACKETED_UP_TO = 20_000
 
 
+def _number(value: float) -> str:
+    """A double as SQL text."""
+    return f"double('{float(value)!r}')"
+
+
 def exact_quantiles(
     df: DataFrame, metrics: Mapping[str, Column], probabilities: Sequence[float]
 ) -> DataFrame:
     """Linear-interpolated quantiles of several columns at once; nulls are skipped.
 
+    The sketch runs when this is called, the exact count when the result is read.
+
     One row per (metric, probability): ``n`` values, ``rank`` of the lower order
     statistic, ``lower_value`` there, ``below`` (values smaller than it) and the
     interpolated ``quantile``.
@@ -37,45 +44,54 @@ def exact_quantiles(
         min(max(p + side, 0.0), 1.0)
         for p in probabilities for side in (-BRACKET_MARGIN, BRACKET_MARGIN)
     })
-    # SQL text here: one expression per metric instead of dozens of column calls
-    edge_list = ", ".join(f"{e!r}D" for e in edges)
-    sketch = values.selectExpr("struct(" + ", ".join(
+    # One row of sketches comes back: its size is set by the arguments alone.  The
+    # brackets are then constants, which a Parquet scan can push down.
+    edge_list = ", ".join(_number(e) for e in edges)
+    sketches = values.selectExpr(*[
         f"struct(percentile_approx(`{m}`, array({edge_list}), {SKETCH_ACCURACY}) AS cuts, "
         f"count(`{m}`) AS n) AS `{m}`"
         for m in metrics
-    ) + ") AS sketch").scalar()
-
-    def target(metric: str, p: float) -> str:
-        low = edges.index(min(max(p - BRACKET_MARGIN, 0.0), 1.0))
-        high = edges.index(min(max(p + BRACKET_MARGIN, 0.0), 1.0))
-        sketched = f"_sketch.`{metric}`"
-        wide = f"{sketched}.n > {UNBRACKETED_UP_TO}"
-        return (
-            f"struct('{metric}' AS metric, {float(p)!r}D AS probability, `{metric}` AS value, "
-            f"if({wide}, {sketched}.cuts[{low}], NULL) AS low, "
-            f"if({wide}, {sketched}.cuts[{high}], NULL) AS high, {sketched}.n AS n)"
-        )
-
-    targets = ", ".join(target(m, p) for m in metrics for p in probabilities)
-    rows = (
-        # one column for the sketch, so that its subquery is planned once
-        values.withColumn("_sketch", sketch).selectExpr(f"inline(array({targets}))")
-        .where("value IS NOT NULL AND coalesce(value <= high, true)")
+    ]).first()
+
+    brackets, folded_values, some_inside = [], [], []
+    for m in metrics:
+        n, cuts = sketches[m]["n"], sketches[m]["cuts"]
+        fits = []
+        for p in probabilities:
+            low = high = "double(NULL)"
+            under, inside = "count_if(false)", f"`{m}` IS NOT NULL"
+            if n > UNBRACKETED_UP_TO:
+                low = _number(cuts[edges.index(min(max(p - BRACKET_MARGIN, 0.0), 1.0))])
+                high = _number(cuts[edges.index(min(max(p + BRACKET_MARGIN, 0.0), 1.0))])
+                under, inside = f"count_if(`{m}` < {low})", f"`{m}` BETWEEN {low} AND {high}"
+            fits.append(f"({inside})")
+            brackets.append(
+                f"struct('{m}' AS metric, {_number(p)} AS probability, {n}L AS n, {low} AS low, "
+                f"{high} AS high, {under} AS under)"
+            )
+        kept = " OR ".join(dict.fromkeys(fits))
+        some_inside.append(f"({kept})")
+        folded_values.append(f"struct('{m}' AS metric, if({kept}, `{m}`, NULL) AS value)")
+    # Values under a bracket are only counted …
+    counted_under = values.selectExpr(f"array({', '.join(brackets)}) AS b").selectExpr("inline(b)")
+    # … those inside one are kept, equal values folded into one row.
+    folded = (
+        values.where(" OR ".join(some_inside))
+        .selectExpr(f"inline(array({', '.join(folded_values)}))")
+        .where("value IS NOT NULL")
+        .groupBy("metric", "value").agg(F.count(F.lit(1)).alias("copies"))
+    )
+    counted = folded.join(counted_under, "metric").where(
+        "coalesce(value >= low, true) AND coalesce(value <= high, true)"
     )
-    # Everything under the bracket collapses into one counted row (null value).
-    counted = rows.groupBy(
-        "metric", "probability", "n",
-        F.when(F.coalesce(F.col("value") >= F.col("low"), F.lit(True)), F.col("value"))
-        .alias("value"),
-    ).agg(F.count(F.lit(1)).alias("copies"))
-
-    upward = Window.partitionBy("metric", "probability").orderBy(F.col("value").asc_nulls_first())
+
+    upward = Window.partitionBy("metric", "probability").orderBy("value")
     position = (F.col("n") - 1) * F.col("probability") + 1
     # guard against 0.9999… where the exact product is a whole number
     lower_rank = F.floor(position + F.lit(1e-9))
     upper_rank = F.least(lower_rank + 1, F.col("n"))
     reached = (
-        counted.withColumn("upto", F.sum("copies").over(upward))
+        counted.withColumn("upto", F.sum("copies").over(upward) + F.col("under"))
         .withColumn("below", F.col("upto") - F.col("copies"))
         .withColumn("rank", lower_rank)
         .withColumn("upper_rank", upper_rank)

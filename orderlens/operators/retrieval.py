@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import text as X
-from orderlens.session import staged
+from orderlens.session import spread, staged
 
 TOP_K = 4
 DIRECT_BUDGET = 24_000
@@ -32,7 +32,7 @@ def term_counts(texts: DataFrame, key: str, stop_words: list[str]) -> DataFrame:
     """Occurrences of each word and word pair per text."""
     terms = X.with_pairs(X.content_words(F.col("text"), stop_words))
     return (
-        texts.where(F.col("text").isNotNull())
+        spread(texts.where(F.col("text").isNotNull()).select(key, "text"))
         .select(key, F.explode(terms).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -307,7 +307,7 @@ def sentences(passages: DataFrame, order: str) -> DataFrame:
     a sentence repeated in a third of all passages costs one row per task.
     """
     chunks = (
-        passages.where(F.col("text").isNotNull())
+        spread(passages.where(F.col("text").isNotNull()).select(order, "text"))
         .select(order, F.posexplode(X.split_lines(F.col("text"))).alias("line", "line_text"))
         .select(
             order, "line",
