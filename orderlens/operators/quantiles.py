@@ -44,8 +44,8 @@ def exact_quantiles(
         min(max(p + side, 0.0), 1.0)
         for p in probabilities for side in (-BRACKET_MARGIN, BRACKET_MARGIN)
     })
-    # One row of sketches comes back: its size is set by the arguments alone.  The
-    # brackets are then constants, which a Parquet scan can push down.
+    # One row of sketches comes back: its size is set by the arguments alone, and the
+    # brackets are constants in what follows.
     edge_list = ", ".join(_number(e) for e in edges)
     sketches = values.selectExpr(*[
         f"struct(percentile_approx(`{m}`, array({edge_list}), {SKETCH_ACCURACY}) AS cuts, "
@@ -53,7 +53,7 @@ def exact_quantiles(
         for m in metrics
     ]).first()
 
-    brackets, folded_values, some_inside = [], [], []
+    brackets, folded_values = [], []
     for m in metrics:
         n, cuts = sketches[m]["n"], sketches[m]["cuts"]
         fits = []
@@ -70,14 +70,12 @@ def exact_quantiles(
                 f"{high} AS high, {under} AS under)"
             )
         kept = " OR ".join(dict.fromkeys(fits))
-        some_inside.append(f"({kept})")
         folded_values.append(f"struct('{m}' AS metric, if({kept}, `{m}`, NULL) AS value)")
     # Values under a bracket are only counted …
     counted_under = values.selectExpr(f"array({', '.join(brackets)}) AS b").selectExpr("inline(b)")
     # … those inside one are kept, equal values folded into one row.
     folded = (
-        values.where(" OR ".join(some_inside))
-        .selectExpr(f"inline(array({', '.join(folded_values)}))")
+        values.selectExpr(f"inline(array({', '.join(folded_values)}))")
         .where("value IS NOT NULL")
         .groupBy("metric", "value").agg(F.count(F.lit(1)).alias("copies"))
     )
