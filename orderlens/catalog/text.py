@@ -13,7 +13,6 @@ from orderlens.catalog.core import query
 from orderlens.catalog.orders import r
 from orderlens.functions import text as X
 from orderlens.operators import retrieval
-from orderlens.session import staged
 from orderlens.sources.driver_tables import star_table
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.schemas import FORECAST_HORIZON, FORECAST_MONTH_MIN, FORECAST_WINDOW
+from orderlens.schemas import FORECAST_HORIZON, FORECAST_WINDOW
 
 MIN_MONTHS = 4
 
