@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import functions as F
 
 from orderlens.catalog.core import query
 from orderlens.catalog.orders import r
 from orderlens.functions import text as X
+from orderlens.functions.stop_words import ENGLISH
 from orderlens.operators import retrieval
 from orderlens.sources.driver_tables import star_table
 
 
-@functools.cache
 def english_stop_words() -> list[str]:
-    """Spark's English stop words, read from its jar so that no JVM is needed."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    (jar,) = [j for j in os.listdir(jars) if j.startswith("spark-mllib_")]
-    with zipfile.ZipFile(os.path.join(jars, jar)) as archive:
-        listed = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return sorted(set(listed.split()))
+    return sorted(ENGLISH)
 
 
 def sql_list(words) -> str:

@@ -1,8 +1,8 @@
 """Session settings and the two ways a job cuts its lineage.
 
 Both ways write to the shared folder named by ``spark.checkpoint.dir`` so that a
-lost executor costs a re-read, never a rebuild.  Only when the cluster names no
-folder (tests, notebooks) is a scratch one created.
+lost executor costs a re-read, never a rebuild.  Only a local master (tests,
+notebooks) may leave it unset.
 """
 
 from __future__ import annotations
@@ -35,16 +35,29 @@ def build_session(master: str | None = None, app: str = "orderlens", **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new scratch folder only where none is set."""
+    """The folder in ``spark.checkpoint.dir``, which every executor must see.
+
+    Only a local master may do without: it gets a new scratch folder.  Anywhere else a
+    folder on the driver's own disk would split the stages over the machines.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="orderlens-"))
+    if not configured:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="orderlens-")
+    context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (not so for local-cluster)."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
