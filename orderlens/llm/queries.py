@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import line_dedup, packing, sharding, simhash, token_files
+from orderlens.llm import html_text, line_dedup, nearest, packing, sharding, simhash, token_files, toxicity
 from orderlens.llm.common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_adaptive_nearest")
+def adaptive_nearest(spark, sf_dir):
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_toxicity")
+def document_toxicity(spark, sf_dir):
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op4_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
@@ -36,6 +46,11 @@ def simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query("op7_html_text")
+def html_main_text(spark, sf_dir):
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 @query("op8_sharding")
 def stratified_shards(spark, sf_dir):
     return sharding.interleaved_shards(read_table(spark, sf_dir, "documents"))
