@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import html_text, line_dedup, nearest, packing, sharding, simhash, token_files, toxicity
+from orderlens.llm import decontaminate, html_text, line_dedup, nearest, packing, pii, sharding, simhash, token_files, toxicity
 from orderlens.llm.common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def adaptive_nearest(spark, sf_dir):
     return nearest.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+@query("op2_pii")
+def personal_data(spark, sf_dir):
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def document_toxicity(spark, sf_dir):
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -41,6 +46,13 @@ def best_fit_packing(spark, sf_dir):
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op5_decontamination")
+def benchmark_leaks(spark, sf_dir):
+    return decontaminate.leaks(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 @query("op6_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
