@@ -175,7 +175,7 @@ def links_between(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
             side = part["side"].to_numpy()
             ids = part[key].to_numpy()
             cuts = np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1
-            for start, stop in zip([0, *cuts], [*cuts, len(part)]):
+            for start, stop in zip([0, *cuts], [*cuts, len(part)] if len(part) else []):
                 cross = ids[start, 2] != ids[start, 3]
                 own = side[start:stop]
                 if stop - start < 2 or cross and own.min() == own.max():
