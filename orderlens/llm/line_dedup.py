@@ -165,8 +165,9 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS,
     )
     doc_id, text_key = _doc_key()
     keyed = docs.withColumns({"_own_doc": doc_id, "_own_key": text_key})
+    # a shuffle join at every size: what is removed grows with the input
     joined = keyed.join(
-        gone, (F.col("_own_doc") == F.col("_doc")) & (F.col("_own_key") == F.col("_key")), "left"
+        gone.hint("merge"), (F.col("_own_doc") == F.col("_doc")) & (F.col("_own_key") == F.col("_key")), "left"
     )
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda _, i: ~F.exists(
