@@ -306,4 +306,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item; rows without doc_id stay."""
     bad = stored(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct(), "leaking")
-    return docs.join(bad, F.col("doc_id") == F.col("_leaking"), "left_anti")
+    return docs.join(bad.hint("merge"), F.col("doc_id") == F.col("_leaking"), "left_anti")

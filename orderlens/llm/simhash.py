@@ -233,4 +233,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
         found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone")),
         "near-copies",
     ).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
