@@ -14,8 +14,8 @@ import types
 
 import numpy as np
 
-#: Chunks kept per worker process, about 100 MB.
-KEPT_CHUNKS = 400_000
+#: Chunks kept per worker process, about 130 MB.
+KEPT_CHUNKS = 550_000
 #: Texts with one of these go to the tokenizer whole: the two kinds of white space
 #: differ there, or a special token's name stands in the text.
 WHOLE = re.compile("[\x1c-\x1f\x85᠎]|<\\|(?:end|start)oftext\\|>")
@@ -34,6 +34,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.stops = {c: self.whole(c) for c in ".,"}
         self.cut = re.compile(r"\s*\S+|\s+$").findall if spaces else str.split
 
     @classmethod
@@ -49,7 +50,17 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
+    def _encode_new(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks not yet known.  A full stop or comma behind a letter or digit is always
+        a token of its own, so such a chunk needs no more than what stands before it."""
+        stem = {c: c[:-1] for c in chunks if c[-1] in self.stops and len(c) > 1 and c[-2].isalnum()}
+        apart = {s for s in stem.values() if s not in self.known} | (chunks - stem.keys())
+        got = self._encode_apart(list(apart)) if apart else {}
+        for c, s in stem.items():
+            got[c] = (self.known[s] if s in self.known else got[s]) + self.stops[c[-1]]
+        return got
+
+    def _encode_apart(self, chunks: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch([chunks], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(got.ids, dtype="<u4").tobytes()
         word = np.array([-1 if w is None else w for w in got.word_ids], dtype=np.int64)
@@ -60,12 +71,12 @@ class ChunkEncoder:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
         cut = [None if WHOLE.search(t) else self.cut(t) for t in texts]
-        known, new = self.known, {}
+        known, new = self.known, set()
         for chunks in cut:
             if chunks:
-                new.update(dict.fromkeys(c for c in set(chunks) if c not in known))
+                new.update(c for c in set(chunks) if c not in known)
         if new:
-            new = self._encode_new(list(new))
+            new = self._encode_new(new)
             room = KEPT_CHUNKS - len(known)
             if room >= len(new):
                 known.update(new)

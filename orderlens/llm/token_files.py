@@ -29,7 +29,7 @@ from orderlens.llm.chunks import ChunkEncoder
 from orderlens.llm.common import hash_partitions, input_partitions
 
 END_ID = 1
-LEVEL = 3
+LEVEL = 1
 #: Documents that the dictionary is trained on, at most; those with the smallest id hashes.
 SAMPLE_DOCS = 600
 #: Bytes of each that are used for training, and the dictionary's size.
@@ -48,9 +48,11 @@ def _serial(ids: bytes, end_id: int, dtype: str) -> bytes:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, dtype: str) -> bytes:
     """The shared dictionary, raw content if the sample is too small to train on."""
-    sample = docs.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h").limit(SAMPLE_DOCS)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     encoder = ChunkEncoder(vocabulary, False)
-    texts = [r["text"] for r in sample.select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()]
+    # repeated rows of the chosen ids aside, SAMPLE_DOCS texts
+    texts = [r["text"] for r in sample.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
     samples = [_serial(ids, end_id, dtype)[:SAMPLE_BYTES] for ids in encoder.encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
