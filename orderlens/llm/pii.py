@@ -69,7 +69,9 @@ NOT_PERSONAL = r"version|isbn|issn|order|invoice|sku|build|revision|part no|seri
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, text) of the pattern's matches, leftmost and without overlap."""
-    whole = F.lit(rf"(?s)(.*?)({pattern})")
+    # tied to the end of the match before, or the search after the last one would start over
+    # at every character
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
     gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
     found = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     none = F.array().cast("array<struct<start:int,hit:string>>")
