@@ -235,12 +235,11 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             firsts = np.array([w[2] for w in where])
             for width, own, points, member, lengths in groups:
                 passages = _windows(sums, width)
-                dots = passages @ points
-                norm = np.linalg.norm(passages, axis=1, keepdims=True)
-                p, i = np.nonzero((dots >= COSINE * norm) & (norm > 0))
+                norm = np.sqrt(np.einsum("ij,ij->i", passages, passages))[:, None]
+                cosine = (passages / np.where(norm > 0, norm, 1)) @ points
+                p, i = np.divmod(np.flatnonzero(cosine >= COSINE), len(own))
                 if not len(p):
                     continue
-                cosine = dots / np.where(norm > 0, norm, 1)
                 # of passages one block apart the nearer one stands for both
                 here = cosine[p, i]
                 best = (here >= cosine[np.maximum(p - 1, 0), i]) & (
