@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_point
+from orderlens import catalog
 from tools.check_queries import compare, connect
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -21,14 +22,14 @@ def oracle():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == WITHOUT_SQL
+    assert set(catalog.all_queries()) - set(catalog.all_sql()) == WITHOUT_SQL
 
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 4
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.all_queries()))
 def test_query(spark, oracle, name):
     con, sqls = oracle
     status, rows, _, note = compare(spark, con, name, SF, sqls)
@@ -56,7 +57,7 @@ def test_inventory_is_covered():
         + [f"X{i}" for i in range(1, 9)] + [f"M{i}" for i in range(1, 18)]
         + [f"I{i}" for i in range(1, 5)]
     )
-    names = set(entry_point.queries())
+    names = set(catalog.all_queries())
     for item in ids:
         own = [n for n in names if re.match(rf"(.*_)?{item.lower()}_", n)]
         assert own or COVERED_ELSEWHERE.get(item) in names, item
