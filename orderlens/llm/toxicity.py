@@ -59,6 +59,7 @@ DISGUISED = re.compile(
     rf"|^[{re.escape('@$!|€£¡(<0-9')}]{{1,3}}[^\W\d_]{{2}}"  # $ign first
     r"|([^\W\d_])\1\1"  # repeeeated
 )
+REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
 class CharModel:
@@ -83,7 +84,9 @@ class CharModel:
         if found is None:
             one = (self.one[letter] + 0.1) / (self.total + 0.1 * LETTERS)
             two = (self.pairs[key[1:]] + 5 * one) / (self.ends[key[1]] + 5)
-            found = self.memory[key] = log((self.tri.get(key, 0) + 5 * two) / (self.two[before] + 5))
+            found = log((self.tri.get(key, 0) + 5 * two) / (self.two[before] + 5))
+            if len(self.memory) < TOKENS_KEPT:
+                self.memory[key] = found
         return found
 
     def decode(self, token: str) -> str:
@@ -128,44 +131,58 @@ class Reader:
     def __init__(self, trigrams: dict[str, int], only=None):
         self.model = CharModel(trigrams)
         self.only = only
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def _of_token(self, token: str) -> tuple[str, ...]:
-        words = WORD.findall(token)
-        if len(token) <= LONGEST_TOKEN and DISGUISED.search(token):
+        self.known: dict[str, set[str]] = {}
+        #: Tokens without any feature of interest: most of them.
+        self.plain: set[str] = set()
+
+    def _of_token(self, token: str) -> set[str]:
+        letters = token.isalpha()
+        words = [token] if letters else WORD.findall(token)
+        if len(token) <= LONGEST_TOKEN and (REPEATED if letters else DISGUISED).search(token):
             words.append(self.model.decode(token.rstrip("!").strip(".,;:?\"'")))
-        found = features(words)
-        if self.only is not None:
-            found = found & self.only
-        found = tuple(sorted(found))
-        if len(self.known) < TOKENS_KEPT:
-            self.known[token] = found
+        found = features(words, self.only)
+        if len(self.known) + len(self.plain) < TOKENS_KEPT:
+            if found:
+                self.known[token] = found
+            else:
+                self.plain.add(token)
         return found
 
     def features(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         tokens = set(low.split())
-        spaced = [m.group() for m in SPACED.finditer(low)] if any(len(t) == 1 for t in tokens) else []
         found: set[str] = set()
-        known = self.known
-        for token in tokens:
-            got = known.get(token)
+        for token in tokens - self.plain:
+            got = self.known.get(token)
             if got is None:
                 got = self._of_token(token)
-            if got:
-                found.update(got)
-        for stretch in spaced:
-            got = features([self.model.decode(stretch)])
-            found |= got if self.only is None else got & self.only
+            found |= got
+        if min(map(len, tokens), default=0) == 1:
+            for m in SPACED.finditer(low):
+                found |= features([self.model.decode(m.group())], self.only)
         return found
 
 
-def features(words: list[str]) -> set[str]:
-    """Words and the starts of words."""
-    found = {"=" + w for w in words if len(w) <= LONGEST_TOKEN}
-    found.update("^" + w[:5] for w in words if len(w) >= 5)
-    found.update("^" + w[:4] for w in words if len(w) >= 4)
-    return found
+def features(words: list[str], only=None) -> set[str]:
+    """Words and the starts of words, or those of them in ``only``."""
+    found = set()
+    for w in words:
+        size = len(w)
+        if size <= LONGEST_TOKEN:
+            found.add("=" + w)
+        if size >= 4:
+            found.add("^" + w[:4])
+            if size >= 5:
+                found.add("^" + w[:5])
+    return found if only is None else found & only
+
+
+def reader(shared) -> Reader:
+    """The reader for a broadcast of trigrams and features; worker processes keep both."""
+    held = shared.value
+    if "reader" not in held:
+        held["reader"] = Reader(held["trigrams"], held["only"])
+    return held["reader"]
 
 
 def letter_trigrams(docs: DataFrame) -> dict[str, int]:
@@ -251,43 +268,53 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str, f
         share = 1.0 if totals.get(1) else 0.0
         return trigrams, {}, 30.0 * (2 * share - 1)
 
-    def count(batches, only=None):
-        read = Reader(trigrams, only)
-        found, n = {0: Counter(), 1: Counter()}, [0, 0]
+    context = docs.sparkSession.sparkContext
+    # the broadcasts are bounded by LETTERS, CANDIDATES and FEATURES
+    plain = context.broadcast({"trigrams": trigrams, "only": None})
+
+    def count(batches):
+        read, found = reader(plain), Counter()
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                n[toxic] += 1
-                found[toxic].update(read.features(text))
-        rows = [(f, y, k) for y in (0, 1) for f, k in found[y].items()]
-        rows += [("", y, n[y]) for y in (0, 1)]
-        yield pd.DataFrame(rows, columns=["f", "toxic", "n"])
-
-    schema = "f string, toxic int, n bigint"
-    toxic = texts.where("toxic = 1").mapInPandas(count, schema).where("f != ''").groupBy("f").agg(
+            for text in batch["text"]:
+                found.update(read.features(text))
+        yield pd.DataFrame({"f": list(found), "n": list(found.values())})
+
+    toxic = texts.where("toxic = 1").select("text").mapInPandas(count, "f string, n bigint").groupBy("f").agg(
         F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOXIC_ROWS)
-    candidates = frozenset(r["f"] for r in toxic.orderBy(F.desc("n"), "f").limit(CANDIDATES).collect())
-    counted = texts.mapInPandas(lambda b: count(b, candidates), schema).groupBy("f", "toxic").agg(
-        F.sum("n").alias("n")).collect()  # CANDIDATES features at most
-    number = {(r["f"], r["toxic"]): r["n"] for r in counted}
-    rows_of = [number.get(("", y), 0) for y in (0, 1)]
+    candidates = [r["f"] for r in toxic.orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()]
+    place = {f: i for i, f in enumerate(candidates)}
+    limited = context.broadcast({"trigrams": trigrams, "only": frozenset(candidates)})
+
+    def look(batches):
+        read = reader(limited)
+        for batch in batches:
+            found = [sorted(place[f] for f in read.features(t)) for t in batch["text"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "at": found})
+
+    # numbers of candidate features, so that the texts are read once for counts and fit
+    looked = stored(texts.mapInPandas(look, "toxic int, at array<int>"), "training-features")
+    rows_of = {r["toxic"]: r["n"] for r in looked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows_of = [rows_of.get(y, 0) for y in (0, 1)]
+    number = {(r["f"], r["toxic"]): r["n"] for r in looked.select("toxic", F.explode("at").alias("f"))
+              .groupBy("f", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # CANDIDATES features
     rated = []
-    for f in candidates:
-        n0, n1 = number.get((f, 0), 0), number.get((f, 1), 0)
+    for f, i in place.items():
+        n0, n1 = number.get((i, 0), 0), number.get((i, 1), 0)
         odds = log((n1 + 0.5) / (rows_of[1] - n1 + 0.5)) - log((n0 + 0.5) / (rows_of[0] - n0 + 0.5))
         z = odds / (1 / (n1 + 0.5) + 1 / (n0 + 0.5)) ** 0.5
         if z >= LEAST_Z:
             rated.append((-z, f))
     names = [f for _, f in sorted(rated)[:FEATURES]]
-    place = {f: i for i, f in enumerate(names)}
+    column = np.full(len(candidates) + 1, -1)
+    column[[place[f] for f in names]] = np.arange(len(names))
 
-    def look(batches):
-        read = Reader(trigrams, place.keys())
+    def keep(batches):
         for batch in batches:
-            found = [sorted(place[f] for f in read.features(t)) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "at": found})
+            at = [column[np.asarray(a, dtype=np.int64)] for a in batch["at"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "at": [np.sort(a[a >= 0]) for a in at]})
 
     # two times FIT_ROWS short index lists
-    seen = texts.mapInPandas(look, "toxic int, at array<int>").collect()
+    seen = looked.mapInPandas(keep, "toxic int, at array<int>").collect()
     y = np.array([r["toxic"] for r in seen])
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
     weight = weight * len(y) / weight.sum()
@@ -295,19 +322,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str, f
     return trigrams, dict(zip(names, fitted[:-1].tolist())), float(fitted[-1])
 
 
+def share_model(docs: DataFrame, model: tuple[dict[str, int], dict[str, float], float]):
+    """The model as a broadcast for ``evidence``; bounded by LETTERS and FEATURES."""
+    trigrams, weights, intercept = model
+    return docs.sparkSession.sparkContext.broadcast(
+        {"trigrams": trigrams, "only": frozenset(weights), "weights": weights, "intercept": intercept})
+
+
+def evidence(shared, texts) -> np.ndarray:
+    """Log odds of being toxic of each text."""
+    read, weights, intercept = reader(shared), shared.value["weights"], shared.value["intercept"]
+    return np.array([intercept + sum(weights[f] for f in sorted(read.features(t))) for t in texts], dtype=float)
+
+
 def score(docs: DataFrame, model: tuple[dict[str, int], dict[str, float], float]) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LETTERS and FEATURES
+    shared = share_model(docs, model)
 
     def run(batches):
-        trigrams, weights, intercept = shared.value
-        read = Reader(trigrams, weights.keys())
         for batch in batches:
-            z = np.array([
-                intercept + sum(weights[f] for f in sorted(read.features(t)))
-                for t in batch["text"]
-            ], dtype=float)
-            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            p = 1 / (1 + np.exp(-np.clip(evidence(shared, batch["text"]), -40, 40)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p, "predicted": (p >= 0.5).astype("int32")})
 
     return docs.select("doc_id", "text").mapInPandas(
@@ -321,20 +355,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored 0.5 or more; a text's score does not depend on its id."""
-    trigrams, weights, intercept = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((trigrams, weights, intercept))
+    shared = share_model(docs, fit(docs, labels))
     columns = docs.columns
 
     def run(batches):
         import pyarrow as pa
 
-        trigrams, weights, intercept = shared.value
-        read = Reader(trigrams, weights.keys())
         for batch in batches:
-            keep = [
-                intercept + sum(weights[f] for f in sorted(read.features(t))) < 0
-                for t in batch.column("text").to_pylist()
-            ]
+            keep = evidence(shared, batch.column("text").to_pylist()) < 0
             yield batch.filter(pa.array(keep, pa.bool_())).select(columns)
 
     return docs.mapInArrow(run, docs.schema)
