@@ -40,6 +40,8 @@ LCS_SHARE, LCS_SHARE_WITH_ANSWER, ANSWER_SHARE = 0.7, 0.5, 0.8
 ANSWER_WORDS = 8
 LEAST_WORDS = 8
 ITEMS_AT_ONCE = 4_000
+#: Items of one matrix product.
+ITEMS_TOGETHER = 256
 TOKENS_KEPT = 300_000
 #: Words whose latent rows are gathered at once; longer texts are read in overlapping stretches.
 WORDS_AT_ONCE = 1 << 15
@@ -219,25 +221,33 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
         groups = []
         for k, (width, longest) in enumerate(WIDTHS):
             shortest = WIDTHS[k - 1][1] if k else 0
-            own = [i for i in items if shortest < len(i[1]) <= longest]
-            if own:
+            fitting = [i for i in items if shortest < len(i[1]) <= longest]
+            for at in range(0, len(fitting), ITEMS_TOGETHER):
+                own = fitting[at:at + ITEMS_TOGETHER]
                 points = np.array([turned[ids].sum(axis=0) for _, ids, _ in own])
                 norm = np.linalg.norm(points, axis=1, keepdims=True)
-                member = np.zeros((len(own), v + 2), dtype=np.uint8)
+                member = np.zeros((v + 2, len(own)), dtype=np.uint8)
                 for i, (_, ids, _) in enumerate(own):
-                    member[i, ids] = 1
-                groups.append((width, own, (points / np.where(norm > 0, norm, 1)).T.astype(np.float32), member,
-                               np.array([len(i[1]) for i in own])))
+                    member[ids, i] = 1
+                lengths = np.array([len(i[1]) for i in own])
+                groups.append((
+                    width, own, np.ascontiguousarray((points / np.where(norm > 0, norm, 1)).T, dtype=np.float32),
+                    member, np.ceil(LCS_SHARE_WITH_ANSWER * lengths), lengths - member.sum(axis=0, dtype=np.int64)))
         bits = {i[0]: (places_of(i[1]), places_of(i[2])) for i in items}
 
         def leaks_in(where, ids):
             sums = _block_sums(turned[ids])
             firsts = np.array([w[2] for w in where])
-            for width, own, points, member, lengths in groups:
+            for width, own, points, member, least, repeats in groups:
                 passages = _windows(sums, width)
                 norm = np.sqrt(np.einsum("ij,ij->i", passages, passages))[:, None]
                 cosine = (passages / np.where(norm > 0, norm, 1)) @ points
-                p, i = np.divmod(np.flatnonzero(cosine >= COSINE), len(own))
+                # words of the passage and a block on each side that the item has, 80 at most:
+                # no common subsequence is longer
+                had = member[ids].reshape(-1, BLOCK, len(own)).sum(axis=1, dtype=np.uint8)
+                common = _windows(np.pad(had, ((1, 1), (0, 0))), width + 2)
+                enough = common >= np.minimum(least, 255).astype(np.uint8)
+                p, i = np.divmod(np.flatnonzero((cosine >= COSINE) & enough), len(own))
                 if not len(p):
                     continue
                 # of passages one block apart the nearer one stands for both
@@ -248,12 +258,14 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                 span = np.arange(-BLOCK, (width + 1) * BLOCK)
                 for at in range(0, len(p), 4096):
                     q, j = p[at:at + 4096], i[at:at + 4096]
-                    near = ids[np.clip(q[:, None] * BLOCK + span, 0, len(ids) - 1)]
-                    # words of the passage that the item has: no common subsequence is longer
-                    common = member[j[:, None], near].sum(axis=1, dtype=np.int64)
-                    for c in np.nonzero(common >= LCS_SHARE_WITH_ANSWER * lengths[j])[0]:
+                    near = np.sort(ids[np.clip(q[:, None] * BLOCK + span, 0, len(ids) - 1)], axis=1)
+                    # the same bound by different words, the item's own repeats added
+                    first = np.ones(near.shape, dtype=np.uint8)
+                    first[:, 1:] = near[:, 1:] != near[:, :-1]
+                    told_apart = (member[near, j[:, None]] * first).sum(axis=1, dtype=np.int64)
+                    for c in np.nonzero(told_apart + repeats[j] >= least[j])[0]:
                         item_id, words, answer = own[j[c]]
-                        read = near[c].tolist()
+                        read = ids[max(0, int(q[c]) - 1) * BLOCK:(int(q[c]) + width + 1) * BLOCK].tolist()
                         share = lcs_length(bits[item_id][0], len(words), read) / len(words)
                         if share < LCS_SHARE_WITH_ANSWER:
                             continue
