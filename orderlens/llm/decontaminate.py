@@ -15,7 +15,8 @@ sent to the tasks.
 
 Defined results: one row per (doc_id, item) with its best passage; rows of equal doc_id are
 compared each and reported once, at their best; null and empty texts and items leak nothing;
-items of fewer than ``LEAST_WORDS`` words are not looked for; a document without doc_id is
+items of fewer than ``LEAST_WORDS`` words are not looked for, those of more than
+``PART_WORDS`` by any of their parts; a document without doc_id is
 reported under a null id; empty tables give no row; other columns are ignored.
 """
 
@@ -39,6 +40,8 @@ COSINE = 0.62
 LCS_SHARE, LCS_SHARE_WITH_ANSWER, ANSWER_SHARE = 0.7, 0.5, 0.8
 ANSWER_WORDS = 8
 LEAST_WORDS = 8
+#: Longer items are looked for in parts of at most so many words, as many as the widest passage has.
+PART_WORDS = WIDEST * BLOCK
 ITEMS_AT_ONCE = 4_000
 #: Items of one matrix product.
 ITEMS_TOGETHER = 256
@@ -218,22 +221,22 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
 
     def find(batches):
         turned, items = shared.value
+        items = [(i, ids, answer, places_of(ids), places_of(answer)) for i, ids, answer in items]
         groups = []
         for k, (width, longest) in enumerate(WIDTHS):
             shortest = WIDTHS[k - 1][1] if k else 0
             fitting = [i for i in items if shortest < len(i[1]) <= longest]
             for at in range(0, len(fitting), ITEMS_TOGETHER):
                 own = fitting[at:at + ITEMS_TOGETHER]
-                points = np.array([turned[ids].sum(axis=0) for _, ids, _ in own])
+                points = np.array([turned[ids].sum(axis=0) for _, ids, *_ in own])
                 norm = np.linalg.norm(points, axis=1, keepdims=True)
                 member = np.zeros((v + 2, len(own)), dtype=np.uint8)
-                for i, (_, ids, _) in enumerate(own):
+                for i, (_, ids, *_) in enumerate(own):
                     member[ids, i] = 1
                 lengths = np.array([len(i[1]) for i in own])
                 groups.append((
                     width, own, np.ascontiguousarray((points / np.where(norm > 0, norm, 1)).T, dtype=np.float32),
                     member, np.ceil(LCS_SHARE_WITH_ANSWER * lengths), lengths - member.sum(axis=0, dtype=np.int64)))
-        bits = {i[0]: (places_of(i[1]), places_of(i[2])) for i in items}
 
         def leaks_in(where, ids):
             sums = _block_sums(turned[ids])
@@ -264,12 +267,12 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                     first[:, 1:] = near[:, 1:] != near[:, :-1]
                     told_apart = (member[near, j[:, None]] * first).sum(axis=1, dtype=np.int64)
                     for c in np.nonzero(told_apart + repeats[j] >= least[j])[0]:
-                        item_id, words, answer = own[j[c]]
+                        item_id, words, answer, word_places, answer_places = own[j[c]]
                         read = ids[max(0, int(q[c]) - 1) * BLOCK:(int(q[c]) + width + 1) * BLOCK].tolist()
-                        share = lcs_length(bits[item_id][0], len(words), read) / len(words)
+                        share = lcs_length(word_places, len(words), read) / len(words)
                         if share < LCS_SHARE_WITH_ANSWER:
                             continue
-                        told = lcs_length(bits[item_id][1], len(answer), read) / len(answer)
+                        told = lcs_length(answer_places, len(answer), read) / len(answer)
                         if share >= LCS_SHARE or told >= ANSWER_SHARE:
                             # a passage may start in the padding before its text
                             row, offset, first = where[np.searchsorted(firsts, q[c] + width - 1, side="right") - 1]
@@ -304,7 +307,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for r in sorted(rows, key=lambda r: r["item_id"]):
             ws = words_of(r["text"])
             if len(ws) >= LEAST_WORDS:
-                items.append((r["item_id"], ws, words_of(r["answer"]) or ws[-ANSWER_WORDS:]))
+                told, parts = words_of(r["answer"]) or ws[-ANSWER_WORDS:], -(-len(ws) // PART_WORDS)
+                cuts = [len(ws) * k // parts for k in range(parts + 1)]
+                items += [(r["item_id"], ws[a:b], told) for a, b in zip(cuts, cuts[1:])]
         if items:
             found = found.union(_search(docs, items))
     best = F.struct("share", "answer_share", "cosine", (-F.col("at_word")).alias("at"))
