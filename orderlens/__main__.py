@@ -16,6 +16,7 @@ from orderlens.operators.models import TrainSettings
 from orderlens.plans import build, scoring, training
 from orderlens.schemas import ORDERS_TABLE
 from orderlens.session import build_session
+from orderlens.sources.writers import read_upserted
 from orderlens.streaming.ingest import DEFAULT_BATCH_SIZE
 
 
@@ -39,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
             spark, args.raw, args.root, args.batch_size, args.reset, not args.no_csv))
         return 0
 
-    level = spark.read.parquet(f"{args.root}/{ORDERS_TABLE}")
+    level = read_upserted(spark, f"{args.root}/{ORDERS_TABLE}")
     if args.command == "train":
         training.train_all(level, args.root, TrainSettings(trees=args.trees))
         return 0

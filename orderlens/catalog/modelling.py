@@ -9,7 +9,7 @@ from orderlens.catalog.orders import r
 from orderlens.catalog.relations import DELAY_STAND_IN, REVIEW_STAND_IN
 from orderlens.catalog.text import _SECTIONS, headed_documents
 from orderlens.operators import evaluation, features, models, retrieval, risk
-from orderlens.schemas import MODEL_NAMES, ORDER_TIME_CATEGORICAL, feature_columns
+from orderlens.schemas import MODEL_NAMES, ORDER_TIME_CATEGORICAL, model_inputs
 from orderlens.session import scratch_path, staged
 
 
@@ -87,7 +87,7 @@ def sampled_features(spark, sf_dir):
     )
 
 
-_NUMERIC = feature_columns("delay")[0]
+_NUMERIC = model_inputs("delay")[0]
 
 
 @query("m2_median_imputation", "\nUNION ALL\n".join(

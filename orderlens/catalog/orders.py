@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orderlens.catalog.core import order_level, query
 from orderlens.functions import scalar as S
 from orderlens.operators import features, order_level as build
-from orderlens.schemas import ORDER_TIMESTAMPS, feature_columns
+from orderlens.schemas import ORDER_TIMESTAMPS, model_inputs
 from orderlens.sources.driver_tables import order_tables, view
 
 
@@ -328,7 +328,7 @@ def ratio_and_cross_state(spark, sf_dir):
 
 
 _FEATURE_SQL = ", ".join(
-    f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in feature_columns("delay")[0]
+    f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in model_inputs("delay")[0]
 )
 
 
@@ -337,7 +337,7 @@ _FEATURE_SQL = ", ".join(
            main_seller_state FROM features
 """)
 def feature_projection(spark, sf_dir):
-    numeric, categorical = feature_columns("delay")
+    numeric, categorical = model_inputs("delay")
     return features.engineer_features(order_level(spark, sf_dir)).select(
         "order_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in numeric], *categorical
     )
@@ -365,12 +365,12 @@ def feature_label_table(spark, sf_dir):
     f"o.delivery_vs_estimate_days, CAST(f.is_late AS INT) AS is_late_int FROM features f "
     f"JOIN order_level o ON o.order_id = f.order_id) x) AS BIGINT) AS known_rows"
     for model in ("delay", "low_review")
-    for i, name in enumerate(sum(feature_columns(model), []))
+    for i, name in enumerate(sum(model_inputs(model), []))
 ))
 def model_columns(spark, sf_dir):
     level = order_level(spark, sf_dir)
     frame = features.with_outcome(features.feature_table(level), level)
-    lists = {m: sum(feature_columns(m), []) for m in ("delay", "low_review")}
+    lists = {m: sum(model_inputs(m), []) for m in ("delay", "low_review")}
     counted = frame.agg(*[F.count(c).alias(c) for c in lists["low_review"]])
     rows = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(i).cast("bigint").alias("position"),

@@ -12,7 +12,7 @@ from orderlens.schemas import (
     ORDER_TIME_CATEGORICAL,
     ORDER_TIME_NUMERIC,
     OUTCOME_NUMERIC,
-    feature_columns,
+    model_inputs,
 )
 
 
@@ -96,7 +96,7 @@ def with_outcome(features: DataFrame, order_level: DataFrame, *extra: str) -> Da
 
 def modeling_rows(frame: DataFrame, model: str) -> DataFrame:
     """Delivered orders with a known label, as 0.0 / 1.0 in ``label``."""
-    numeric, categorical = feature_columns(model)
+    numeric, categorical = model_inputs(model)
     label = F.col(LABEL_OF[model])
     return (
         frame.where((F.col("order_status") == "delivered") & label.isNotNull())
@@ -139,7 +139,7 @@ def derive_missing(orders: DataFrame) -> DataFrame:
 
 def model_input(orders: DataFrame, model: str, key: str = "order_id") -> DataFrame:
     """Exactly the model's columns, in order: safe numbers and non-blank categories."""
-    numeric, categorical = feature_columns(model)
+    numeric, categorical = model_inputs(model)
     present = set(orders.columns)
     return orders.select(
         key,

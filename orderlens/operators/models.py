@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderlens.operators import evaluation as E
-from orderlens.schemas import LABEL_OF, feature_columns
+from orderlens.schemas import LABEL_OF, model_inputs
 from orderlens.session import staged
 
 POOLED = "(infrequent)"
@@ -135,7 +135,7 @@ class RiskModel:
     def _input(self, df: DataFrame) -> DataFrame:
         """The imputed inputs, and the caller's row untouched in ``_row``."""
         row = F.struct(*[F.col(c) for c in df.columns])
-        inputs = sum(feature_columns(self.name), [])
+        inputs = sum(model_inputs(self.name), [])
         return self.imputation.apply(df.withColumn("_row", row)).select("_row", *inputs)
 
     def base_score(self, df: DataFrame, out: str = "base_score") -> DataFrame:
@@ -192,7 +192,7 @@ def train(rows: DataFrame, name: str, settings: TrainSettings = TrainSettings())
     ``rows`` are ``features.modeling_rows``.  The split frame is staged once: every
     fit reads it from there.
     """
-    numeric, categorical = feature_columns(name)
+    numeric, categorical = model_inputs(name)
     fold = F.floor(E.unit_hash("order_id", settings.seed + 1) * settings.folds).cast("int")
     split = staged(E.stratified_split(rows, seed=settings.seed).withColumn("fold", fold), "split")
     train_rows = split.where(F.col("split") == "train")
@@ -249,7 +249,7 @@ def permutation_importance(
     All shuffled copies are scored in one pass.  Shuffling pairs each sampled row
     with one a feature-specific distance further along the hashed order.
     """
-    numeric, categorical = feature_columns(model.name)
+    numeric, categorical = model_inputs(model.name)
     inputs = [*numeric, *categorical]
     # the sample holds ``sample_rows`` rows at most, so its windows are bounded
     hashed = Window.orderBy(E.unit_hash("order_id", seed + 2), "order_id")
@@ -308,8 +308,8 @@ DELAY_DRIVERS = 6
 
 def order_details(frame: DataFrame) -> DataFrame:
     """Per order the map of both models' inputs: numbers at two decimals, else text."""
-    inputs = sorted({c for m in LABEL_OF for c in sum(feature_columns(m), [])})
-    text = set(feature_columns("delay")[1])
+    inputs = sorted({c for m in LABEL_OF for c in sum(model_inputs(m), [])})
+    text = set(model_inputs("delay")[1])
 
     def shown(name: str):
         if name in text:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import scalar as S
 from orderlens.schemas import ORDER_TIMESTAMPS
-from orderlens.session import spread, staged
+from orderlens.session import staged
 
 
 def geo_centroids(geolocation: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def item_lines(
     """Item lines with the product and seller attributes the roll-up reads."""
     columns = ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
     return (
-        spread(items.where(F.col("order_id").isNotNull()).select(*columns))
+        items.where(F.col("order_id").isNotNull()).select(*columns)
         .join(translated_products(products, category_translation), "product_id", "left")
         .join(
             sellers.select("seller_id", "seller_state", "seller_zip_code_prefix"),
@@ -126,7 +126,7 @@ def seller_points(items: DataFrame, sellers: DataFrame, centroids: DataFrame) ->
         "seller_id", F.col("seller_zip_code_prefix").alias("zip_prefix")
     ).join(centroids, "zip_prefix")
     return (
-        spread(items.where(F.col("order_id").isNotNull()).select("order_id", "seller_id"))
+        items.where(F.col("order_id").isNotNull()).select("order_id", "seller_id")
         .join(places, "seller_id")
         .groupBy("order_id", "zip_prefix")
         .agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import text as X
-from orderlens.session import spread, staged
+from orderlens.session import staged
 
 TOP_K = 4
 DIRECT_BUDGET = 24_000
@@ -32,7 +32,9 @@ def term_counts(texts: DataFrame, key: str, stop_words: list[str]) -> DataFrame:
     """Occurrences of each word and word pair per text."""
     terms = X.with_pairs(X.content_words(F.col("text"), stop_words))
     return (
-        spread(texts.where(F.col("text").isNotNull()).select(key, "text"))
+        texts.where(F.col("text").isNotNull()).select(key, "text")
+        # the count below needs no shuffle of the longer term rows then
+        .repartition(key)
         .select(key, F.explode(terms).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -101,56 +103,22 @@ def nearest_vectors(
 ) -> DataFrame:
     """The k nearest corpus vectors per query by squared Euclidean distance, exactly.
 
-    Score is 1 / (1 + distance).  A query set within ``max_floats`` goes to every
-    task, which keeps only its k best per query: the corpus is scanned once and
-    never shuffled.  A larger set is cut into blocks that do fit; each block meets
-    the corpus in slices, so neither side is ever held whole.
+    Score is 1 / (1 + distance).  Queries go to the tasks in blocks of about ``max_floats``
+    numbers.  Each block is one scan of the corpus, which is never shuffled: a task keeps
+    only its k best per query, and these are stored before the next block.
     """
     spark = corpus.sparkSession
     width = queries.select(F.max(F.size("vector"))).first()[0] or 1
-    block_rows = max(1, max_floats // width)
-    head = queries.select("query_id", "vector").limit(block_rows + 1).toPandas()
-    schema = "query_id bigint, id bigint, distance double"
-    if len(head) <= block_rows:
-        if head.empty:
-            partial = spark.createDataFrame([], schema)
-        else:
-            shared = spark.sparkContext.broadcast(
-                (head["query_id"].to_numpy(), np.stack(head["vector"].to_list()).astype("float64"))
-            )
-
-            def scan(batches):
-                ids, wanted = shared.value
-                best = None
-                for batch in batches:
-                    if len(batch):
-                        best = _keep_nearest(best, ids, wanted, batch, k)
-                if best is not None:
-                    yield best
-
-            partial = corpus.select("id", "vector").mapInPandas(scan, schema)
-    else:
-        n_blocks = -(-queries.count() // max(1, block_rows // 2))
-        n_parts = max(1, corpus.rdd.getNumPartitions())
-        left = queries.select(
-            "query_id", "vector",
-            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"),
-        )
-        right = corpus.select(
-            "id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int").alias("part"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-        )
-
-        def meet(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-            if asked.empty or found.empty:
-                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-            wanted = np.stack(asked["vector"].to_list()).astype("float64")
-            return _keep_nearest(None, asked["query_id"].to_numpy(), wanted, found, k)
-
-        partial = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(
-            meet, schema
-        )
+    blocks = max(1, -(-queries.count() * width // max_floats))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    asked = staged(queries.select("query_id", "vector", block), "queries")
+    id_type = corpus.schema["id"].dataType.simpleString()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, distance double"
+    partial = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        head = asked.where(F.col("block") == b).toPandas()
+        if len(head):
+            partial = partial.unionByName(staged(_scan_for(head, corpus, k, schema), "nearest"))
     nearest = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
         partial.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
@@ -158,6 +126,24 @@ def nearest_vectors(
     )
 
 
+def _scan_for(head: pd.DataFrame, corpus: DataFrame, k: int, schema: str) -> DataFrame:
+    """The k nearest of every partition of the corpus per query in ``head``."""
+    shared = corpus.sparkSession.sparkContext.broadcast(
+        (head["query_id"].to_numpy(), np.stack(head["vector"].to_list()).astype("float64"))
+    )
+
+    def scan(batches):
+        ids, wanted = shared.value
+        best = None
+        for batch in batches:
+            if len(batch):
+                best = _keep_nearest(best, ids, wanted, batch, k)
+        if best is not None:
+            yield best
+
+    return corpus.select("id", "vector").mapInPandas(scan, schema)
+
+
 def _keep_nearest(best, ids, wanted, batch, k):
     """Merge a batch of vectors into the k nearest per query found so far."""
     vectors = np.stack(batch["vector"].to_list()).astype("float64")
@@ -307,7 +293,7 @@ def sentences(passages: DataFrame, order: str) -> DataFrame:
     a sentence repeated in a third of all passages costs one row per task.
     """
     chunks = (
-        spread(passages.where(F.col("text").isNotNull()).select(order, "text"))
+        passages.where(F.col("text").isNotNull()).select(order, "text")
         .select(order, F.posexplode(X.split_lines(F.col("text"))).alias("line", "line_text"))
         .select(
             order, "line",

@@ -12,28 +12,23 @@ from orderlens.sources.writers import (
     period_part,
     read_upserted,
     replace_table,
-    upsert_table,
     write_csv_copy,
 )
 from orderlens.streaming.ingest import IngestState, run_increment, save_state
 
 
-def build_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Both gold tables as lazy plans."""
-    level = build_order_level(tables)
-    return {ORDERS_TABLE: level, FEATURES_TABLE: feature_table(level)}
-
-
 def run_full(spark: SparkSession, raw_dir: str, root: str, write_csv: bool = True) -> dict[str, int]:
-    """Rebuild both gold tables; the features are read off the written order table."""
+    """Rebuild both gold tables in the layout of the increments; features come from the written orders."""
     raw = read_raw_tables(spark, raw_dir)
-    counts = {ORDERS_TABLE: replace_table(build_order_level(raw), f"{root}/{ORDERS_TABLE}")}
-    level = spark.read.parquet(f"{root}/{ORDERS_TABLE}")
+    part = period_part()
+    counts = {ORDERS_TABLE: replace_table(build_order_level(raw), f"{root}/{ORDERS_TABLE}", part)}
+    level = read_upserted(spark, f"{root}/{ORDERS_TABLE}")
     assert_no_fan_out(level, raw["orders"])
-    counts[FEATURES_TABLE] = replace_table(feature_table(level), f"{root}/{FEATURES_TABLE}")
+    features = feature_table(level, "order_purchase_timestamp")
+    counts[FEATURES_TABLE] = replace_table(features, f"{root}/{FEATURES_TABLE}", part)
     if write_csv:
         for name in counts:
-            write_csv_copy(spark.read.parquet(f"{root}/{name}"), f"{root}/csv/{name}")
+            write_csv_copy(read_upserted(spark, f"{root}/{name}"), f"{root}/csv/{name}")
     return counts
 
 
@@ -49,8 +44,3 @@ def run_incremental(
         for name in (ORDERS_TABLE, FEATURES_TABLE):
             write_csv_copy(read_upserted(spark, f"{root}/{name}"), f"{root}/csv/{name}")
     return state
-
-
-def publish_partitioned(level: DataFrame, root: str) -> int:
-    """The order table partitioned by purchase month, ready for increments."""
-    return upsert_table(level, f"{root}/{ORDERS_TABLE}", part=period_part())

@@ -80,20 +80,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint that keeps partition order (needed for global ranks)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# Inputs estimated below this size are spread over all cores before heavy work.
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small input over as many partitions as there are cores.
-
-    A table in one file with one row group is read by one task, and everything up
-    to the next shuffle then runs in that task.  Moving so little data is cheap; a
-    large input already has its many splits and is left as it is.
-    """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(estimate) >= SPREAD_BELOW_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -10,9 +10,18 @@ from orderlens.operators.risk import action_queue_export
 from orderlens.session import staged
 
 
-def replace_table(df: DataFrame, path: str) -> int:
-    """Replace a whole table; a second run leaves the same rows.  Returns the count."""
-    df.write.mode("overwrite").parquet(path)
+def replace_table(df: DataFrame, path: str, part: Column | None = None) -> int:
+    """Replace a whole table; a second run leaves the same rows.  Returns the count.
+
+    With ``part`` the table has the layout that ``upsert_table`` continues.
+    """
+    if part is None:
+        df.write.mode("overwrite").parquet(path)
+    else:
+        (
+            df.withColumn(PART, part).hint("rebalance", PART)
+            .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(path)
+        )
     return df.sparkSession.read.parquet(path).count()
 
 
@@ -85,6 +94,9 @@ def upsert_table(
         incoming = last_per_key(incoming, key, order)
     batch = staged(incoming.withColumn(PART, part if part is not None else key_part(key)), "batch")
     if _exists(spark, path):
+        if PART not in spark.read.parquet(path).columns:
+            # its files would be hidden by the new partition folders
+            raise ValueError(f"{path} is not partitioned by {PART}; rebuild it with replace_table(..., part)")
         stored = spark.read.schema(batch.schema).parquet(path)
         keys = batch.where(F.col(key).isNotNull()).select(key).distinct()
         older = stored.select(key, PART).join(keys, key, "left_semi").select(PART)

@@ -20,7 +20,7 @@ from orderlens.operators.features import feature_table
 from orderlens.operators.order_level import build_order_level
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE
 from orderlens.session import staged
-from orderlens.sources.writers import _exists, period_part, upsert_table
+from orderlens.sources.writers import _exists, key_part, merge_rows, period_part, read_upserted, upsert_table
 
 DEFAULT_BATCH_SIZE = 2000
 ORDER_CHILDREN = ("items", "payments", "reviews")
@@ -158,15 +158,31 @@ def run_increment(
     return advanced
 
 
+def arrivals_path(root: str, name: str) -> str:
+    return f"{root}/arrivals/{name}"
+
+
+def with_arrivals(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+    """The tables with the rows that streams stored in place of those of the same orders."""
+    current = dict(tables)
+    for name in ("orders", *ORDER_CHILDREN):
+        path = arrivals_path(root, name)
+        if _exists(spark, path):
+            current[name] = merge_rows(tables[name], read_upserted(spark, path))
+    return current
+
+
 def stream_ingest(
     spark: SparkSession, source: str, name: str, tables: dict[str, DataFrame], root: str,
     checkpoint: str, files_per_trigger: int = 1, period: str = "yyyy-MM",
 ) -> StreamingQuery:
     """Follow a folder of Parquet files of one table and keep the gold tables current.
 
-    ``name`` is the table the files belong to.  Each micro-batch names the orders
-    it touches; these are rebuilt from all tables and upserted.  The stream's
-    checkpoint is the ingest state, and a repeated batch upserts the same rows.
+    ``name`` is the table the files belong to.  A micro-batch holds all rows that its orders
+    have in that table: they replace older ones in the arrivals stored under ``root``, and
+    the orders are rebuilt from ``tables`` with all arrivals, those of other streams
+    included, and upserted.  The stream's checkpoint is the ingest state, and a repeated
+    batch upserts the same rows.
     """
     schema = tables[name].schema
     arrivals = (
@@ -175,7 +191,9 @@ def stream_ingest(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        ingest_orders(tables, changed_orders(batch), root, period)
+        rows = staged(batch, "arrivals")
+        upsert_table(rows, arrivals_path(root, name), part=key_part())
+        ingest_orders(with_arrivals(spark, tables, root), changed_orders(rows), root, period)
 
     return (
         arrivals.writeStream.foreachBatch(load)

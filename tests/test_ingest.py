@@ -127,11 +127,26 @@ def test_increments_equal_one_build(spark, tmp_path):
     assert writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}").count() == 7
 
 
+def test_increment_continues_a_full_build(spark, tmp_path):
+    write_raw(spark, tmp_path / "raw")
+    root = str(tmp_path / "gold")
+    build.run_full(spark, str(tmp_path / "raw"), root, write_csv=False)
+    want = build_order_level(readers.read_raw_tables(spark, str(tmp_path / "raw")))
+    build.run_incremental(spark, str(tmp_path / "raw"), root, 2, write_csv=False)
+    got = writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}")
+    assert same_rows(want.drop("customer_seller_distance_km"), got)
+    assert writers.read_upserted(spark, f"{root}/{FEATURES_TABLE}").count() == 7
+    writers.replace_table(want, str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="not partitioned"):
+        writers.upsert_table(want, str(tmp_path / "plain"))
+
+
 def test_stream_replay_and_late_review(spark, tmp_path):
     t, root = tables(spark), str(tmp_path / "gold")
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     t["orders"].repartition(3).write.parquet(source)
-    early = {**t, "reviews": t["reviews"].where("review_id <> 'r4'")}
+    # no order is known before it arrives
+    early = {**t, "orders": t["orders"].where("false"), "reviews": t["reviews"].where("review_id <> 'r4'")}
     for _ in range(2):  # the second start finds nothing new
         ingest.stream_ingest(spark, source, "orders", early, root, checkpoint).awaitTermination()
     got = writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}")
@@ -141,7 +156,7 @@ def test_stream_replay_and_late_review(spark, tmp_path):
     arrivals = str(tmp_path / "reviews")
     t["reviews"].where("review_id = 'r4'").write.parquet(arrivals)
     ingest.stream_ingest(
-        spark, arrivals, "reviews", t, root, str(tmp_path / "cp2")).awaitTermination()
+        spark, arrivals, "reviews", early, root, str(tmp_path / "cp2")).awaitTermination()
     want = build_order_level(t).drop("customer_seller_distance_km")
     assert same_rows(want, writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}"))
 

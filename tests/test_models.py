@@ -5,12 +5,12 @@ from orderlens.catalog.modelling import SMALL
 from orderlens.operators import features, models, risk
 from orderlens.operators import evaluation as E
 from orderlens.plans import scoring, training
-from orderlens.schemas import feature_columns
+from orderlens.schemas import model_inputs
 
 
 def synthetic_frame(spark, n=3000):
     """Orders whose lateness depends on the promise and the distance."""
-    numeric = feature_columns("low_review")[0]
+    numeric = model_inputs("low_review")[0]
     noise = {c: F.rand(i + 1) for i, c in enumerate(numeric)}
     base = spark.range(n).select(
         F.col("id").alias("order_id"), *[e.alias(c) for c, e in noise.items()])

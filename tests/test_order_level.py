@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from nine_tables import ROWS, tables
 from orderlens.functions import scalar as S
 from orderlens.operators import features, order_level as build
-from orderlens.schemas import feature_columns
+from orderlens.schemas import model_inputs
 
 
 @pytest.fixture(scope="module")
@@ -105,10 +105,10 @@ def test_labels(level):
 
 
 def test_feature_lists():
-    assert [len(x) for x in feature_columns("delay")] == [19, 4]
-    assert [len(x) for x in feature_columns("low_review")] == [22, 4]
+    assert [len(x) for x in model_inputs("delay")] == [19, 4]
+    assert [len(x) for x in model_inputs("low_review")] == [22, 4]
     with pytest.raises(ValueError):
-        feature_columns("other")
+        model_inputs("other")
 
 
 def test_join_free_frame_equals_the_joined_one(level):
