@@ -58,17 +58,15 @@ def _terms(key: str, alias: str, table: str) -> str:
                FROM query_weights q JOIN doc_weights d ON d.term = q.term
                JOIN query_norms qn ON qn.query_id = q.query_id JOIN doc_norms dn ON dn.id = d.id
                GROUP BY q.query_id, d.id)
-    SELECT query_id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+    SELECT query_id, id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
         FROM scores WHERE score > 0) s WHERE rank <= 4
 """)
 def tfidf_search(spark, sf_dir):
     stop = english_stop_words()
     postings, vocabulary = retrieval.tfidf_index(corpus(spark, sf_dir), stop)
-    # ids are left out of the check: exact copies in the corpus share a score up to
-    # the last bits, which the two engines sum in different orders
     return retrieval.tfidf_search(questions(spark, sf_dir), postings, vocabulary, stop).select(
-        "query_id", r("score"), F.col("rank").cast("bigint").alias("rank")
+        "query_id", "id", r("score"), F.col("rank").cast("bigint").alias("rank")
     )
 
 

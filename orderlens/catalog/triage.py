@@ -191,8 +191,9 @@ def row_ids(spark, sf_dir):
 
 @query("p23_display_rows", """
     SELECT CAST(order_id AS VARCHAR) AS order_id, customer_state, main_category,
-           CAST(n_items AS DOUBLE) AS n_items,
+           CAST(n_items AS DOUBLE) AS n_items, round(total_price, 2) AS total_price,
            round(estimated_delivery_days, 2) AS estimated_delivery_days,
+           round(actual_delivery_days, 2) AS actual_delivery_days,
            CAST(review_score AS DOUBLE) AS review_score,
            strftime(order_purchase_timestamp, '%Y-%m-%d') AS purchase_date,
            round(delay_probability, 4) AS delay_probability, delay_risk, delay_flag,
@@ -201,7 +202,7 @@ def row_ids(spark, sf_dir):
     FROM scored
 """)
 def display_rows(spark, sf_dir):
-    return risk.display_row(scored(spark, sf_dir)).drop("total_price", "actual_delivery_days")
+    return risk.display_row(scored(spark, sf_dir))
 
 
 @query("p25_late_indicator", """

@@ -1,26 +1,29 @@
-"""Exact quantiles and global ranks without collecting a column in one task.
+"""Exact quantiles, running totals and global ranks without collecting a column in one task.
 
 ``exact_quantiles`` narrows each quantile with a mergeable sketch to a bracket
-holding a sliver of the rows, then counts the values inside the bracket exactly.
-Three narrow scans, no sort of the data, and equal values travel as one counted row.
+holding a sliver of the rows, checks by counting that the bracket holds the ranks
+it is for, and widens it if not.  The values inside are then sorted in ranges over
+the cluster; equal values travel as one counted row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.session import checkpointed
+from orderlens.session import checkpointed, staged
 
-# Sketch accuracy: its rank error is at most n / SKETCH_ACCURACY; the bracket is
-# opened four times as wide on each side, and the result is verified against it.
+# Sketch accuracy: its rank error is at most n / SKETCH_ACCURACY; a bracket opens four
+# times as wide on each side, two ranks more for short columns, and is counted.
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 4.0 / SKETCH_ACCURACY
-# Up to this many values the margin is too few ranks wide to rely on; all values
-# of so small a column are counted instead.
-UNBRACKETED_UP_TO = 20_000
+MORE_RANKS = 2
+WIDER = 10.0
+
+_BRACKET = "metric string, probability double, n bigint, low double, high double, under bigint, rank bigint, upper_rank bigint"
 
 
 def _number(value: float) -> str:
@@ -28,90 +31,96 @@ def _number(value: float) -> str:
     return f"double('{float(value)!r}')"
 
 
+def _ranks(n: int, probability: float) -> tuple[int, int]:
+    """The two order statistics between which a quantile is interpolated."""
+    # guard against 0.9999… where the exact product is a whole number
+    lower = floor((n - 1) * probability + 1 + 1e-9)
+    return lower, min(lower + 1, n)
+
+
+def _brackets(values: DataFrame, metrics: Sequence[str], probabilities: Sequence[float]) -> list[tuple]:
+    """Rows of ``_BRACKET``, one per (metric, probability) of metrics with a value.
+
+    Reads one row of sketches and one of counts; a bracket that misses its ranks is
+    opened wider and counted again, at last from the least to the greatest value.
+    """
+    sizes = values.selectExpr(*[f"count(`{m}`) AS `{m}`" for m in metrics]).first()
+    wanted = [(m, p) for m in metrics if sizes[m] for p in probabilities]
+    margin, found = BRACKET_MARGIN, []
+    while wanted:
+        edges: dict[str, list[float]] = {}
+        for m, p in wanted:
+            side = margin + MORE_RANKS / sizes[m]
+            edges.setdefault(m, []).extend((max(p - side, 0.0), min(p + side, 1.0)))
+        cuts = values.selectExpr(*[
+            f"percentile_approx(`{m}`, array({', '.join(map(_number, own))}), {SKETCH_ACCURACY}) AS `{m}`"
+            for m, own in edges.items()
+        ]).first()
+        ends = {m: iter(cuts[m]) for m in edges}
+        tried = [(m, p, next(ends[m]), next(ends[m])) for m, p in wanted]
+        counts = values.selectExpr(*[
+            f"struct(count_if(`{m}` < {_number(low)}) AS under, count_if(`{m}` <= {_number(high)}) AS upto) AS b{i}"
+            for i, (m, _, low, high) in enumerate(tried)
+        ]).first()
+        wanted = []
+        for (m, p, low, high), (under, upto) in zip(tried, counts):
+            lower, upper = _ranks(sizes[m], p)
+            if under < lower and upper <= upto:
+                found.append((m, float(p), sizes[m], float(low), float(high), under, lower, upper))
+            else:
+                wanted.append((m, p))
+        margin *= WIDER
+    return found
+
+
 def exact_quantiles(
     df: DataFrame, metrics: Mapping[str, Column], probabilities: Sequence[float]
 ) -> DataFrame:
     """Linear-interpolated quantiles of several columns at once; nulls are skipped.
 
-    The sketch runs when this is called, the exact count when the result is read.
+    The columns are staged and their brackets found when this is called; the input is
+    read once.
 
     One row per (metric, probability): ``n`` values, ``rank`` of the lower order
     statistic, ``lower_value`` there, ``below`` (values smaller than it) and the
     interpolated ``quantile``.
     """
-    values = df.select(*[expr.cast("double").alias(name) for name, expr in metrics.items()])
-    edges = sorted({
-        min(max(p + side, 0.0), 1.0)
-        for p in probabilities for side in (-BRACKET_MARGIN, BRACKET_MARGIN)
-    })
-    # One row of sketches comes back: its size is set by the arguments alone, and the
-    # brackets are constants in what follows.
-    edge_list = ", ".join(_number(e) for e in edges)
-    sketches = values.selectExpr(*[
-        f"struct(percentile_approx(`{m}`, array({edge_list}), {SKETCH_ACCURACY}) AS cuts, "
-        f"count(`{m}`) AS n) AS `{m}`"
-        for m in metrics
-    ]).first()
-
-    brackets, folded_values = [], []
-    for m in metrics:
-        n, cuts = sketches[m]["n"], sketches[m]["cuts"]
-        fits = []
-        for p in probabilities:
-            low = high = "double(NULL)"
-            under, inside = "count_if(false)", f"`{m}` IS NOT NULL"
-            if n > UNBRACKETED_UP_TO:
-                low = _number(cuts[edges.index(min(max(p - BRACKET_MARGIN, 0.0), 1.0))])
-                high = _number(cuts[edges.index(min(max(p + BRACKET_MARGIN, 0.0), 1.0))])
-                under, inside = f"count_if(`{m}` < {low})", f"`{m}` BETWEEN {low} AND {high}"
-            fits.append(f"({inside})")
-            brackets.append(
-                f"struct('{m}' AS metric, {_number(p)} AS probability, {n}L AS n, {low} AS low, "
-                f"{high} AS high, {under} AS under)"
-            )
-        kept = " OR ".join(dict.fromkeys(fits))
-        folded_values.append(f"struct('{m}' AS metric, if({kept}, `{m}`, NULL) AS value)")
-    # Values under a bracket are only counted …
-    counted_under = values.selectExpr(f"array({', '.join(brackets)}) AS b").selectExpr("inline(b)")
-    # … those inside one are kept, equal values folded into one row.
+    values = staged(
+        df.select(*[expr.cast("double").alias(name) for name, expr in metrics.items()]), "quantile-values"
+    )
+    rows = _brackets(values, list(metrics), probabilities)
+    inside = {m: "false" for m in metrics}
+    for m, _, _, low, high, *_ in rows:
+        inside[m] += f" OR `{m}` BETWEEN {_number(low)} AND {_number(high)}"
     folded = (
-        values.selectExpr(f"inline(array({', '.join(folded_values)}))")
+        values.selectExpr("inline(array({}))".format(", ".join(
+            f"struct('{m}' AS metric, if({kept}, `{m}`, NULL) AS value)" for m, kept in inside.items()
+        )))
         .where("value IS NOT NULL")
         .groupBy("metric", "value").agg(F.count(F.lit(1)).alias("copies"))
     )
-    counted = folded.join(counted_under, "metric").where(
-        "coalesce(value >= low, true) AND coalesce(value <= high, true)"
+    # one row per (metric, probability): bounded by the arguments
+    brackets = F.broadcast(df.sparkSession.createDataFrame(rows, _BRACKET))
+    counted = running_sums(
+        folded.join(brackets, "metric").where(F.col("value").between(F.col("low"), F.col("high"))),
+        ["metric", "probability"], F.col("value"), "copies",
     )
-
-    upward = Window.partitionBy("metric", "probability").orderBy("value")
-    position = (F.col("n") - 1) * F.col("probability") + 1
-    # guard against 0.9999… where the exact product is a whole number
-    lower_rank = F.floor(position + F.lit(1e-9))
-    upper_rank = F.least(lower_rank + 1, F.col("n"))
-    reached = (
-        counted.withColumn("upto", F.sum("copies").over(upward) + F.col("under"))
-        .withColumn("below", F.col("upto") - F.col("copies"))
-        .withColumn("rank", lower_rank)
-        .withColumn("upper_rank", upper_rank)
+    reached = counted.withColumn("upto", F.col("copies_upto") + F.col("under")).withColumn(
+        "below", F.col("upto") - F.col("copies")
     )
     at_lower = (F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("upto"))
     at_upper = (F.col("below") < F.col("upper_rank")) & (F.col("upper_rank") <= F.col("upto"))
-    found = reached.groupBy("metric", "probability", "n", "rank").agg(
+    found = reached.where(at_lower | at_upper).groupBy("metric", "probability", "n", "rank").agg(
         F.max(F.when(at_lower, F.col("value"))).alias("lower_value"),
         F.max(F.when(at_lower, F.col("below"))).alias("below"),
         F.max(F.when(at_upper, F.col("value"))).alias("upper_value"),
     )
-    in_bracket = F.col("lower_value").isNotNull() & F.col("upper_value").isNotNull()
     weight = F.greatest(
         (F.col("n") - 1) * F.col("probability") + 1 - F.col("rank"), F.lit(0.0)
     )
     quantile = F.col("lower_value") + weight * (F.col("upper_value") - F.col("lower_value"))
     return found.select(
-        "metric", "probability", "n", "rank", "lower_value", "below",
-        # a bracket that missed its rank must stop the job, never answer wrongly
-        F.when(in_bracket, quantile)
-        .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .alias("quantile"),
+        "metric", "probability", "n", "rank", "lower_value", "below", quantile.alias("quantile")
     )
 
 
@@ -120,6 +129,29 @@ def exact_median(df: DataFrame, value: Column) -> Column:
     return exact_quantiles(df, {"value": value}, [0.5]).select("quantile").scalar()
 
 
+def running_sums(df: DataFrame, groups: Sequence[str], order: Column, *counts: str) -> DataFrame:
+    """``df`` with ``<count>_upto``: sums over a group's rows up to each row by ``order``.
+
+    Rows are staged in ranges of (groups, order), so a large group is spread over many
+    tasks; a window sees one range, and what lies before it is one row per range and group.
+    ``order`` must tell the rows of a group apart.
+    """
+    placed = staged(
+        df.withColumn("_order", order).repartitionByRange(*groups, "_order")
+        .withColumn("_part", F.spark_partition_id()),
+        "ranges",
+    )
+    keys = [*groups, "_part"]
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts]).select(
+        *keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in counts]
+    )
+    within = Window.partitionBy(*keys).orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(before, keys).withColumns(
+        {f"{c}_upto": F.sum(c).over(within) + F.col(f"_before_{c}") for c in counts}
+    ).drop("_order", "_part", *[f"_before_{c}" for c in counts])
+
+
 def with_global_rank(df: DataFrame, *order: str, rank: str = "rank") -> DataFrame:
     """1-based rank of every row under a total order, without a single-task window.
 
@@ -157,30 +189,13 @@ def with_global_rank(df: DataFrame, *order: str, rank: str = "rank") -> DataFram
     )
 
 
-def running_totals(counted: DataFrame, score: str, *counts: str, buckets: int = 1 << 16) -> DataFrame:
+def running_totals(counted: DataFrame, score: str, *counts: str) -> DataFrame:
     """Totals of ``counts`` over all rows with an equal or higher score.
 
-    ``counted`` holds one row per distinct score in [0, 1].  Scores are cut into
-    equal buckets; the totals of higher buckets come from one row per bucket,
-    and the window inside a bucket sees only that bucket's scores.  Output adds
-    ``<count>_at_or_above`` and ``<count>_above``.
+    ``counted`` holds one row per distinct score.  Output adds ``<count>_at_or_above``
+    and ``<count>_above``.
     """
-    bucket = F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)).alias("_bucket")
-    placed = counted.select("*", bucket)
-    higher = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = placed.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in counts]).select(
-        "_bucket", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"_higher_{c}") for c in counts]
-    )
-    within = (
-        Window.partitionBy("_bucket").orderBy(F.col(score).desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    # at most one row per bucket, so the broadcast is bounded by ``buckets``
-    return (
-        placed.join(F.broadcast(per_bucket), "_bucket")
-        .withColumns({
-            f"{c}_at_or_above": F.sum(c).over(within) + F.col(f"_higher_{c}") for c in counts
-        })
-        .withColumns({f"{c}_above": F.col(f"{c}_at_or_above") - F.col(c) for c in counts})
-        .drop("_bucket", *[f"_higher_{c}" for c in counts])
-    )
+    summed = running_sums(counted, [], -F.col(score), *counts)
+    return summed.withColumns(
+        {f"{c}_above": F.col(f"{c}_upto") - F.col(c) for c in counts}
+    ).withColumnsRenamed({f"{c}_upto": f"{c}_at_or_above" for c in counts})

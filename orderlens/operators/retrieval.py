@@ -16,6 +16,8 @@ from orderlens.functions import text as X
 from orderlens.session import staged
 
 TOP_K = 4
+# Scores that differ by rounding errors of their sums are ties.
+SCORE_DIGITS = 9
 DIRECT_BUDGET = 24_000
 PASSAGE_CHARS = 2_600
 CONTEXT_BUDGET = 20_000
@@ -88,7 +90,7 @@ def tfidf_search(
         .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
         .where(F.col("score") > 0)
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -191,13 +193,15 @@ def within_budget(
     return kept
 
 
-def context_passages(docs: DataFrame, group: str, order: str) -> DataFrame:
-    """Passages of at most 2,600 characters, 20,000 per group, with their snippet."""
+def context_passages(
+    docs: DataFrame, group: str, order: str, passage_chars: int = PASSAGE_CHARS, budget: int = CONTEXT_BUDGET
+) -> DataFrame:
+    """Passages of at most ``passage_chars`` characters, ``budget`` per group, with their snippet."""
     cut = docs.withColumn(
-        "snippet", X.strip_space(F.substring("text", 1, PASSAGE_CHARS))
+        "snippet", X.strip_space(F.substring("text", 1, passage_chars))
     )
-    kept = within_budget(cut, group, order, F.length("snippet"), CONTEXT_BUDGET)
-    return kept.join(cut.select(order, "snippet"), order)
+    kept = within_budget(cut, group, order, F.length("snippet"), budget)
+    return kept.join(cut.select(group, order, "snippet"), [group, order])
 
 
 # ---- sections and corpora ---------------------------------------------------------
