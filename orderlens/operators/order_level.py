@@ -42,7 +42,7 @@ def translated_products(products: DataFrame, category_translation: DataFrame) ->
 def item_lines(
     items: DataFrame, products: DataFrame, category_translation: DataFrame, sellers: DataFrame
 ) -> DataFrame:
-    """Item lines with the product and seller attributes the roll-up reads."""
+    """Item lines with their product's and seller's attributes."""
     columns = ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
     return (
         items.where(F.col("order_id").isNotNull()).select(*columns)
@@ -54,42 +54,73 @@ def item_lines(
     )
 
 
-# What a line contributes to: its product carries the line's figures, the other
-# kinds are only counted.
-_PRODUCT, _SELLER, _CATEGORY, _STATE = range(4)
-_FIGURES = {
-    "line": "order_item_id", "price": "price", "freight": "freight_value",
-    "weight": "product_weight_g", "volume": "product_volume_cm3",
-}
+def item_groups(
+    items: DataFrame, products: DataFrame, category_translation: DataFrame, sellers: DataFrame,
+    centroids: DataFrame | None = None,
+) -> DataFrame:
+    """Item lines folded to one row per (order, product, seller), with what the roll-up reads.
+
+    The items are read and folded first, so the dimensions meet counted rows instead of
+    raw lines.  With ``centroids`` each row also has the place its seller ships from.
+    """
+    folded = items.where(F.col("order_id").isNotNull()).groupBy("order_id", "product_id", "seller_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.count("order_item_id").alias("lines"),
+        F.sum("price").alias("price"), F.sum("freight_value").alias("freight"),
+    )
+    shippers = sellers.select("seller_id", "seller_state", F.col("seller_zip_code_prefix").alias("zip_prefix"))
+    if centroids is not None:
+        shippers = shippers.join(centroids, "zip_prefix", "left")
+    return folded.join(translated_products(products, category_translation), "product_id", "left").join(
+        shippers, "seller_id", "left"
+    )
 
 
-def item_rollup(lines: DataFrame) -> DataFrame:
+# What a group of lines counts for: its product carries the figures, its place the
+# coordinates, the other kinds are only counted.
+_PRODUCT, _SELLER, _CATEGORY, _STATE, _PLACE = range(5)
+
+
+def item_rollup(groups: DataFrame) -> DataFrame:
     """Counts, money, physical attributes and modal values per order.
 
-    Lines are first folded to one row per (order, kind, value), which spreads a
-    hot order over the cluster and needs fixed-width buffers only; distinct and
-    modal values per order are then plain counts and a minimum over those rows.
+    The rows of ``item_groups`` are folded to one row per (order, kind, value), which
+    spreads a hot order over the cluster and needs fixed-width buffers only; distinct and
+    modal values per order are then plain counts and a minimum over those rows.  With
+    places, ``seller_points`` lists them with their numbers of lines; it is bounded by
+    the number of zip prefixes.
     """
-
-    def cell(kind: int, value: str) -> Column:
+    with_places = "lat" in groups.columns
+    copies = F.col("copies")
+    figures = {
+        "lines": F.col("lines"), "price": F.col("price"), "freight": F.col("freight"),
+        "weight": F.col("product_weight_g") * copies, "volume": F.col("product_volume_cm3") * copies,
+        "weights": F.when(F.col("product_weight_g").isNotNull(), copies),
+        "volumes": F.when(F.col("product_volume_cm3").isNotNull(), copies),
+        "max_weight": F.col("product_weight_g"),
+    }
+    place = {"lat": F.col("lat"), "lng": F.col("lng")} if with_places else {}
+
+    def cell(kind: int, value: Column) -> Column:
+        own = {_PRODUCT: figures, _PLACE: place}.get(kind, {})
         carried = [
-            (F.col(c) if kind == _PRODUCT else F.lit(None)).cast("double").alias(name)
-            for name, c in _FIGURES.items()
+            (own[name] if name in own else F.lit(None)).cast("double").alias(name)
+            for name in [*figures, *place]
         ]
-        return F.struct(
-            F.lit(kind).alias("kind"), F.col(value).cast("string").alias("value"), *carried
-        )
-
-    cells = lines.select("order_id", F.inline(F.array(
-        cell(_PRODUCT, "product_id"), cell(_SELLER, "seller_id"),
-        cell(_CATEGORY, "product_category_name_english"), cell(_STATE, "seller_state"),
-    ))).where((F.col("kind") == _PRODUCT) | F.col("value").isNotNull())
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), "copies", *carried)
+
+    kinds = [
+        cell(_PRODUCT, F.col("product_id")), cell(_SELLER, F.col("seller_id")),
+        cell(_CATEGORY, F.col("product_category_name_english")), cell(_STATE, F.col("seller_state")),
+    ]
+    if with_places:
+        kinds.append(cell(_PLACE, F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("zip_prefix"))))
+    cells = groups.select("order_id", F.inline(F.array(*kinds))).where(
+        (F.col("kind") == _PRODUCT) | F.col("value").isNotNull()
+    )
     folded = cells.groupBy("order_id", "kind", "value").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.count("line").alias("lines"),
-        *[F.sum(c).alias(c) for c in ("price", "freight", "weight", "volume")],
-        F.count("weight").alias("weights"), F.count("volume").alias("volumes"),
-        F.max("weight").alias("max_weight"),
+        F.sum("copies").alias("copies"), F.max("max_weight").alias("max_weight"),
+        *[F.sum(c).alias(c) for c in figures if c != "max_weight"],
+        *[F.max(c).alias(c) for c in place],
     )
 
     def distinct(kind: int) -> Column:
@@ -101,38 +132,21 @@ def item_rollup(lines: DataFrame) -> DataFrame:
         rarity = F.struct(-F.col("copies"), F.col("value"))
         return F.min_by(F.when(own, F.col("value")), F.when(own, rarity))
 
+    points = [F.collect_list(F.when(
+        F.col("kind") == _PLACE, F.struct("lat", "lng", F.col("copies").alias("lines"))
+    )).alias("seller_points")] if with_places else []
     return folded.groupBy("order_id").agg(
-        F.sum("lines").alias("n_items"),
+        F.sum("lines").cast("bigint").alias("n_items"),
         distinct(_SELLER).alias("n_sellers"),
         distinct(_PRODUCT).alias("n_products"),
         F.coalesce(F.sum("price"), F.lit(0.0)).alias("total_price"),
         F.coalesce(F.sum("freight"), F.lit(0.0)).alias("total_freight"),
-        (F.sum("weight") / F.nullif(F.sum("weights"), F.lit(0))).alias("avg_product_weight_g"),
+        (F.sum("weight") / F.nullif(F.sum("weights"), F.lit(0.0))).alias("avg_product_weight_g"),
         F.max("max_weight").alias("max_product_weight_g"),
-        (F.sum("volume") / F.nullif(F.sum("volumes"), F.lit(0))).alias("avg_product_volume_cm3"),
+        (F.sum("volume") / F.nullif(F.sum("volumes"), F.lit(0.0))).alias("avg_product_volume_cm3"),
         modal(_CATEGORY).alias("main_category"),
         modal(_STATE).alias("main_seller_state"),
-    )
-
-
-def seller_points(items: DataFrame, sellers: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Per order: the places it ships from, each with its number of lines.
-
-    Sellers are placed first, so item lines meet one dimension only.  Lines are
-    counted per (order, zip), which also folds a hot order; an order's array is
-    bounded by the number of zip prefixes.
-    """
-    places = sellers.select(
-        "seller_id", F.col("seller_zip_code_prefix").alias("zip_prefix")
-    ).join(centroids, "zip_prefix")
-    return (
-        items.where(F.col("order_id").isNotNull()).select("order_id", "seller_id")
-        .join(places, "seller_id")
-        .groupBy("order_id", "zip_prefix")
-        .agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"),
-             F.count(F.lit(1)).alias("lines"))
-        .groupBy("order_id")
-        .agg(F.collect_list(F.struct("lat", "lng", "lines")).alias("seller_points"))
+        *points,
     )
 
 
@@ -214,8 +228,8 @@ def build_order_level(tables: dict[str, DataFrame]) -> DataFrame:
     # Reduced once to one row per zip prefix and staged: the joins below then see
     # its real (small) size instead of that of all raw points.
     centroids = staged(geo_centroids(tables["geolocation"]), "centroids")
-    lines = item_lines(
-        tables["items"], tables["products"], tables["category_translation"], tables["sellers"]
+    groups = item_groups(
+        tables["items"], tables["products"], tables["category_translation"], tables["sellers"], centroids
     )
     base = (
         parse_order_timestamps(tables["orders"])
@@ -229,10 +243,7 @@ def build_order_level(tables: dict[str, DataFrame]) -> DataFrame:
         )
     )
     joined = (
-        base.join(item_rollup(lines), "order_id", "left")
-        .join(
-            seller_points(tables["items"], tables["sellers"], centroids), "order_id", "left"
-        )
+        base.join(item_rollup(groups), "order_id", "left")
         .join(payment_rollup(tables["payments"]), "order_id", "left")
         .join(latest_review(tables["reviews"]), "order_id", "left")
     )
