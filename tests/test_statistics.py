@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import evaluation as E
 from orderlens.operators import forecast, profile, segments
+from orderlens.operators import quantiles
 from orderlens.operators.quantiles import exact_quantiles, with_global_rank
 
 
@@ -57,6 +58,15 @@ def test_global_rank(spark):
     assert list(got["customer"]) == list(want["customer"])
 
 
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BRACKET_MARGIN", 1e-5)
+    monkeypatch.setattr(quantiles, "MORE_RANKS", 0)
+    values = [float(v * v) for v in range(500)]
+    got = exact_quantiles(frame(spark, values), {"v": F.col("v")}, [0.1, 0.5])
+    assert {r["probability"]: r["quantile"] for r in got.collect()} == pytest.approx(
+        {p: np.quantile(values, p) for p in (0.1, 0.5)})
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 10, 11])
 def test_spend_tiers_follow_first_rank_quartiles(spark, n):
     spend = np.array([0.0] * (n // 2) + list(np.arange(1, n - n // 2 + 1) * 10.0))
