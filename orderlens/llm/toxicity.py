@@ -52,14 +52,23 @@ SEPARATORS = ".-_*~'`^"
 READ_SIGN, DROP_REPEAT, DROP_SEPARATOR = -1.0, -0.7, -0.3
 
 WORD = re.compile(r"[^\W\d_]+")
+_LEET = re.escape("".join(LEET))
 _SIGNS = re.escape("".join(LEET) + SEPARATORS)
+#: Signs that are no digits: without one of them or a letter, digits are a number.
+_MARKS = re.escape("".join(c for c in LEET if not c.isdigit()))
+#: What may stand around a word without being a part of it; some of it is leetspeak too.
+AROUND = ".,;:?\"'"
+BRACKETS = AROUND + "()[]{}<>"
 SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?!\S)")
 DISGUISED = re.compile(
     rf"[^\W\d_][{_SIGNS}]+[^\W_]"  # m1xed
-    rf"|^[{re.escape('@$!|€£¡(<0-9')}]{{1,3}}[^\W\d_]{{2}}"  # $ign first
+    rf"|^[{_LEET}][{_SIGNS}]*[^\W\d_]"  # $ign or digit first
+    rf"|[^\W\d_][{_SIGNS}]*[{_LEET}]$"  # sign la$t
+    rf"|^(?=.*[{_MARKS}])[{_SIGNS}]*[{_LEET}][{_SIGNS}]*[{_LEET}][{_SIGNS}]*$"  # $!9n$ throughout
     r"|([^\W\d_])\1\1"  # repeeeated
 )
 REPEATED = re.compile(r"([^\W\d_])\1\1")
+DOUBLED = re.compile(r"(\S)\1")
 
 
 class CharModel:
@@ -89,19 +98,27 @@ class CharModel:
                 self.memory[key] = found
         return found
 
-    def decode(self, token: str) -> str:
-        """The most likely reading of one disguised stretch (Viterbi over its lattice)."""
+    def readings(self, token: str) -> set[str]:
+        """Readings of one stretch: with repeats dropped freely, and with doubled letters kept."""
+        return {self.decode(token, kept) for kept in ((1, 2) if DOUBLED.search(token) else (1,))}
+
+    def decode(self, token: str, kept: int = 1) -> str:
+        """The most likely reading of one disguised stretch (Viterbi over its lattice).
+
+        Of a letter or sign repeated, the first ``kept`` are never dropped.
+        """
         states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
-        previous = ""
+        previous, run = "", 0
         for c in token:
+            run = run + 1 if c == previous else 1
             options: list[tuple[str, float]] = []
             if c.isalpha():
                 options.append((c, 0.0))
-                if c == previous:
+                if run > kept:
                     options.append(("", DROP_REPEAT))
             if c in LEET:
                 options += [(x, READ_SIGN) for x in LEET[c]]
-                if c == previous:
+                if run > kept:
                     options.append(("", DROP_REPEAT))
             if not c.isalnum() and (c in SEPARATORS or c == " " or c not in LEET):
                 options.append(("", DROP_SEPARATOR))
@@ -138,8 +155,15 @@ class Reader:
     def _of_token(self, token: str) -> set[str]:
         letters = token.isalpha()
         words = [token] if letters else WORD.findall(token)
-        if len(token) <= LONGEST_TOKEN and (REPEATED if letters else DISGUISED).search(token):
-            words.append(self.model.decode(token.rstrip("!").strip(".,;:?\"'")))
+        if letters:
+            stretches = {token} if REPEATED.search(token) else ()
+        else:
+            # a bracket may be a letter or stand around the word: both are read
+            inside = token.rstrip("!")
+            stretches = {x for x in (inside.strip(AROUND), inside.strip(BRACKETS).rstrip("!")) if DISGUISED.search(x)}
+        if len(token) <= LONGEST_TOKEN:
+            for x in stretches:
+                words += self.model.readings(x)
         found = features(words, self.only)
         if len(self.known) + len(self.plain) < TOKENS_KEPT:
             if found:

@@ -235,6 +235,27 @@ def test_toxicity_learns_and_reads_disguises(spark):
     assert toxicity.score(docs, toxicity.fit(docs, table.where("false"))).where("score > 0.5").count() == 0
 
 
+def letter_counts(words):
+    padded = [f"  {w} " for w in words]
+    return dict(Counter(p[i:i + 3] for p in padded for i in range(len(p) - 2)))
+
+
+USUAL = "the river as stone window garden letter morning paper what a man well trash evil".split() * 20
+READER = toxicity.Reader(letter_counts([*USUAL, *["stupid", "idiot", "ass", "dumbass"] * 5]))
+
+
+@pytest.mark.parametrize("token, word", [
+    ("5tupid", "stupid"), ("1diot", "idiot"), ("7rash", "trash"), ("3vil", "evil"), ("a$$", "ass"), ("@55", "ass"),
+    ("@ss", "ass"), ("4ss", "ass"), ("dumba$$", "dumbass"), ("(5tupid)", "stupid"), ("\"1d10t\"!!", "idiot"),
+])
+def test_leetspeak_anywhere_in_a_token(token, word):
+    assert "=" + word in READER.features(f"the {token} paper")
+
+
+def test_numbers_are_no_leetspeak():
+    assert not READER.features("455 2024 1,000 (455) 455!")
+
+
 def test_decontamination(spark):
     draw = np.random.default_rng(6)
     words = [f"wort{i}" for i in range(400)]
