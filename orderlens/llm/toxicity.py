@@ -1,9 +1,10 @@
 """Toxicity of documents, read through disguises by a noisy-channel decoder.
 
 Disguised stretches are found by their look: letters mixed with digits or signs, letters
-repeated, single letters spaced out.  Each is a lattice of readings (a sign stands for
-itself or for letters, a repeated letter or a separator may drop out); Viterbi search picks
-the most likely reading under a character trigram model and the channel's costs.  Words of
+repeated, single letters or signs spaced out.  Each is a lattice of readings (a sign stands
+for itself or for letters, a repeated letter may drop out, a separator may drop out or end a
+word); Viterbi search picks the most likely reading, of one or several words, under a
+character trigram model and the channel's costs.  Stretches of every length are read.  Words of
 the restored text are then scored by a logistic regression.
 
 The character model is counted over the words of all given documents.  The classifier sees
@@ -38,9 +39,8 @@ CANDIDATES, FEATURES = 20_000, 2_000
 LEAST_TOXIC_ROWS, LEAST_Z = 3, 3.0
 #: Letters of the character model, the most frequent ones.
 LETTERS = 64
-LONGEST_TOKEN = 32
-#: Tokens counted before they are folded, and remembered, per task.
-TOKENS_AT_ONCE, TOKENS_KEPT = 400_000, 200_000
+#: Tokens counted before they are folded, and remembered, per task; longer ones are read anew.
+TOKENS_AT_ONCE, TOKENS_KEPT, LONGEST_KEPT = 400_000, 200_000, 64
 
 # What signs and digits stand for in leetspeak.
 LEET = {
@@ -48,7 +48,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "¡": "i", "£": "l",
 }
 SEPARATORS = ".-_*~'`^"
-#: Log costs of the channel: reading a sign as a letter, dropping a repeat, dropping a separator.
+#: Log costs of the channel: reading a sign as a letter, dropping a repeat, passing a separator.
 READ_SIGN, DROP_REPEAT, DROP_SEPARATOR = -1.0, -0.7, -0.3
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -56,10 +56,16 @@ _LEET = re.escape("".join(LEET))
 _SIGNS = re.escape("".join(LEET) + SEPARATORS)
 #: Signs that are no digits: without one of them or a letter, digits are a number.
 _MARKS = re.escape("".join(c for c in LEET if not c.isdigit()))
+#: A letter, or a sign for one.
+_ONE = rf"(?:[^\W\d_]|[{_LEET}])"
 #: What may stand around a word without being a part of it; some of it is leetspeak too.
 AROUND = ".,;:?\"'"
 BRACKETS = AROUND + "()[]{}<>"
-SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?!\S)")
+SPACED = re.compile(
+    rf"(?<![^\s\"'(\[]){_ONE}(?:[\s.*_~'`^-]{{1,3}}{_ONE}){{2,}}(?=[.,:;?!\"')\]]*(?!\S))"
+)
+#: Digits alone are numbers.
+MEANT = re.compile(rf"[^\W\d_]|[{_MARKS}]")
 DISGUISED = re.compile(
     rf"[^\W\d_][{_SIGNS}]+[^\W_]"  # m1xed
     rf"|^[{_LEET}][{_SIGNS}]*[^\W\d_]"  # $ign or digit first
@@ -68,6 +74,10 @@ DISGUISED = re.compile(
     r"|([^\W\d_])\1\1"  # repeeeated
 )
 REPEATED = re.compile(r"([^\W\d_])\1\1")
+#: Separators, where a word may end.
+PARTS = re.compile(rf"[^\w{_LEET}]|_")
+#: Letters at least of a feature that is looked for inside a spaced stretch.
+LEAST_INSIDE = 4
 DOUBLED = re.compile(r"(\S)\1")
 
 
@@ -99,15 +109,19 @@ class CharModel:
         return found
 
     def readings(self, token: str) -> set[str]:
-        """Readings of one stretch: with repeats dropped freely, and with doubled letters kept."""
-        return {self.decode(token, kept) for kept in ((1, 2) if DOUBLED.search(token) else (1,))}
+        """Readings of one stretch: repeats dropped or doubled letters kept, as one word or as several."""
+        parted = (False, True) if PARTS.search(token) else (False,)
+        kept = (1, 2) if DOUBLED.search(token) else (1,)
+        return {self.decode(token, k, p) for k in kept for p in parted}
 
-    def decode(self, token: str, kept: int = 1) -> str:
+    def decode(self, token: str, kept: int = 1, parted: bool = True) -> str:
         """The most likely reading of one disguised stretch (Viterbi over its lattice).
 
-        Of a letter or sign repeated, the first ``kept`` are never dropped.
+        Of a letter or sign repeated, the first ``kept`` are never dropped.  If ``parted``,
+        a separator may end a word, which is a space in the reading.
         """
-        states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+        # last two letters: (total, (letter, what comes before it)), so that a step costs the same anywhere
+        states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
         previous, run = "", 0
         for c in token:
             run = run + 1 if c == previous else 1
@@ -120,15 +134,22 @@ class CharModel:
                 options += [(x, READ_SIGN) for x in LEET[c]]
                 if run > kept:
                     options.append(("", DROP_REPEAT))
-            if not c.isalnum() and (c in SEPARATORS or c == " " or c not in LEET):
+            if not c.isalnum() and c not in LEET:
                 options.append(("", DROP_SEPARATOR))
+                if parted:
+                    options.append((" ", DROP_SEPARATOR))
             if not options:
                 options.append(("", READ_SIGN))
-            following: dict[str, tuple[float, str]] = {}
+            following: dict[str, tuple[float, tuple | None]] = {}
             for state, (total, out) in states.items():
                 for letter, cost in options:
-                    if letter:
-                        value, now, text = total + cost + self.score(state, letter), state[1] + letter, out + letter
+                    if letter == " ":
+                        if state == "  ":
+                            continue
+                        # the end of a word stands for the separator
+                        value, now, text = total + cost - 2.0 + self.score(state, " "), "  ", (" ", out)
+                    elif letter:
+                        value, now, text = total + cost + self.score(state, letter), state[1] + letter, (letter, out)
                     else:
                         # a dropped sign is one letter less to explain
                         value, now, text = total + cost - 2.0, state, out
@@ -136,7 +157,12 @@ class CharModel:
                     if best is None or value > best[0]:
                         following[now] = (value, text)
             states, previous = following, c
-        return max((total + self.score(state, " "), out) for state, (total, out) in states.items())[1]
+        best = max(states, key=lambda state: (states[state][0] + self.score(state, " "), state))
+        letters, link = [], states[best][1]
+        while link is not None:
+            letters.append(link[0])
+            link = link[1]
+        return "".join(reversed(letters))
 
 
 class Reader:
@@ -149,9 +175,23 @@ class Reader:
         self.model = CharModel(trigrams)
         self.only = only
         self.known: dict[str, set[str]] = {}
+        #: Lengths of words of interest: where one of them starts in a spaced stretch nothing tells.
+        self.sizes = sorted({len(f) - 1 for f in only or () if f[0] == "=" and len(f) > LEAST_INSIDE})
         #: Tokens without any feature of interest: most of them.
         self.plain: set[str] = set()
 
+    def _words(self, stretch: str) -> list[str]:
+        return [word for reading in self.model.readings(stretch) for word in reading.split()]
+
+    def _inside(self, stretch: str) -> set[str]:
+        """Words of interest anywhere in a stretch of single letters: trigrams may run words together."""
+        found = set()
+        for reading in self.model.readings(stretch) if self.sizes else ():
+            run = reading.replace(" ", "")
+            for size in self.sizes:
+                found.update("=" + run[at:at + size] for at in range(len(run) - size + 1))
+        return found & self.only if found else found
+
     def _of_token(self, token: str) -> set[str]:
         letters = token.isalpha()
         words = [token] if letters else WORD.findall(token)
@@ -160,12 +200,15 @@ class Reader:
         else:
             # a bracket may be a letter or stand around the word: both are read
             inside = token.rstrip("!")
-            stretches = {x for x in (inside.strip(AROUND), inside.strip(BRACKETS).rstrip("!")) if DISGUISED.search(x)}
-        if len(token) <= LONGEST_TOKEN:
-            for x in stretches:
-                words += self.model.readings(x)
+            core = inside.strip(BRACKETS).rstrip("!")
+            stretches = {x for x in (inside.strip(AROUND), core, *PARTS.split(core)) if DISGUISED.search(x)}
+        for x in stretches:
+            words += self._words(x)
         found = features(words, self.only)
-        if len(self.known) + len(self.plain) < TOKENS_KEPT:
+        for x in stretches:
+            if SPACED.fullmatch(x):
+                found |= self._inside(x)
+        if len(token) <= LONGEST_KEPT and len(self.known) + len(self.plain) < TOKENS_KEPT:
             if found:
                 self.known[token] = found
             else:
@@ -181,9 +224,9 @@ class Reader:
             if got is None:
                 got = self._of_token(token)
             found |= got
-        if min(map(len, tokens), default=0) == 1:
-            for m in SPACED.finditer(low):
-                found |= features([self.model.decode(m.group())], self.only)
+        for m in SPACED.finditer(low):
+            if MEANT.search(m.group()):
+                found |= features(self._words(m.group()), self.only) | self._inside(m.group())
         return found
 
 
@@ -192,8 +235,7 @@ def features(words: list[str], only=None) -> set[str]:
     found = set()
     for w in words:
         size = len(w)
-        if size <= LONGEST_TOKEN:
-            found.add("=" + w)
+        found.add("=" + w)
         if size >= 4:
             found.add("^" + w[:4])
             if size >= 5:

@@ -242,6 +242,7 @@ def letter_counts(words):
 
 USUAL = "the river as stone window garden letter morning paper what a man well trash evil".split() * 20
 READER = toxicity.Reader(letter_counts([*USUAL, *["stupid", "idiot", "ass", "dumbass"] * 5]))
+CHOSEN = toxicity.Reader(READER.model.tri, frozenset(["=stupid", "=idiot", "=ass", "=what", "=man", "=river"]))
 
 
 @pytest.mark.parametrize("token, word", [
@@ -252,8 +253,23 @@ def test_leetspeak_anywhere_in_a_token(token, word):
     assert "=" + word in READER.features(f"the {token} paper")
 
 
+@pytest.mark.parametrize("stretch, words", [
+    ("st" + 30 * "u" + "pid", ["stupid"]), ("st" + 5000 * "u" + "pid", ["stupid"]), ("a s t u p i d", ["stupid"]),
+    ("s t u p i d i d i o t", ["stupid", "idiot"]), ("1 d 1 0 t", ["idiot"]), ("5 t u p 1 d!", ["stupid"]),
+    ("wh4t.a.stup1d.m4n.window.garden.letter.paper", ["what", "stupid", "man"]), ("@ 5 5", ["ass"]),
+    ("s\nt u  p.i_d,", ["stupid"]), ('"i d i o t"', ["idiot"]), ("r i v e r 1 d i o t s t 0 n e", ["idiot", "river"]),
+])
+def test_disguised_stretches_of_any_length_and_number_of_words(stretch, words):
+    assert {"=" + w for w in words} <= CHOSEN.features(f"the {stretch} paper")
+
+
+def test_long_words_are_features():
+    assert "=" + 20 * "ab" in READER.features("the " + 20 * "ab")
+
+
 def test_numbers_are_no_leetspeak():
     assert not READER.features("455 2024 1,000 (455) 455!")
+    assert not READER.features("4 5 5 2 0 2 4")
 
 
 def test_decontamination(spark):
