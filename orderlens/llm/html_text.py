@@ -3,8 +3,8 @@
 The standard library's streaming parser gives events; text is gathered in blocks, the
 "lines" of the page, and every block has the ratio of its characters to the tags met in it.
 The ratios are smoothed by a Gaussian window and clustered by a threshold on their spread;
-blocks above it are content.  The content region is the article or main element, or else
-the deepest element, that holds the bulk of the content.  All blocks of that region are
+blocks above it are content.  The content region is the article or main element that holds
+most of the content, or else the lowest container of all of it.  All blocks of that region are
 kept, short ones too, except those in elements that are never content: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
@@ -54,7 +54,8 @@ ENDS = {
 LISTS = {"ul", "ol", "dl", "table", "menu"}
 LANDMARKS = ("article", "main")
 SIGMA = 1.0
-BULK = 0.8
+#: Elements that a page is built of; any other is a part of the text, and so is the one around a lone block.
+CONTAINERS = frozenset("html body div section center td".split())
 
 
 class PageReader(HTMLParser):
@@ -150,9 +151,13 @@ def main_text(html: str | None) -> str:
         # the largest; of nested ones with the same content the inner one
         region = max(marked, key=lambda e: (mass[e], e))
     else:
-        total = sum(len(b[0]) for b, c in zip(blocks, content) if c)
-        holders = [e for e, m in mass.items() if m >= BULK * total and reader.elements[e] not in ("p", "b")]
-        region = max(holders, default=None)
+        # the lowest element that holds every content block
+        paths = [path for (_, _, path, _), is_content in zip(blocks, content) if is_content]
+        shared = set(paths[0]).intersection(*paths[1:])
+        while shared and (reader.elements[max(shared)] not in CONTAINERS
+                          or len(paths) == 1 and max(shared) == max(paths[0])):
+            shared.remove(max(shared))
+        region = max(shared, default=None)
     return "\n".join(text for text, _, path, _ in blocks if region is None or region in path)
 
 

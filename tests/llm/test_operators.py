@@ -1,5 +1,6 @@
 """The operators against brute force on small tables with nulls, ties, repeats and extra columns."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -215,6 +216,23 @@ def test_html():
     assert html_text.main_text("plain text only") == "plain text only"
 
 
+def words_of(n, start=0):
+    return " ".join(f"word{i}" for i in range(start, start + n))
+
+
+@pytest.mark.parametrize("inner", [
+    "<h1>T</h1><div>{0}</div><div>{1}</div>", "<h1>T</h1><p>Hm.</p><p>No.</p><p>So.</p><blockquote>{0}</blockquote><p>{1}</p>",
+    "<h1>T</h1><p>{1}</p><p>a</p><p>b</p><p>c</p><p>d</p><pre>{0}</pre><p>e</p><p>f</p><p>g</p><p>h</p><p>End.</p>",
+    "<h1>T</h1><ul><li>{0}</li><li>a</li><li>b</li><li>c</li><li>d</li></ul><p>{1}</p>",
+    "<h1>T</h1><table><tr><td>{0}</td></tr></table><p>a</p><p>b</p><p>c</p><p>d</p><p>e</p>",
+])
+def test_html_without_landmarks_keeps_all_but_menus(inner):
+    inner = inner.format(words_of(400), words_of(70, 1000))
+    got = html_text.main_text(f"<html><body><nav>menu</nav>{inner}<footer>foot</footer></body></html>")
+    want = [x for x in re.split(r"(?:<[^>]*>)+", inner) if x]
+    assert got == "\n".join(want)
+
+
 def test_toxicity_learns_and_reads_disguises(spark):
     draw = np.random.default_rng(4)
     usual = ["the", "river", "stone", "window", "garden", "letter", "morning", "paper"]
