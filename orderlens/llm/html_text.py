@@ -6,7 +6,9 @@ The ratios are smoothed by a Gaussian window and clustered by a threshold on the
 blocks above it are content.  The content region is the article or main element that holds
 most of the content, or else the lowest container of all of it.  All blocks of that region are
 kept, short ones too, except those in elements that are never content: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.  A class or
+id, or being a form, bars an element only if it holds neither a main landmark nor the bulk of
+the page's text, as wrappers may be named after what they hold or leave out.
 
 Character references are decoded, white space in a block (a line break counts as such)
 becomes one space, blocks are trimmed and joined by newlines in page order.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 
 # Names that HTML and common practice give to parts of a page.
 NEVER_CONTENT = frozenset(
-    "nav header footer aside form script style noscript template svg math button select option "
+    "nav header footer aside script style noscript template svg math button select option "
     "textarea iframe object menu dialog head title canvas audio video map".split()
 )
 NEVER_CONTENT_ROLES = frozenset(
@@ -53,13 +55,18 @@ ENDS = {
 }
 LISTS = {"ul", "ol", "dl", "table", "menu"}
 LANDMARKS = ("article", "main")
+#: Share of the page's text that an element named, or partly named, like a part of a page must hold to be its content.
+BULK, HALF = 0.8, 0.5
 SIGMA = 1.0
 #: Elements that a page is built of; any other is a part of the text, and so is the one around a lone block.
 CONTAINERS = frozenset("html body div section center td".split())
 
 
 class PageReader(HTMLParser):
-    """Blocks of a page: (text, tags, path of open elements, whether it can be content)."""
+    """Blocks of a page: (text, tags, path of open elements, whether it can be content).
+
+    Names bar an element only by ``misnamed``, when the whole page is known.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -67,6 +74,8 @@ class PageReader(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # tag, element number, never content
         self.elements: list[str] = []
         self.landmarks: set[int] = set()
+        #: Elements with a name of parts that are no content: share of the text that says otherwise.
+        self.named: dict[int, float] = {}
         self.text: list[str] = []
         self.tags = 0
 
@@ -90,10 +99,13 @@ class PageReader(HTMLParser):
         for ended in ENDS.get(tag, ()):
             self._close(ended, stop=LISTS - {tag})
         given = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
-        names = set(re.split(r"[\s_-]+", f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        never = tag in NEVER_CONTENT or given.get("role", "").lower() in NEVER_CONTENT_ROLES or (
-            tag not in ("html", "body", *LANDMARKS) and bool(names & NEVER_CONTENT_NAMES)
-        )
+        names = f"{given.get('class', '')} {given.get('id', '')}".lower()
+        never = tag in NEVER_CONTENT or given.get("role", "").lower() in NEVER_CONTENT_ROLES
+        if tag not in ("html", "body", *LANDMARKS):
+            if not NEVER_CONTENT_NAMES.isdisjoint(names.split()):
+                self.named[len(self.elements)] = BULK
+            elif tag == "form" or not NEVER_CONTENT_NAMES.isdisjoint(re.split(r"[\s_-]+", names)):
+                self.named[len(self.elements)] = HALF
         if tag in LANDMARKS or given.get("role", "").lower() in LANDMARKS:
             self.landmarks.add(len(self.elements))
         self.open.append((tag, len(self.elements), never))
@@ -122,6 +134,37 @@ class PageReader(HTMLParser):
         self.text.append(data)
 
 
+def barred_by_name(reader: PageReader, blocks: list) -> set[int]:
+    """Named elements that hold neither the bulk of the page's text nor its landmark."""
+    if not reader.named:
+        return set()
+    mass: dict[int, int] = {}
+    for text, _, path, _ in blocks:
+        for element in path:
+            mass[element] = mass.get(element, 0) + len(text)
+    total = sum(len(b[0]) for b in blocks)
+    # comments may be articles too: a landmark counts if it is half as long as the longest ...
+    largest = max((mass.get(e, 0) for e in reader.landmarks), default=0)
+    main = {e for e in reader.landmarks if mass.get(e, 0) >= HALF * largest > 0}
+    around: dict[int, tuple[int, tuple[int, ...]]] = {}  # longest landmark in it, elements around it
+    for _, _, path, _ in blocks:
+        for landmark in main.intersection(path):
+            for at in range(path.index(landmark)):
+                if path[at] in reader.named:
+                    longest = max(mass[landmark], around.get(path[at], (0,))[0])
+                    around[path[at]] = longest, path[:at + 1]
+
+    def holds_main(element: int) -> bool:
+        # ... and half as long as what stands elsewhere under no such name
+        longest, above = around[element]
+        others = reader.named.keys() - set(above)
+        elsewhere = sum(len(t) for t, _, p, _ in blocks if element not in p and others.isdisjoint(p))
+        return longest >= HALF * elsewhere
+
+    return {e for e, share in reader.named.items()
+            if mass.get(e, 0) < share * total and not (e in around and holds_main(e))}
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Ratios under a normalised Gaussian window."""
     reach = max(1, int(3 * sigma))
@@ -137,6 +180,8 @@ def main_text(html: str | None) -> str:
     reader.close()
     reader.flush()
     blocks = [b for b in reader.blocks if b[3]]
+    barred = barred_by_name(reader, blocks)
+    blocks = [b for b in blocks if barred.isdisjoint(b[2])]
     if not blocks:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in blocks])

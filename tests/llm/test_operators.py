@@ -233,6 +233,17 @@ def test_html_without_landmarks_keeps_all_but_menus(inner):
     assert got == "\n".join(want)
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div id='page-with-nav'>", "</div>"),
+    ("<section class='related-work'>", "</section>"), ("<div class='social-science'>", "</div>"),
+    ("<form action='/'>", "</form>"), ("<div class='header'><main>", "</main></div>"),
+])
+def test_html_wrappers_named_like_parts(start, end):
+    inner = f"<h1>Title</h1><p>{words_of(90)}</p><div class='my-comments'><article>me too</article></div><p>Ok.</p>"
+    page = f"<body><div class='ad'>buy</div>{start}{inner}{end}<form>name <input></form><div class='site-footer'>f</div>"
+    assert html_text.main_text(page) == f"Title\n{words_of(90)}\nOk."
+
+
 def test_toxicity_learns_and_reads_disguises(spark):
     draw = np.random.default_rng(4)
     usual = ["the", "river", "stone", "window", "garden", "letter", "morning", "paper"]
