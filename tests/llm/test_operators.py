@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orderlens.llm import (
-    chunks, decontaminate, graph, html_text, line_dedup, nearest, packing, sharding, simhash, token_files, toxicity,
+    chunks, decontaminate, graph, html_text, line_dedup, near_copies, nearest, packing, sharding, simhash, token_files, toxicity,
 )
 from orderlens.session import scratch_path
 
@@ -108,6 +109,37 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [1024, 4])
+def test_near_copies_at_a_similarity_of_four_fifths(spark, docs, empty, monkeypatch, size):
+    monkeypatch.setattr(near_copies, "SLICE", size)
+    draw = np.random.default_rng(7)
+    rows = [(i, t) for i, t in TEXTS]
+    for family in range(6):
+        words = [f"f{family}w{k}" for k in range(200)]
+        for copy in range(12):
+            changed = [f"{w}c{copy}" if draw.random() < copy / 400 else w for w in words]
+            rows.append((100 + 20 * family + copy, " ".join(changed)))
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def brute_set(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+
+    known = [(i, brute_set(t)) for i, t in rows if i is not None]
+    links = [(i, j) for i, x in known for j, y in known if len(x & y) >= 0.8 * len(x | y)]
+    least = components_of([i for i, _ in known], links)
+    kept = [r["doc_id"] for r in near_copies.keep_one(texts).collect()]
+    assert set(kept) == set(least.values()) | {None}
+    assert len([i for i in set(kept) if i and i >= 100]) > 6 and near_copies.keep_one(empty).count() == 0
+
+
+def test_the_near_duplicate_stage_links_at_four_fifths(spark):
+    words = [f"w{k}" for k in range(200)]
+    other = ["x" if k in (30, 90) else w for k, w in enumerate(words)]  # 186 of 206 shingles in common
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()] == [1]
+
+
 def test_links_of_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SLICE", 8)
     draw = np.random.default_rng(3)
