@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, html_text, line_dedup, nearest, packing, pii, sharding, simhash, token_files, toxicity
+from orderlens.llm import decontaminate, html_text, line_dedup, nearest, packing, pii, ranked, resample, sharding, simhash, token_files, toxicity
 from orderlens.llm.common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,40 @@ def token_id_files(spark, sf_dir):
         read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json")
     )
     return token_files.read_token_files(spark, path)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms_sql(key: str, table: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return (f"SELECT {key}, unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), "
+            f"'{_TERM}')) AS term FROM {table}")
+
+
+@query("op11_ranked_search", f"""
+    WITH words AS ({_terms_sql('doc_id', 'documents')}),
+    asked AS (SELECT item_id, term, count(*) AS times FROM ({_terms_sql('item_id', 'benchmark')}) b
+              GROUP BY item_id, term),
+    lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+    counts AS (SELECT doc_id, term, count(*) AS tf FROM words
+               WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2.0E0 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+                FROM counts, totals GROUP BY term),
+    impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))
+                           AS impact
+                FROM counts JOIN weights USING (term) JOIN lengths USING (doc_id), totals),
+    scores AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score
+               FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+        FROM scores WHERE score > 0) s WHERE rank <= 20
+""")
+def ranked_search(spark, sf_dir):
+    return ranked.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_importance_resampling")
+def importance_resampling(spark, sf_dir):
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
