@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, html_text, line_dedup, nearest, packing, pii, ranked, resample, sharding, simhash, token_files, toxicity
+from orderlens.llm import decontaminate, html_text, language, line_dedup, nearest, packing, pii, ranked, resample, sharding, simhash, token_files, toxicity
 from orderlens.llm.common import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def ranked_search(spark, sf_dir):
 @query("op12_importance_resampling")
 def importance_resampling(spark, sf_dir):
     return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_language")
+def document_language(spark, sf_dir):
+    return language.languages(read_table(spark, sf_dir, "documents"))
