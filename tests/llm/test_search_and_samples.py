@@ -252,7 +252,7 @@ def test_scorer_equals_the_filters_and_gradients_the_differences():
         return -np.log(p[np.arange(len(labels)), labels]).mean()
 
     grads = language._gradients(net, rows, labels, share)
-    for param, grad in ((net.weight, grads[2]), (net.bias, grads[1]), (net.table, grads[0])):
+    for param, grad in ((net.weight, grads[2]), (net.bias, grads[1]), (net.table, grads[0] * language.reach()[:, None, :])):
         at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
         old = param[at]
         param[at] = old + 1e-5
