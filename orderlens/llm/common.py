@@ -35,6 +35,22 @@ def stored_path(df: DataFrame, label: str) -> str:
     return path
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text: rows that agree in both are one document."""
+    return F.xxhash64("doc_id", "text")
+
+
 def hash_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import stored
+from orderlens.llm.common import row_key, spare_names, stored
 
 BLOCK = 8
 #: Passage widths in blocks, and the longest item in words that each is used for.
@@ -191,7 +191,8 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
                     starts = np.nonzero(np.append(True, own[1:] != own[:-1]))[0]
                     out[own[starts]] += np.add.reduceat(given[inside // BLOCK], starts, axis=0)
         at = np.nonzero(out.any(axis=1))[0]
-        yield pd.DataFrame({"w": at, "row": list(out[at])})
+        if len(at):  # an empty column would have no lists in it
+            yield pd.DataFrame({"w": at, "row": list(out[at])})
 
     sums = words.select("ids").mapInPandas(multiply, "w bigint, row array<double>").groupBy("w").agg(
         F.array(*[F.sum(F.col("row")[k]) for k in range(LATENT + EXTRA)]).alias("row"))
@@ -249,8 +250,9 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                 # no common subsequence is longer
                 had = member[ids].reshape(-1, BLOCK, len(own)).sum(axis=1, dtype=np.uint8)
                 common = _windows(np.pad(had, ((1, 1), (0, 0))), width + 2)
-                enough = common >= np.minimum(least, 255).astype(np.uint8)
-                p, i = np.divmod(np.flatnonzero((cosine >= COSINE) & enough), len(own))
+                # a passage below the bound neither counts nor stands for its neighbour
+                cosine[common < np.minimum(least, 255).astype(np.uint8)] = -1
+                p, i = np.divmod(np.flatnonzero(cosine >= COSINE), len(own))
                 if not len(p):
                     continue
                 # of passages one block apart the nearer one stands for both
@@ -320,6 +322,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item; rows without doc_id stay."""
-    bad = stored(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct(), "leaking")
-    return docs.join(bad.hint("merge"), F.col("doc_id") == F.col("_leaking"), "left_anti")
+    """``docs`` without the rows that leak an item; each row is judged by its own text."""
+    key, bad = spare_names(docs, "row_key", "leaking")
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    found = stored(leaks(keyed, benchmark).select(F.col("doc_id").alias(bad)).distinct(), "leaking")
+    # a shuffle join at every size: leaks grow with the input
+    return docs.withColumn(key, row_key()).join(
+        found.hint("merge"), F.col(key) == F.col(bad), "left_anti"
+    ).select(*docs.columns)

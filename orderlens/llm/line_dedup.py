@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import stored
+from orderlens.llm.common import spare_names, stored
 
 MIN_WORDS = 50
 DOC = ["doc_id", "text_key"]
@@ -160,25 +160,26 @@ def _stretches(runs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS,
                         counted: bool = False) -> DataFrame:
     """``docs`` with later copies of line runs removed; ``counted`` adds ``n_removed`` lines."""
+    doc, key, own_doc, own_key, cut = spare_names(docs, "doc", "key", "own_doc", "own_key", "cut")
     gone = stored(_stretches(repeated_runs(docs, min_words)), "removed-lines").select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone")
+        F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("gone").alias(cut)
     )
     doc_id, text_key = _doc_key()
-    keyed = docs.withColumns({"_own_doc": doc_id, "_own_key": text_key})
+    keyed = docs.withColumns({own_doc: doc_id, own_key: text_key})
     # a shuffle join at every size: what is removed grows with the input
     joined = keyed.join(
-        gone.hint("merge"), (F.col("_own_doc") == F.col("_doc")) & (F.col("_own_key") == F.col("_key")), "left"
+        gone.hint("merge"), (F.col(own_doc) == F.col(doc)) & (F.col(own_key) == F.col(key)), "left"
     )
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda _, i: ~F.exists(
-        "_gone", lambda g: (g["from"] <= i) & (i <= g["to"])))
+        cut, lambda g: (g["from"] <= i) & (i <= g["to"])))
     out = joined.withColumn(
-        "text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+        "text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     )
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
     if counted:
-        removed = F.aggregate("_gone", F.lit(0).cast("bigint"), lambda a, g: a + g["to"] - g["from"] + 1)
+        removed = F.aggregate(cut, F.lit(0).cast("bigint"), lambda a, g: a + g["to"] - g["from"] + 1)
         out = out.withColumn("n_removed", F.coalesce(removed, F.lit(0).cast("bigint")))
     return out.select(*docs.columns, *["n_removed"] * counted)

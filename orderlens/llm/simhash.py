@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import hash_partitions, stored
+from orderlens.llm.common import hash_partitions, row_key, spare_names, stored
 from orderlens.llm.graph import components
 
 WORDS = 4
@@ -206,31 +206,59 @@ def links_between(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row."""
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of every fingerprint in ``prints``."""
     if radius > RADIUS:
         raise ValueError(f"the blocks find links of up to {RADIUS} bits")
-    prints = stored(fingerprints(docs, words), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-classes")
+    classes = stored(prints.select("fp").distinct(), "fp-classes")
     parts = stored(components(links_between(classes, radius)), "components")
-    named = stored(
+    return stored(
         classes.join(parts, F.col("fp") == F.col("node"), "left")
-        .withColumn("component", F.coalesce("component", "fp")), "named-classes",
+        .select("fp", F.coalesce("component", "fp").alias("component")), "named-classes",
     )
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row."""
+    prints = stored(fingerprints(docs, words), "fingerprints")
+    named = _components(prints, radius)
+    # the smallest id of each fingerprint first: copies fold in their own tasks
     least = stored(
-        named.groupBy("component").agg(F.min("least").alias("component_id")), "least-ids"
+        prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp")
+        .groupBy("component").agg(F.min("least").alias("component_id")), "least-ids",
     )
-    names = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    names = named.join(least, "component").select("fp", "component_id")
     return prints.join(names, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without later near-duplicates; rows without an id all stay."""
-    found = near_duplicates(docs, words, radius)
-    gone = stored(
-        found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone")),
-        "near-copies",
-    ).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
+    """Exactly one row of each component of ``docs``.
+
+    It is the row with the smallest doc_id, a missing one last; of several texts under that id the
+    one with the smallest hash, of repeated rows any one.
+    """
+    key, own = spare_names(docs, "row_key", "own_key")
+    # the row's key takes the place of the id; ids come back by it
+    rows = stored(docs.select("doc_id", row_key().alias("key")).distinct(), "row-keys")
+    prints = stored(fingerprints(docs.select(row_key().alias("doc_id"), "text"), words), "fingerprints")
+    named = _components(prints, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    chosen = stored(
+        prints.groupBy(F.col("doc_id").alias("key"), "fp").agg(F.count(F.lit(1)).alias("copies"))
+        .join(named, "fp").join(rows, "key")
+        .groupBy("component").agg(F.min_by(F.struct("key", "copies"), order).alias("row"))
+        .select(F.col("row.key").alias(own), F.col("row.copies").alias("copies")), "chosen-rows",
+    )
+    keyed = docs.withColumn(key, row_key())
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        # a shuffle join at every size: what stays grows with the input
+        return keyed.join(which.select(own).hint("merge"), F.col(key) == F.col(own), "left_semi")
+
+    once = rows_of(chosen.where(F.col("copies") == 1)).select(*docs.columns)
+    repeated = chosen.where(F.col("copies") > 1)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(rows_of(repeated).dropDuplicates([key]).select(*docs.columns))
