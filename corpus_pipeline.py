@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is
 written as Parquet before the next one reads it.  All but the last return the columns of
 ``documents``.
+
+Defined results: a null text passes the filters like an empty one and is packed as its end
+mark; every stage judges a row by its own text, so repeated or missing doc_ids take no other
+row along; of near-duplicates, repeated rows included, exactly one row stays; empty tables
+give no row; further columns are kept by the filters, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, line_dedup, near_copies, packing, toxicity
+from orderlens.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from orderlens.llm.common import read_table, stored
 
 #: The stages use trained models and hashes that SQL does not have; tests compare them with
@@ -29,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by the similarity of five-word shingles."""
-    return near_copies.keep_one(docs)
+    """One document of each group whose fingerprints of four-word shingles are at most 4 bits apart."""
+    return simhash.keep_one(docs, words=4, radius=4)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
