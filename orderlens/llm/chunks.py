@@ -3,6 +3,11 @@
 A text is cut where white space follows something else; no token of the public vocabularies
 crosses such a cut, so the ids of a text are the ids of its chunks in a row.  Chunks seen
 before come from a table of bounded size, the others of a batch are encoded in one call.
+The table has two generations: when the younger is full it becomes the older one, and chunks
+that are met again move over, so that frequent chunks stay and rare ones go.
+
+A chunk is kept under a key: where white space is part of the tokens, the key of a word behind
+a single space is the word alone, so that regular texts are cut by ``str.split``.
 """
 
 from __future__ import annotations
@@ -14,11 +19,39 @@ import types
 
 import numpy as np
 
-#: Chunks kept per worker process, about 130 MB.
-KEPT_CHUNKS = 550_000
-#: Texts with one of these go to the tokenizer whole: the two kinds of white space
-#: differ there, or a special token's name stands in the text.
-WHOLE = re.compile("[\x1c-\x1f\x85᠎]|<\\|(?:end|start)oftext\\|>")
+#: Chunks of one generation of the table, about 50 MB.
+KEPT_CHUNKS = 300_000
+#: Texts with one of these go to the tokenizer whole: the two kinds of white space differ
+#: there, a special token may be named, or a key's mark stands in the text.
+WHOLE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
+WHOLE_BEYOND_ASCII = ("\x85", "\u180e")
+#: Starts the key of a chunk that has no white space in front.
+BARE = "\0"
+SPACED_CHUNKS = re.compile(r"\s*\S+|\s+$")
+
+
+def stays_whole(text: str) -> bool:
+    return any(c in text for c in WHOLE) or not text.isascii() and any(c in text for c in WHOLE_BEYOND_ASCII)
+
+
+def spaced_keys(text: str) -> list[str]:
+    """The keys of a text's chunks where white space is part of the tokens."""
+    if " ".join(text.split()) == text.replace("\n", " "):  # one space or line break between any two words
+        keys: list[str] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = "\n" + words[0]
+            keys += words
+        keys[0] = BARE + keys[0][1:]
+        return keys
+    return [
+        c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else c if c[0].isspace() else BARE + c
+        for c in SPACED_CHUNKS.findall(text)
+    ]
+
+
+def spaced_chunk(key: str) -> str:
+    return key[1:] if key[0] == BARE else key if key[0].isspace() else " " + key
 
 
 class ChunkEncoder:
@@ -33,9 +66,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.stops = {c: self.whole(c) for c in ".,"}
-        self.cut = re.compile(r"\s*\S+|\s+$").findall if spaces else str.split
+        self.apart: dict[str, bool] = {}
+        self.cut, self.chunk = (spaced_keys, spaced_chunk) if spaces else (str.split, str)
 
     @classmethod
     def shared(cls, path: str, spaces: bool) -> ChunkEncoder:
@@ -50,47 +85,59 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _encode_new(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not yet known.  A full stop or comma behind a letter or digit is always
-        a token of its own, so such a chunk needs no more than what stands before it."""
-        stem = {c: c[:-1] for c in chunks if c[-1] in self.stops and len(c) > 1 and c[-2].isalnum()}
-        apart = {s for s in stem.values() if s not in self.known} | (chunks - stem.keys())
-        got = self._encode_apart(list(apart)) if apart else {}
-        for c, s in stem.items():
-            got[c] = (self.known[s] if s in self.known else got[s]) + self.stops[c[-1]]
+    def _stands_apart(self, ends: str) -> bool:
+        """Whether the stop behind a letter or digit is a token of its own.  It is not where lower-casing
+        or normalisation leaves a mark behind the letter."""
+        found = self.apart.get(ends)
+        if found is None:
+            found = self.apart[ends] = ends[0].isalnum() and self.whole(ends) == self.whole(ends[0]) + self.stops[ends[1]]
+        return found
+
+    def _encode_new(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of chunks not in the table; where the stop at the end stands apart, those of what is before it."""
+        stem = {k: k[:-1] for k in keys if k[-1:] in self.stops and len(k) > 1 and self._stands_apart(k[-2:])}
+        known = {s: self._known(s) for s in stem.values()}
+        got = self._encode_apart(list({s for s, ids in known.items() if ids is None} | (keys - stem.keys())))
+        for k, s in stem.items():
+            ids = known[s]
+            got[k] = (got[s] if ids is None else ids) + self.stops[k[-1]]
         return got
 
-    def _encode_apart(self, chunks: list[str]) -> dict[str, bytes]:
+    def _encode_apart(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of some chunks in one call, which names the chunk of each id."""
+        if not keys:
+            return {}
+        chunks = list(map(self.chunk, keys))
         got = self.tokenizer.encode_batch([chunks], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(got.ids, dtype="<u4").tobytes()
         word = np.array([-1 if w is None else w for w in got.word_ids], dtype=np.int64)
-        at = (4 * np.searchsorted(word, np.arange(len(chunks) + 1))).tolist()
-        return {c: ids[a:b] for c, a, b in zip(chunks, at, at[1:])}
+        at = (4 * np.searchsorted(word, np.arange(len(keys) + 1))).tolist()
+        return {k: ids[a:b] for k, a, b in zip(keys, at, at[1:])}
+
+    def _known(self, key: str) -> bytes | None:
+        ids = self.young.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is not None:
+                self.young[key] = ids
+        return ids
 
     def encode(self, texts) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
-        cut = [None if WHOLE.search(t) else self.cut(t) for t in texts]
-        known, new = self.known, set()
-        for chunks in cut:
-            if chunks:
-                new.update(c for c in set(chunks) if c not in known)
+        cut = [None if not t or stays_whole(t) else self.cut(t) for t in texts]
+        get = self.young.get
+        found = [keys and list(map(get, keys)) for keys in cut]
+        missing = {k for keys, ids in zip(cut, found) if ids and None in ids for k, i in zip(keys, ids) if i is None}
+        new = {k for k in missing if self._known(k) is None}
         if new:
-            new = self._encode_new(new)
-            room = KEPT_CHUNKS - len(known)
-            if room >= len(new):
-                known.update(new)
+            self.young.update(self._encode_new(new))
+        out = []
+        for text, keys, ids in zip(texts, cut, found):
+            if ids is None:
+                out.append(self.whole(text) if text else b"")
             else:
-                known.update(list(new.items())[:max(0, room)])
-                known = _Both(known, new)
-        get = known.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
-
-
-class _Both(dict):
-    def __init__(self, known, new):
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, chunk):
-        return self.known[chunk]
+                out.append(b"".join(map(self.young.__getitem__, keys) if None in ids else ids))
+        if len(self.young) >= KEPT_CHUNKS:
+            self.old, self.young = self.young, {}
+        return out

@@ -1,6 +1,8 @@
 """The operators against brute force on small tables with nulls, ties, repeats and extra columns."""
 
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,6 +54,31 @@ def test_chunks_give_the_tokenizers_ids(path, spaces):
         assert np.frombuffer(got, "<u4").tolist() == whole_ids(path, text, 0)[:-1], text
 
 
+@pytest.mark.parametrize("path, spaces", [(BYTES, True), (WORDS, False)])
+def test_every_code_point_before_a_stop(path, spaces):
+    encoder, tokenizer = chunks.ChunkEncoder(path, spaces), Tokenizer.from_file(path)
+    # letters, marks, numbers and signs; of the large uniform blocks every 50th
+    points = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c))[0] in "LMNSP"
+              and (c % 50 == 0 or not 0x3400 <= c < 0xD7A4 and c < 0x12000)]
+    texts = [f"San{c}, {c}. a" for c in points]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, encoder.encode(texts), want) if a != b] == []
+
+
+@pytest.mark.parametrize("path, spaces", [(BYTES, True), (WORDS, False)])
+def test_random_texts_through_a_small_table(path, spaces, monkeypatch):
+    monkeypatch.setattr(chunks, "KEPT_CHUNKS", 50)
+    draw = random.Random(8)
+    parts = ["a", "Ab", "İ", "é", "e\u0301", "ß.", "x,", "don't", "42", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\xa0", ".", ",",
+             "日本", "<|", "\x1f", "\0", "\u0958.", "Σ", "'s."]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(12))) for _ in range(20_000)] + [None]
+    encoder, tokenizer = chunks.ChunkEncoder(path, spaces), Tokenizer.from_file(path)
+    got = [ids for at in range(0, len(texts), 500) for ids in encoder.encode(texts[at:at + 500])]
+    want = tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert [t for t, a, b in zip(texts, got, want) if a != np.array(b.ids, dtype="<u4").tobytes()] == []
+    assert len(encoder.young) <= 2000  # a batch beyond the bound is the most it holds
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, BYTES, capacity=64).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(i for i, _ in TEXTS)
