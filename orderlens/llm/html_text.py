@@ -4,7 +4,8 @@ The standard library's streaming parser gives events; text is gathered in blocks
 "lines" of the page, and every block has the ratio of its characters to the tags met in it.
 The ratios are smoothed by a Gaussian window and clustered by a threshold on their spread;
 blocks above it are content.  The content region is the article or main element that holds
-most of the content, or else the lowest container of all of it.  All blocks of that region are
+most of the content, with those beside it that hold at least half as much, or else the lowest
+container of all of it.  All blocks of that region are
 kept, short ones too, except those in elements that are never content: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.  A class or
 id, or being a form, bars an element only if it holds neither a main landmark nor the bulk of
@@ -63,16 +64,23 @@ CONTAINERS = frozenset("html body div section center td".split())
 
 
 class PageReader(HTMLParser):
-    """Blocks of a page: (text, tags, path of open elements, whether it can be content).
+    """Blocks of a page: (text, tags, innermost open element).
 
-    Names bar an element only by ``misnamed``, when the whole page is known.
+    Elements are numbered as they open and kept with their parent and the last element opened
+    inside them, so that all work on a page is linear in its length, however deep it nests.
+    Names bar an element only by ``barred_by_name``, when the whole page is known.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # tag, element number, never content
-        self.elements: list[str] = []
+        self.blocks: list[tuple[str, int, int]] = []
+        # by element, the page itself first: tag, parent, last element inside, never content
+        self.elements: list[str] = [""]
+        self.parent: list[int] = [0]
+        self.last: list[int] = [0]
+        self.never: list[bool] = [False]
+        self.open: list[int] = [0]
+        self.places: dict[str, list[int]] = {}  # by tag, where it is among the open elements
         self.landmarks: set[int] = set()
         #: Elements with a name of parts that are no content: share of the text that says otherwise.
         self.named: dict[int, float] = {}
@@ -81,9 +89,8 @@ class PageReader(HTMLParser):
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
-        if text:
-            barred = any(never for _, _, never in self.open)
-            self.blocks.append((text, self.tags, tuple(n for _, n, _ in self.open), not barred))
+        if text and not self.never[self.open[-1]]:
+            self.blocks.append((text, self.tags, self.open[-1]))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -94,22 +101,28 @@ class PageReader(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag in BLOCKS and any(t == "p" for t, _, _ in self.open):
+        if tag in BLOCKS:
             self._close("p", stop=LISTS)
         for ended in ENDS.get(tag, ()):
             self._close(ended, stop=LISTS - {tag})
         given = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
         names = f"{given.get('class', '')} {given.get('id', '')}".lower()
         never = tag in NEVER_CONTENT or given.get("role", "").lower() in NEVER_CONTENT_ROLES
+        number = len(self.elements)
         if tag not in ("html", "body", *LANDMARKS):
             if not NEVER_CONTENT_NAMES.isdisjoint(names.split()):
-                self.named[len(self.elements)] = BULK
+                self.named[number] = BULK
             elif tag == "form" or not NEVER_CONTENT_NAMES.isdisjoint(re.split(r"[\s_-]+", names)):
-                self.named[len(self.elements)] = HALF
+                self.named[number] = HALF
         if tag in LANDMARKS or given.get("role", "").lower() in LANDMARKS:
-            self.landmarks.add(len(self.elements))
-        self.open.append((tag, len(self.elements), never))
+            self.landmarks.add(number)
+        above = self.open[-1]
         self.elements.append(tag)
+        self.parent.append(above)
+        self.last.append(number)
+        self.never.append(never or self.never[above])
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(number)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -123,46 +136,69 @@ class PageReader(HTMLParser):
         self._close(tag)
 
     def _close(self, tag, stop=frozenset()):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                return
-            if self.open[at][0] in stop:
-                return
+        """Close the innermost open element of a tag and all inside it, unless a ``stop`` is between."""
+        at = self.places.get(tag)
+        if at and all(self.places[s][-1] <= at[-1] for s in stop if self.places.get(s)):
+            self._close_from(at[-1])
+
+    def _close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            number = self.open.pop()
+            self.last[number] = len(self.elements) - 1
+            self.places[self.elements[number]].pop()
+
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        self._close_from(1)
+        self.last[0] = len(self.elements) - 1
+
+    def masses(self, blocks: list, counted) -> list[int]:
+        """By element, the characters inside it of the blocks that count."""
+        mass = [0] * len(self.elements)
+        for (text, _, inner), counts in zip(blocks, counted):
+            mass[inner] += len(text) * bool(counts)
+        for e in range(len(mass) - 1, 0, -1):
+            mass[self.parent[e]] += mass[e]
+        return mass
+
+    def holds(self, element: int, inner: int) -> bool:
+        return element <= inner <= self.last[element]
 
     def handle_data(self, data):
         self.text.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` of any kind is a bogus comment up to the next ``>``, the end of the page at last."""
+        end = self.rawdata.find(">", i + 3)
+        return len(self.rawdata) if end < 0 else end + 1
+
 
 def barred_by_name(reader: PageReader, blocks: list) -> set[int]:
     """Named elements that hold neither the bulk of the page's text nor its landmark."""
     if not reader.named:
         return set()
-    mass: dict[int, int] = {}
-    for text, _, path, _ in blocks:
-        for element in path:
-            mass[element] = mass.get(element, 0) + len(text)
-    total = sum(len(b[0]) for b in blocks)
+    n, parent = len(reader.elements), reader.parent
+    mass = reader.masses(blocks, [True] * len(blocks))
     # comments may be articles too: a landmark counts if it is half as long as the longest ...
-    largest = max((mass.get(e, 0) for e in reader.landmarks), default=0)
-    main = {e for e in reader.landmarks if mass.get(e, 0) >= HALF * largest > 0}
-    around: dict[int, tuple[int, tuple[int, ...]]] = {}  # longest landmark in it, elements around it
-    for _, _, path, _ in blocks:
-        for landmark in main.intersection(path):
-            for at in range(path.index(landmark)):
-                if path[at] in reader.named:
-                    longest = max(mass[landmark], around.get(path[at], (0,))[0])
-                    around[path[at]] = longest, path[:at + 1]
-
-    def holds_main(element: int) -> bool:
-        # ... and half as long as what stands elsewhere under no such name
-        longest, above = around[element]
-        others = reader.named.keys() - set(above)
-        elsewhere = sum(len(t) for t, _, p, _ in blocks if element not in p and others.isdisjoint(p))
-        return longest >= HALF * elsewhere
-
+    largest = max((mass[e] for e in reader.landmarks), default=0)
+    inside = [0] * n  # the longest such landmark inside an element
+    for e in range(n - 1, 0, -1):
+        own = mass[e] if e in reader.landmarks and mass[e] >= HALF * largest else 0
+        inside[parent[e]] = max(inside[parent[e]], inside[e], own)
+    # ... and half as long as what stands elsewhere under no such name but those around the element
+    nearest = [0] * n  # the innermost named element that holds an element, or is it
+    for e in range(1, n):
+        nearest[e] = e if e in reader.named else nearest[parent[e]]
+    under = [0] * n
+    for text, _, inner in blocks:
+        under[nearest[inner]] += len(text)
+    elsewhere = {0: 0}
+    for e in sorted(reader.named):
+        above = nearest[parent[e]]
+        elsewhere[e] = elsewhere[above] + under[above]
     return {e for e, share in reader.named.items()
-            if mass.get(e, 0) < share * total and not (e in around and holds_main(e))}
+            if mass[e] < share * mass[0] and not (inside[e] and inside[e] >= HALF * elsewhere[e])}
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -177,33 +213,39 @@ def main_text(html: str | None) -> str:
     """The main text of one page."""
     reader = PageReader()
     reader.feed(html or "")
-    reader.close()
-    reader.flush()
-    blocks = [b for b in reader.blocks if b[3]]
-    barred = barred_by_name(reader, blocks)
-    blocks = [b for b in blocks if barred.isdisjoint(b[2])]
+    reader.finish()
+    barred = barred_by_name(reader, reader.blocks)
+    out = [e in barred for e in range(len(reader.elements))]
+    for e in range(1, len(out)):
+        out[e] |= out[reader.parent[e]]
+    blocks = [b for b in reader.blocks if not out[b[2]]]
     if not blocks:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in blocks])
+    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in blocks])
     smooth = smoothed(ratios)
     content = smooth >= min(smooth.std(), smooth.max())
-    mass: dict[int, int] = {}
-    for (text, _, path, _), is_content in zip(blocks, content):
-        for element in path:
-            mass[element] = mass.get(element, 0) + len(text) * bool(is_content)
-    marked = [e for e in reader.landmarks if e in mass]
+    mass = reader.masses(blocks, content)
+    filled = reader.masses(blocks, [True] * len(blocks))
+    marked = [e for e in reader.landmarks if filled[e]]
     if marked:
-        # the largest; of nested ones with the same content the inner one
-        region = max(marked, key=lambda e: (mass[e], e))
+        # the largest, of nested ones with the same content the inner one, and those beside it that
+        # hold at least half as much content
+        largest = max(marked, key=lambda e: (mass[e], e))
+        regions = [e for e in marked if e == largest or reader.parent[e] == reader.parent[largest]
+                   and mass[e] >= HALF * mass[largest] > 0]
     else:
         # the lowest element that holds every content block
-        paths = [path for (_, _, path, _), is_content in zip(blocks, content) if is_content]
-        shared = set(paths[0]).intersection(*paths[1:])
-        while shared and (reader.elements[max(shared)] not in CONTAINERS
-                          or len(paths) == 1 and max(shared) == max(paths[0])):
-            shared.remove(max(shared))
-        region = max(shared, default=None)
-    return "\n".join(text for text, _, path, _ in blocks if region is None or region in path)
+        inner = [b[2] for b, is_content in zip(blocks, content) if is_content]
+        region, low, high = inner[0], min(inner), max(inner)
+        while region and (not reader.holds(region, low) or not reader.holds(region, high)
+                          or reader.elements[region] not in CONTAINERS or len(inner) == 1 and region == inner[0]):
+            region = reader.parent[region]
+        regions = [region]
+    regions.sort()
+    starts = np.array(regions)
+    at = np.searchsorted(starts, [b[2] for b in blocks], side="right") - 1
+    return "\n".join(text for (text, _, inner), k in zip(blocks, at.tolist())
+                     if k >= 0 and reader.holds(regions[k], inner))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -272,6 +273,27 @@ def test_html():
     assert html_text.main_text("plain text only") == "plain text only"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>a</p><![foo[x]]><p>b</p>", "a\nb"), ("<p>a</p><![ foo", "a"), ("<![if IE]><p>z</p><![endif]>", "z"), ("<![", ""),
+    ("<p>a<![CDATA[x]]></p><p>c", "a\nc"), ("</p></div><p>a", "a"),
+])
+def test_html_that_is_broken(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<div>x ", "<p>x<ul><li>", "<article>y ", "<form>z ", "<div class=nav>q ", "</i>x "])
+def test_html_takes_linear_time(part):
+    start = time.process_time()
+    html_text.main_text(part * 60_000)
+    assert time.process_time() - start < 15  # with square time it takes minutes
+
+
+def test_html_keeps_articles_side_by_side():
+    long, short = words_of(60), words_of(45, 200)
+    page = f"<body><nav>menu</nav><article><p>{long}</p></article><article><p>{short}</p></article><footer>f</footer>"
+    assert html_text.main_text(page) == f"{long}\n{short}"
+
+
 def words_of(n, start=0):
     return " ".join(f"word{i}" for i in range(start, start + n))
 
