@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from orderlens.functions import scalar as S
 from orderlens.operators.risk import action_queue_export
 from orderlens.session import staged
+from orderlens.sources import snapshots
+from orderlens.sources.snapshots import PART
 
 
-def replace_table(df: DataFrame, path: str, part: Column | None = None) -> int:
+def replace_table(df: DataFrame, path: str, part: Column | None = None, key: str = "order_id") -> int:
     """Replace a whole table; a second run leaves the same rows.  Returns the count.
 
-    With ``part`` the table has the layout that ``upsert_table`` continues.
+    With ``part`` the table is a series of snapshots that ``upsert_table`` continues, and readers
+    see the old rows until the new ones are complete.
     """
+    spark = df.sparkSession
     if part is None:
         df.write.mode("overwrite").parquet(path)
-    else:
-        (
-            df.withColumn(PART, part).hint("rebalance", PART)
-            .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(path)
-        )
-    return df.sparkSession.read.parquet(path).count()
+        return spark.read.parquet(path).count()
+    former = _snapshot_to_continue(spark, path)
+    snapshot = snapshots.write(df.withColumn(PART, _partition(part)), path, former, None, key)
+    snapshots.forget(spark, path)
+    return snapshots.read(spark, path, snapshot).count()
 
 
 def merge_rows(
@@ -51,19 +54,16 @@ def last_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
     return latest.unionByName(batch.where(F.col(key).isNull()))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(conf).exists(location)
+def _snapshot_to_continue(spark: SparkSession, path: str) -> snapshots.Snapshot | None:
+    found = snapshots.load(spark, path)
+    if found is None and snapshots.exists(spark, path):
+        # its files would be hidden by the snapshots
+        raise ValueError(f"{path} is not partitioned by {PART} in snapshots; rebuild it with replace_table(..., part)")
+    return found
 
 
-def _delete_partition(spark: SparkSession, path: str, name: str, value: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    location = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={value}")
-    location.getFileSystem(conf).delete(location, True)
-
-
-PART = "part"
+def _partition(part: Column) -> Column:
+    return F.coalesce(part.cast("string"), F.lit("unknown"))
 
 
 def period_part(moment: str = "order_purchase_timestamp", pattern: str = "yyyy-MM") -> Column:
@@ -78,57 +78,49 @@ def key_part(key: str = "order_id", parts: int = 16) -> Column:
 
 def upsert_table(
     incoming: DataFrame, path: str, key: str = "order_id", part: Column | None = None,
-    order: str | None = None,
+    order: str | None = None, batch: tuple[str, int] | None = None,
 ) -> int:
-    """Merge a batch into a partitioned Parquet table; returns its row count.
-
-    Only the partitions the batch touches are read and rewritten (dynamic
-    partition overwrite): those of its own rows and those holding older rows of
-    its keys.  Orders arrive by purchase time, so a batch touches a month or two
-    of a table of any age.  Spark moves the new files in when the job commits;
-    running the same batch again gives the same table, so a job that dies half
-    way is simply run again.
+    """Merge a batch into a partitioned table; returns its row count.
+
+    Only the partitions the batch touches are read and rewritten: those of its own rows and
+    those holding older rows of its keys.  Orders arrive by purchase time, so a batch touches a
+    month or two of a table of any age.  The result is the table's next snapshot: readers see
+    the table before or after the batch, and a job that dies half way changes nothing.
+
+    ``batch`` names a stream and the number of its batch; one that the table already has is
+    not merged again.  An empty batch leaves the rows as they are, and a new table readable.
     """
     spark = incoming.sparkSession
+    former = _snapshot_to_continue(spark, path)
+    if former is not None and former.has(batch):
+        return snapshots.read(spark, path, former).count()
     if order is not None:
         incoming = last_per_key(incoming, key, order)
-    batch = staged(incoming.withColumn(PART, part if part is not None else key_part(key)), "batch")
-    if _exists(spark, path):
-        if PART not in spark.read.parquet(path).columns:
-            # its files would be hidden by the new partition folders
-            raise ValueError(f"{path} is not partitioned by {PART}; rebuild it with replace_table(..., part)")
-        stored = spark.read.schema(batch.schema).parquet(path)
-        keys = batch.where(F.col(key).isNotNull()).select(key).distinct()
-        older = stored.select(key, PART).join(keys, key, "left_semi").select(PART)
-        # partition names only: bounded by the table's partition count
-        touched = [r[0] for r in batch.select(PART).union(older).distinct().collect()]
-        kept = stored.where(F.col(PART).isin(touched)).join(keys, key, "left_anti")
-        merged = kept.unionByName(batch)
-    else:
-        touched, merged = [], batch
-    (
-        merged.hint("rebalance", PART)  # splits a hot partition's rows over several files
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PART).parquet(path)
-    )
-    if touched:
-        left = {r[0] for r in batch.select(PART).distinct().collect()}
-        moved_out = [t for t in touched if t not in left]
-        if moved_out:
-            # partitions whose every row moved elsewhere got no new files
-            rest = spark.read.schema(batch.schema).parquet(path)
-            emptied = (
-                rest.where(F.col(PART).isin(moved_out)).join(keys, key, "left_anti")
-                .select(PART).distinct()
-            )
-            for name in set(moved_out) - {r[0] for r in emptied.collect()}:
-                _delete_partition(spark, path, PART, name)
-    return spark.read.schema(batch.schema).parquet(path).count()
-
-
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """An upserted table without its partition column."""
-    return spark.read.parquet(path).drop(PART)
+    rows = staged(incoming.withColumn(PART, _partition(part if part is not None else key_part(key))), "batch")
+    if former is None:
+        snapshot = snapshots.write(rows, path, None, None, key, batch)
+        return snapshots.read(spark, path, snapshot).count()
+    if rows.isEmpty():
+        snapshot = former if batch is None else snapshots.note(spark, path, former, batch)
+        return snapshots.read(spark, path, snapshot).count()
+    stored = snapshots.read(spark, path, former)
+    keys = rows.where(F.col(key).isNotNull()).select(key).distinct()
+    older = stored.select(key, PART).join(keys, key, "left_semi").select(PART)
+    # partition names only: bounded by the table's partition count
+    touched = [snapshots.folder(spark, r[0]) for r in rows.select(PART).union(older).distinct().collect()]
+    kept = snapshots.read(spark, path, former, touched).join(keys, key, "left_anti")
+    merged = kept.unionByName(rows, allowMissingColumns=True)
+    snapshot = snapshots.write(merged, path, former, touched, key, batch)
+    snapshots.forget(spark, path)
+    return snapshots.read(spark, path, snapshot).count()
+
+
+def read_upserted(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """An upserted table without its partition column, as it is now or was at a snapshot."""
+    snapshot = snapshots.load(spark, path, version)
+    if snapshot is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return snapshots.read(spark, path, snapshot).drop(PART)
 
 
 def storage_form(df: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from orderlens.operators.features import feature_table
 from orderlens.operators.order_level import build_order_level
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE
 from orderlens.session import staged
-from orderlens.sources.writers import _exists, key_part, merge_rows, period_part, read_upserted, upsert_table
+from orderlens.sources import snapshots
+from orderlens.sources.writers import key_part, merge_rows, period_part, read_upserted, upsert_table
 
 DEFAULT_BATCH_SIZE = 2000
 ORDER_CHILDREN = ("items", "payments", "reviews")
@@ -44,7 +45,7 @@ _STATE_SCHEMA = (
 
 def load_state(spark: SparkSession, path: str) -> IngestState:
     """The saved state, or a fresh one."""
-    if not _exists(spark, path):
+    if not snapshots.exists(spark, path):
         return IngestState()
     row = spark.read.schema(_STATE_SCHEMA).json(path).first()
     return IngestState(**row.asDict()) if row else IngestState()
@@ -132,15 +133,19 @@ def restrict(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFram
 
 
 def ingest_orders(
-    tables: dict[str, DataFrame], ids: DataFrame, root: str, period: str = "yyyy-MM"
+    tables: dict[str, DataFrame], ids: DataFrame, root: str, period: str = "yyyy-MM",
+    batch: tuple[str, int] | None = None,
 ) -> dict[str, int]:
-    """Rebuild the given orders and upsert both gold tables; returns their row counts."""
+    """Rebuild the given orders and upsert both gold tables; returns their row counts.
+
+    ``batch`` names the stream and its batch, which a table takes once.
+    """
     level = staged(build_order_level(restrict(tables, ids)), "slice")
     features = feature_table(level, "order_purchase_timestamp")
     part = period_part(pattern=period)
     return {
-        ORDERS_TABLE: upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part),
-        FEATURES_TABLE: upsert_table(features, f"{root}/{FEATURES_TABLE}", part=part),
+        ORDERS_TABLE: upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part, batch=batch),
+        FEATURES_TABLE: upsert_table(features, f"{root}/{FEATURES_TABLE}", part=part, batch=batch),
     }
 
 
@@ -167,11 +172,28 @@ def with_arrivals(spark: SparkSession, tables: dict[str, DataFrame], root: str)
     current = dict(tables)
     for name in ("orders", *ORDER_CHILDREN):
         path = arrivals_path(root, name)
-        if _exists(spark, path):
+        if snapshots.load(spark, path) is not None:
             current[name] = merge_rows(tables[name], read_upserted(spark, path))
     return current
 
 
+def load_batch(
+    rows: DataFrame, name: str, tables: dict[str, DataFrame], root: str, batch: tuple[str, int],
+    period: str = "yyyy-MM",
+) -> bool:
+    """Take one batch of a table's rows in; returns whether there was anything to do."""
+    spark = rows.sparkSession
+    paths = [arrivals_path(root, name), f"{root}/{ORDERS_TABLE}", f"{root}/{FEATURES_TABLE}"]
+    if all(s is not None and s.has(batch) for s in (snapshots.load(spark, p) for p in paths)):
+        return False
+    rows = staged(rows, "arrivals")
+    if rows.isEmpty():
+        return False
+    upsert_table(rows, paths[0], part=key_part(), batch=batch)
+    ingest_orders(with_arrivals(spark, tables, root), changed_orders(rows), root, period, batch)
+    return True
+
+
 def stream_ingest(
     spark: SparkSession, source: str, name: str, tables: dict[str, DataFrame], root: str,
     checkpoint: str, files_per_trigger: int = 1, period: str = "yyyy-MM",
@@ -181,8 +203,9 @@ def stream_ingest(
     ``name`` is the table the files belong to.  A micro-batch holds all rows that its orders
     have in that table: they replace older ones in the arrivals stored under ``root``, and
     the orders are rebuilt from ``tables`` with all arrivals, those of other streams
-    included, and upserted.  The stream's checkpoint is the ingest state, and a repeated
-    batch upserts the same rows.
+    included, and upserted.  The stream's checkpoint is the ingest state.  Every table keeps
+    the last batch of each stream, so a batch that is replayed after some tables have taken it
+    reaches only the others; one that all have taken does nothing, and so does an empty one.
     """
     schema = tables[name].schema
     arrivals = (
@@ -191,9 +214,7 @@ def stream_ingest(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = staged(batch, "arrivals")
-        upsert_table(rows, arrivals_path(root, name), part=key_part())
-        ingest_orders(with_arrivals(spark, tables, root), changed_orders(rows), root, period)
+        load_batch(batch, name, tables, root, (checkpoint, batch_id), period)
 
     return (
         arrivals.writeStream.foreachBatch(load)

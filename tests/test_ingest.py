@@ -5,7 +5,7 @@ from nine_tables import tables
 from orderlens.operators.order_level import build_order_level
 from orderlens.plans import build
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE, RAW_FILES
-from orderlens.sources import readers, writers
+from orderlens.sources import readers, snapshots, writers
 from orderlens.streaming import ingest
 
 
@@ -79,6 +79,79 @@ def test_upsert_by_key_slot_with_null_keys_and_copies(spark, tmp_path):
     assert got == [("", 1), ("", 7), ("o1", 3)]
 
 
+def values(spark, path, version=None):
+    return {r["order_id"]: r["v"] for r in writers.read_upserted(spark, path, version).collect()}
+
+
+def test_readers_see_one_snapshot(spark, tmp_path):
+    path = str(tmp_path / "t")
+    by = writers.period_part()
+    writers.upsert_table(upsert_rows(spark, [("o1", 1, "2018-01-01"), ("o2", 2, "2018-02-01")]), path, part=by)
+    before = writers.read_upserted(spark, path)  # its files are chosen, nothing is read yet
+    writers.upsert_table(upsert_rows(spark, [("o1", 9, "2018-03-01"), ("o3", 3, "2018-02-01")]), path, part=by)
+    assert {r["order_id"]: r["v"] for r in before.collect()} == {"o1": 1, "o2": 2} == values(spark, path, 0)
+    assert values(spark, path) == {"o1": 9, "o2": 2, "o3": 3}
+    # an untouched partition stays where it is, an emptied one is named no more
+    first, second = (snapshots.load(spark, path, v).parts for v in (0, 1))
+    assert set(first) == {"part=2018-01", "part=2018-02"} and set(second) == {"part=2018-02", "part=2018-03"}
+    writers.upsert_table(upsert_rows(spark, [("o1", 10, "2018-03-01")]), path, part=by)
+    assert snapshots.load(spark, path).parts["part=2018-02"] == second["part=2018-02"]
+
+
+def test_a_write_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = upsert_rows(spark, [("o1", 1, "2018-01-01")])
+    writers.upsert_table(rows, path)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "commit", die)
+        with pytest.raises(RuntimeError, match="lost"):
+            writers.upsert_table(upsert_rows(spark, [("o1", 2, None), ("o2", 2, None)]), path)
+    assert values(spark, path) == {"o1": 1}
+    assert writers.upsert_table(upsert_rows(spark, [("o1", 3, None)]), path) == 1
+    # two writers from one snapshot: the second is refused
+    former = snapshots.load(spark, path, 0)
+    with pytest.raises(snapshots.ConcurrentWrite):
+        snapshots.note(spark, path, former, ("s", 1))
+    assert values(spark, path) == {"o1": 3}
+
+
+def test_old_snapshots_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for v in range(5):
+        writers.upsert_table(upsert_rows(spark, [("o1", v, "2018-01-01"), (f"p{v}", v, f"2018-0{v + 2}-01")]), path,
+                             part=writers.period_part())
+    snapshots.forget(spark, path, keep=2)
+    assert snapshots.versions(spark, path) == [3, 4]
+    assert values(spark, path) == {"o1": 4, **{f"p{v}": v for v in range(5)}}
+    assert values(spark, path, 3) == {"o1": 3, **{f"p{v}": v for v in range(4)}}
+    assert len(list((tmp_path / "t").glob("_write=*/part=2018-01"))) == 2
+
+
+def test_empty_batches_and_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    none = upsert_rows(spark, [])
+    assert writers.upsert_table(none, path, batch=("s", 0)) == 0
+    assert writers.read_upserted(spark, path).columns == none.columns and values(spark, path) == {}
+    assert writers.upsert_table(upsert_rows(spark, [("o1", 1, None)]), path, batch=("s", 1)) == 1
+    assert writers.upsert_table(none, path, batch=("s", 2)) == 1
+    assert snapshots.load(spark, path).batches == {"s": 2}
+    with pytest.raises(FileNotFoundError):
+        writers.read_upserted(spark, str(tmp_path / "nowhere"))
+
+
+def test_a_batch_is_taken_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = upsert_rows(spark, [(None, 1, None), ("o1", 1, None)])  # a second time, the row without a key would be added
+    for _ in range(3):
+        assert writers.upsert_table(rows, path, batch=("s", 4)) == 2
+    assert writers.upsert_table(rows, path, batch=("other", 4)) == 3
+    assert len(snapshots.versions(spark, path)) == 2
+
+
 def test_merge_rows(spark):
     stored = upsert_rows(spark, [("o1", 1, None), ("o2", 2, None)])
     merged = writers.merge_rows(stored, upsert_rows(spark, [("o2", 9, None), ("o3", 3, None)]))
@@ -161,6 +234,38 @@ def test_stream_replay_and_late_review(spark, tmp_path):
     assert same_rows(want, writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}"))
 
 
+def test_replayed_and_empty_batches(spark, tmp_path, monkeypatch):
+    t, root = tables(spark), str(tmp_path / "gold")
+    source = str(tmp_path / "in")
+    # the first file is empty
+    t["orders"].where("false").coalesce(1).write.parquet(source)
+    t["orders"].coalesce(1).write.mode("append").parquet(source)
+    early = {**t, "orders": t["orders"].where("false")}
+    ingest.stream_ingest(spark, source, "orders", early, root, str(tmp_path / "cp")).awaitTermination()
+    names = (ORDERS_TABLE, FEATURES_TABLE)
+    want = [writers.read_upserted(spark, f"{root}/{n}") for n in names]
+    assert [w.count() for w in want] == [7, 7]
+    # the batch comes again after the tables have taken it
+    assert not ingest.load_batch(t["orders"], "orders", early, root, (str(tmp_path / "cp"), 1))
+    # the sink dies between the tables, and the batch is replayed
+    changed, upsert = t["orders"].withColumn("order_status", F.lit("again")), ingest.upsert_table
+
+    def dies_at_features(rows, path, **kwargs):
+        if path.endswith(FEATURES_TABLE):
+            raise RuntimeError("lost")
+        return upsert(rows, path, **kwargs)
+
+    batch = (str(tmp_path / "cp"), 2)
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "upsert_table", dies_at_features)
+        with pytest.raises(RuntimeError):
+            ingest.load_batch(changed, "orders", early, root, batch)
+    version = snapshots.load(spark, f"{root}/{ORDERS_TABLE}").version
+    assert ingest.load_batch(changed, "orders", early, root, batch)
+    assert snapshots.load(spark, f"{root}/{ORDERS_TABLE}").version == version
+    assert {r[0] for r in writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}").select("order_status").collect()} == {"again"}
+
+
 def test_uploaded_orders(spark, tmp_path):
     path = tmp_path / "u.csv"
     path.write_text('order_id, total_price ,note\n007,12.5,"a, b"\n008, ,x\n009,abc,\n')
