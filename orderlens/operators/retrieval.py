@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import text as X
+from orderlens.operators.block_search import best_rows, overlap_score
 from orderlens.session import staged
 
 TOP_K = 4
-# Scores that differ by rounding errors of their sums are ties.
-SCORE_DIGITS = 9
 DIRECT_BUDGET = 24_000
 PASSAGE_CHARS = 2_600
 CONTEXT_BUDGET = 20_000
@@ -48,16 +47,22 @@ def _damped(n: str) -> Column:
 
 
 def _unit(weighted: DataFrame, key: str) -> DataFrame:
-    """Weights scaled to unit length per text (a window holds one text's terms)."""
-    square = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key))
-    return weighted.select(key, "term", (F.col("weight") / F.sqrt(square)).alias("weight"))
+    """One row per text: its words and their weights, scaled to unit length."""
+    gathered = weighted.groupBy(key).agg(
+        F.collect_list(F.struct("term", "weight")).alias("terms"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+    )
+    return gathered.select(
+        key, F.transform("terms", lambda t: t["term"]).alias("words"),
+        F.transform("terms", lambda t: t["weight"] / F.col("norm")).alias("weights"),
+    )
 
 
 def tfidf_index(corpus: DataFrame, stop_words: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(postings, vocabulary): unit-length term weights per document, and idf.
+    """(index, vocabulary): each document's words and unit-length weights, and idf.
 
-    Both are staged: the index is read by every search, and its real size lets the
-    optimizer choose the joins.
+    Both are staged: the index is read by every search, one row per document, so that a search
+    never moves it.
     """
     counts = staged(term_counts(corpus, "id", stop_words), "term-counts")
     total = corpus.agg(F.count(F.lit(1))).scalar()
@@ -70,28 +75,25 @@ def tfidf_index(corpus: DataFrame, stop_words: list[str]) -> tuple[DataFrame, Da
     weighted = counts.join(vocabulary, "term").select(
         "id", "term", (_damped("n") * F.col("idf")).alias("weight")
     )
-    return staged(_unit(weighted, "id"), "postings"), vocabulary
+    return staged(_unit(weighted, "id"), "index"), vocabulary
 
 
 def tfidf_search(
-    queries: DataFrame, postings: DataFrame, vocabulary: DataFrame, stop_words: list[str],
+    queries: DataFrame, index: DataFrame, vocabulary: DataFrame, stop_words: list[str],
     k: int = TOP_K,
 ) -> DataFrame:
-    """The k documents with the highest positive cosine per query (ties by id)."""
+    """The k documents with the highest positive cosine per query (ties by id).
+
+    The index is scanned where it lies and blocks of documents whose best possible cosine is
+    too low stay closed; only k documents per task and query are shuffled.
+    """
     asked = term_counts(queries, "query_id", stop_words).join(vocabulary, "term").select(
         "query_id", "term", (_damped("n") * F.col("idf")).alias("weight")
     )
-    query_terms = staged(_unit(asked, "query_id"), "query-terms").withColumnRenamed(
-        "weight", "query_weight"
-    )
-    scored = (
-        postings.join(query_terms, "term")
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
-        .where(F.col("score") > 0)
-    )
-    best = Window.partitionBy("query_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    words = _unit(asked, "query_id").select(
+        "query_id", F.explode(F.arrays_zip("words", "weights")).alias("w")
+    ).select("query_id", F.col("w.words").alias("word"), F.col("w.weights").alias("weight"))
+    return best_rows(index, words, k)
 
 
 # ---- vectors --------------------------------------------------------------------
@@ -318,28 +320,20 @@ def sentences(passages: DataFrame, order: str) -> DataFrame:
 def extractive_answers(
     questions: DataFrame, passages: DataFrame, order: str, max_sentences: int = 3
 ) -> DataFrame:
-    """Per question the best sentences by keyword overlap, in reading order."""
-    asked = staged(
-        questions.select("query_id", F.explode(X.keywords(F.col("text"))).alias("word")),
-        "question-words",
-    )
-    known = sentences(passages, order).withColumn("words", X.keywords(F.col("sentence")))
-    hits = (
-        known.select("key", "position", "sentence", F.size("words").alias("m"),
-                     F.explode("words").alias("word"))
-        .join(asked, "word")
-        # grouped by the sentence key first: its rows are already together
-        .groupBy("key", "query_id")
-        .agg(
-            F.count(F.lit(1)).alias("overlap"), F.first("m").alias("m"),
-            F.first("position").alias("position"), F.first("sentence").alias("sentence"),
-        )
-        .withColumn(
-            "score", F.col("overlap") + F.col("overlap") / (1 + F.sqrt(F.col("m").cast("double")))
-        )
+    """Per question the best sentences by keyword overlap, in reading order.
+
+    Sentences are searched in blocks bounded by the words that they can share with a question;
+    ties go to the earlier one.
+    """
+    asked = questions.select("query_id", F.explode(X.keywords(F.col("text"))).alias("word"), F.lit(1.0).alias("weight"))
+    words = X.keywords(F.col("sentence"))
+    known = staged(sentences(passages, order).withColumn("words", words), "sentences")
+    found = best_rows(
+        known.select(F.col("position").alias("id"), "words", F.size("words").cast("double").alias("size")),
+        asked, max_sentences, overlap_score,
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "position")
-    top = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_sentences)
+    # texts are fetched for the chosen sentences alone
+    top = found.join(known.select(F.col("position").alias("id"), "sentence"), "id").withColumnRenamed("id", "position")
     # at most ``max_sentences`` rows per question from here on
     return top.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "sentence"))).alias("picked"),
