@@ -7,12 +7,11 @@ per query in every map task before it shuffles.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import text as X
+from orderlens.operators import pivot_index
 from orderlens.operators.block_search import best_rows, overlap_score
 from orderlens.session import staged
 
@@ -98,70 +97,19 @@ def tfidf_search(
 
 # ---- vectors --------------------------------------------------------------------
 
-# Query vectors shipped to every task at most: 4,096 of 1,024 floats are 16 MB.
-MAX_QUERY_FLOATS = 4_096 * 1_024
-
-
 def nearest_vectors(
-    queries: DataFrame, corpus: DataFrame, k: int = TOP_K, max_floats: int = MAX_QUERY_FLOATS
+    queries: DataFrame, corpus: DataFrame | pivot_index.PivotIndex, k: int = TOP_K,
+    max_floats: int = pivot_index.QUERY_FLOATS,
 ) -> DataFrame:
     """The k nearest corpus vectors per query by squared Euclidean distance, exactly.
 
-    Score is 1 / (1 + distance).  Queries go to the tasks in blocks of about ``max_floats``
-    numbers.  Each block is one scan of the corpus, which is never shuffled: a task keeps
-    only its k best per query, and these are stored before the next block.
+    Score is 1 / (1 + distance).  ``corpus`` is a pivot index, or a table (id, vector) that one
+    is built of.  Only the cells that may hold a nearer vector are read, in two scans for each
+    block of queries; a task keeps only its k best per query.
     """
-    spark = corpus.sparkSession
-    width = queries.select(F.max(F.size("vector"))).first()[0] or 1
-    blocks = max(1, -(-queries.count() * width // max_floats))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    asked = staged(queries.select("query_id", "vector", block), "queries")
-    id_type = corpus.schema["id"].dataType.simpleString()
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type}, distance double"
-    partial = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        head = asked.where(F.col("block") == b).toPandas()
-        if len(head):
-            partial = partial.unionByName(staged(_scan_for(head, corpus, k, schema), "nearest"))
-    nearest = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (
-        partial.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-        .withColumn("score", 1.0 / (1.0 + F.col("distance")))
-    )
-
-
-def _scan_for(head: pd.DataFrame, corpus: DataFrame, k: int, schema: str) -> DataFrame:
-    """The k nearest of every partition of the corpus per query in ``head``."""
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        (head["query_id"].to_numpy(), np.stack(head["vector"].to_list()).astype("float64"))
-    )
-
-    def scan(batches):
-        ids, wanted = shared.value
-        best = None
-        for batch in batches:
-            if len(batch):
-                best = _keep_nearest(best, ids, wanted, batch, k)
-        if best is not None:
-            yield best
-
-    return corpus.select("id", "vector").mapInPandas(scan, schema)
-
-
-def _keep_nearest(best, ids, wanted, batch, k):
-    """Merge a batch of vectors into the k nearest per query found so far."""
-    vectors = np.stack(batch["vector"].to_list()).astype("float64")
-    found = batch["id"].to_numpy()
-    parts = [] if best is None else [best]
-    for row, query in enumerate(wanted):
-        gap = vectors - query
-        distance = np.einsum("ij,ij->i", gap, gap)
-        keep = distance <= np.partition(distance, k - 1)[k - 1] if len(distance) > k else slice(None)
-        parts.append(pd.DataFrame(
-            {"query_id": ids[row], "id": found[keep], "distance": distance[keep]}
-        ))
-    merged = pd.concat(parts).sort_values(["query_id", "distance", "id"])
-    return merged.groupby("query_id").head(k)
+    index = corpus if isinstance(corpus, pivot_index.PivotIndex) else pivot_index.build(corpus)
+    found, _ = pivot_index.nearest(queries, index, k, max_floats)
+    return found.withColumn("score", 1.0 / (1.0 + F.col("distance")))
 
 
 # ---- budgets ---------------------------------------------------------------------
