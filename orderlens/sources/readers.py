@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from orderlens.functions import scalar as S
 from orderlens.schemas import RAW_FILES, RAW_SCHEMAS
 
-# Review texts hold quotes, commas and line breaks, so records may span lines.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
+CSV_OPTIONS = {"header": "true", "escape": '"'}
+# Review texts and uploads may hold line breaks, so their records span lines and a file is one
+# task; files of all other tables are split.
+MANY_LINES = {"multiLine": "true"}
+FREE_TEXT_TABLES = frozenset({"reviews"})
 
 # Uploaded ids stay text whatever they look like.
 UPLOAD_IDS = ("order_id", "id")
@@ -24,7 +27,8 @@ def read_raw_table(spark: SparkSession, raw_dir: str, name: str) -> DataFrame:
     """One raw CSV table with its declared schema; a missing file is an error."""
     path = f"{raw_dir}/{RAW_FILES[name]}"
     try:
-        return spark.read.schema(RAW_SCHEMAS[name]).options(**CSV_OPTIONS).csv(path)
+        options = CSV_OPTIONS | (MANY_LINES if name in FREE_TEXT_TABLES else {})
+        return spark.read.schema(RAW_SCHEMAS[name]).options(**options).csv(path)
     except AnalysisException as error:
         raise MissingSource(f"raw table {name} not found at {path}") from error
 
@@ -39,7 +43,7 @@ def read_uploaded_orders(spark: SparkSession, path: str) -> DataFrame:
 
     Numbers are cast where they are used, so one odd cell costs that cell only.
     """
-    raw = spark.read.options(**{**CSV_OPTIONS, "inferSchema": "false"}).csv(path)
+    raw = spark.read.options(**CSV_OPTIONS, **MANY_LINES, inferSchema="false").csv(path)
     return raw.select(*[
         F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip()) for c in raw.columns
     ])
@@ -72,6 +76,21 @@ def lookup(table: DataFrame, ids: DataFrame, *columns: str, key: str = "order_id
     return table.select(key, *columns).join(ids.select(key).distinct(), key, "left_semi")
 
 
+#: Keys that a point look-up puts into its filter.
+LISTED_KEYS = 1_000
+
+
+def look_up(table: DataFrame, keys: list, *columns: str, key: str = "order_id") -> DataFrame:
+    """Columns of the rows with one of a few known keys.
+
+    The keys are a filter of the scan, so row groups whose smallest and largest key or whose
+    Bloom filter rule them out are not read.  For many keys ``lookup`` joins instead.
+    """
+    if len(keys) > LISTED_KEYS:
+        raise ValueError(f"more than {LISTED_KEYS} keys: join with lookup")
+    return table.where(F.col(key).isin(list(keys))).select(key, *columns)
+
+
 def read_corpus(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """The text corpus: id, text and source, as a JSON array or one record per line.
 

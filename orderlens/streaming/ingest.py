@@ -11,19 +11,22 @@ from __future__ import annotations
 import functools
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orderlens.functions import scalar as S
 from orderlens.operators.features import feature_table
 from orderlens.operators.order_level import build_order_level
+from orderlens.operators.quantiles import with_global_rank
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE
 from orderlens.session import staged
 from orderlens.sources import snapshots
 from orderlens.sources.writers import key_part, merge_rows, period_part, read_upserted, upsert_table
 
 DEFAULT_BATCH_SIZE = 2000
+#: Cells of time that are counted at once, and rows that one task may put in order.
+TIME_CELLS, SMALL_CELL = 4_096, 100_000
 ORDER_CHILDREN = ("items", "payments", "reviews")
 
 
@@ -74,19 +77,58 @@ def pending_orders(orders: DataFrame, state: IngestState) -> DataFrame:
     return orders.where(moment.isNull() | (moment > mark) | ((moment == mark) & beyond_id))
 
 
+def slice_end(pending: DataFrame, batch_size: int) -> Row | None:
+    """(micros, order_id) of the ``batch_size``-th pending order by (time, id); None if there are fewer.
+
+    Orders are counted by time in ``TIME_CELLS`` cells, the cell that holds the rank is counted
+    again in finer ones, until it holds few rows or a single moment.  Only the rows of that cell
+    are put in order: few ones at once, many orders of one moment in ranges over the cluster.
+    """
+    keys = pending.select(F.unix_micros(_purchase_time().cast("timestamp")).alias("t"), "order_id")
+    t = F.col("t")
+    span = keys.agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("timed"), F.min("t").alias("low"),
+                    F.max("t").alias("high")).first()
+    if span["n"] < batch_size:
+        return None
+    rank, size = batch_size, span["timed"]
+    if rank > size:  # among orders of unknown time, which come last
+        rank, size, inside = rank - size, span["n"] - size, t.isNull()
+    else:
+        low, high = span["low"], span["high"]
+        while low < high and size > SMALL_CELL:
+            width = -(-(high - low + 1) // TIME_CELLS)
+            counts = keys.where(t.between(low, high)).groupBy(F.floor((t - low) / width).cast("bigint").alias("cell")) \
+                .agg(F.count(F.lit(1)).alias("n")).collect()  # at most TIME_CELLS rows
+            for cell, n in sorted((r["cell"], r["n"]) for r in counts):
+                if rank <= n:
+                    low, high, size = low + cell * width, min(high, low + (cell + 1) * width - 1), n
+                    break
+                rank -= n
+        inside = t.between(low, high)
+    cell = keys.where(inside)
+    if size <= SMALL_CELL:
+        return cell.orderBy("t", "order_id").limit(rank).orderBy(F.desc("t"), F.desc("order_id")).first()
+    return with_global_rank(cell, "order_id").where(F.col("rank") == rank).select("t", "order_id").first()
+
+
 def next_slice(
     orders: DataFrame, state: IngestState, batch_size: int = DEFAULT_BATCH_SIZE
 ) -> tuple[DataFrame, IngestState]:
     """The next ``batch_size`` orders by (time, id), and the state after them.
 
-    Time unknown sorts last.  An empty slice leaves the watermark as it is.
+    Time unknown sorts last.  An empty slice leaves the watermark as it is.  A slice is all
+    pending orders up to its end key: a filter, whatever its size.
     """
-    batch = (
-        pending_orders(orders, state)
-        .orderBy(_purchase_time().asc_nulls_last(), "order_id")
-        .limit(batch_size)
-    )
+    pending = pending_orders(orders, state)
+    end = slice_end(pending, batch_size)
+    t = F.unix_micros(_purchase_time().cast("timestamp"))
+    batch = pending
+    if end is not None:
+        upto = F.col("order_id") <= F.lit(end["order_id"])
+        timed = t.isNotNull() if end["t"] is None else (t < end["t"]) | ((t == end["t"]) & upto)
+        batch = pending.where(timed | (t.isNull() & upto) if end["t"] is None else timed)
     moment = _purchase_time()
+    batch = batch.orderBy(moment.asc_nulls_last(), "order_id")
     key = F.struct(moment.isNull().alias("unknown"), moment.alias("ts"), F.col("order_id"))
     seen = batch.agg(
         F.count(F.lit(1)).alias("n"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,58 @@ def test_slices_are_chronological(spark):
     assert ingest.remaining(orders, ingest.IngestState()).first()["remaining"] == 6
 
 
+@pytest.mark.parametrize("cells, small", [(4096, 100_000), (3, 5), (2, 1)])
+def test_slices_of_any_size(spark, monkeypatch, cells, small):
+    monkeypatch.setattr(ingest, "TIME_CELLS", cells)
+    monkeypatch.setattr(ingest, "SMALL_CELL", small)
+    draw = random.Random(3)
+    rows = [(f"o{i:03}", draw.choice(["2018-01-01 10:00:00", f"2018-0{draw.randrange(1, 9)}-1{draw.randrange(9)} 0{draw.randrange(9)}:00:00",
+                                      None, "2018-05-05 05:05:05"])) for i in range(45)]
+    orders = spark.createDataFrame(rows, "order_id string, order_purchase_timestamp string")
+    want = [i for i, _ in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))]
+    for size in (20,):
+        state, seen = ingest.IngestState(), []
+        while True:
+            batch, after = ingest.next_slice(orders, state, size)
+            ids = [r["order_id"] for r in batch.collect()]
+            assert after.cursor - state.cursor == len(ids) <= size
+            if not ids:
+                break
+            seen.append(ids)
+            state = after
+        assert [i for ids in seen for i in ids] == want and all(len(ids) == size for ids in seen[:-1])
+
+
+def test_only_reviews_are_read_in_one_piece(spark, tmp_path):
+    t = tables(spark)
+    write_raw(spark, tmp_path / "raw", t)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        parts = {n: df.rdd.getNumPartitions() for n, df in readers.read_raw_tables(spark, str(tmp_path / "raw")).items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts["reviews"] == 1 and parts["orders"] > 1 and parts["items"] > 1
+
+
+def test_look_up_reads_few_row_groups(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(40_000).select(F.sha1(F.col("id").cast("string")).alias("order_id"), (F.col("id") % 10).alias("p"), "id")
+    spark.conf.set("parquet.block.size", str(64 << 10))
+    writers.replace_table(rows, path, F.col("p"))
+    table = writers.read_upserted(spark, path)
+    assert len(list((tmp_path / "t").glob("_write=*/part=*/*.parquet"))) >= 10
+    key = rows.where("id = 77").first()["order_id"]
+    found = readers.look_up(table, [key, "unknown"], "id")
+    assert [tuple(r) for r in found.collect()] == [(key, 77)]
+    scans = found._jdf.queryExecution().executedPlan().collectLeaves()
+    read = sum(scans.apply(i).metrics().apply("numOutputRows").value() for i in range(scans.size()))
+    assert 1 <= read <= 4_000  # one of ten files at most
+    with pytest.raises(ValueError, match="join"):
+        readers.look_up(table, list(range(2000)), "id")
+
+
 def test_state_survives(spark, tmp_path):
     path = str(tmp_path / "state")
     assert ingest.load_state(spark, path) == ingest.IngestState()
