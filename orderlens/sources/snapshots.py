@@ -133,7 +133,9 @@ def write(df: DataFrame, path: str, former: Snapshot | None, touched: list[str]
     out = df.hint("rebalance", PART)  # splits a hot partition's rows over several files
     if key in df.columns:
         out = out.sortWithinPartitions(PART, key)
-    out.write.partitionBy(PART).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(target)
+    # the filter is as large as the keys of a row group need
+    out.write.partitionBy(PART).option(f"parquet.bloom.filter.enabled#{key}", "true").option(
+        "parquet.bloom.filter.adaptive.enabled", "true").parquet(target)
     stays = {} if former is None or touched is None else {p: w for p, w in former.parts.items() if p not in set(touched)}
     written = {n: tag for n in _names(spark, target) if n.startswith(f"{PART}=")}
     schema = StructType([f for f in df.schema.fields if f.name != PART])
