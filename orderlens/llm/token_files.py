@@ -1,8 +1,8 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary.
 
 A dictionary is trained on the serialized ids of a bounded sample of documents and stored
-beside the data.  Documents are sorted by doc_id in range partitions and written in blocks:
-a block holds the zstandard frames of its documents end to end, the offset of each, and the
+beside the data.  Documents are compressed where they are; their frames are sorted by doc_id in
+range partitions and written in blocks: a block holds the zstandard frames of its documents end to end, the offset of each, and the
 hash of the dictionary it needs.  One short document is read by its block and offset alone,
 without touching its neighbours.  Blocks are rows of a Parquet table, so that any store
 Spark reaches will do and Spark's commit protocol covers lost executors.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.chunks import ChunkEncoder
-from orderlens.llm.common import hash_partitions, input_partitions
+from orderlens.llm.common import hash_partitions, input_partitions, stored
 
 END_ID = 1
 LEVEL = 1
@@ -74,13 +74,21 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     spark.createDataFrame([(name, bytearray(data), dtype)], "hash string, data binary, dtype string") \
         .coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def run(batches):
+    def encode(batches):
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data))
+        encoder = ChunkEncoder.shared(vocabulary, False)
+        for batch in batches:
+            ids = encoder.encode(batch.pop("text"))
+            yield batch.astype({"doc_id": "Int64"}).assign(
+                n_tokens=[len(raw) // 4 + 1 for raw in ids],
+                frame=[packer.compress(_serial(raw, end_id, dtype)) for raw in ids],
+            )
+
+    def gather(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data))
-        encoder = ChunkEncoder.shared(vocabulary, False)
-        block, first, ids, frames, tokens = 0, 0, [], [], []
+        block, first, held, ids, frames, tokens = 0, 0, 0, [], [], []
 
         def close():
             sizes = np.cumsum([0, *map(len, frames)])
@@ -92,23 +100,25 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             })
 
         for batch in batches:
-            for doc_id, raw in zip(batch["doc_id"].astype(object), encoder.encode(batch["text"])):
+            for doc_id, n, frame in zip(batch["doc_id"].astype(object), batch["n_tokens"].tolist(), batch["frame"]):
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
-                tokens.append(len(raw) // 4 + 1)
-                frames.append(packer.compress(_serial(raw, end_id, dtype)))
-                if len(ids) >= BLOCK_DOCS or sum(map(len, frames[-8:])) >= BLOCK_BYTES:
+                tokens.append(n)
+                frames.append(frame)
+                held += len(frame)
+                if len(ids) >= BLOCK_DOCS or held >= BLOCK_BYTES:
                     yield close()
-                    block, first = block + 1, first + sum(tokens)
+                    block, first, held = block + 1, first + sum(tokens), 0
                     ids, frames, tokens = [], [], []
         if ids:
             yield close()
 
+    # texts stay where they are: their frames, a fraction in size, are what is sorted
+    framed = stored(docs.select("doc_id", "text").mapInPandas(encode, "doc_id bigint, n_tokens bigint, frame binary"), "frames")
     n = max(hash_partitions(spark), input_partitions(docs))
     (
-        docs.select("doc_id", "text")
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+        framed.repartitionByRange(n, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-        .mapInPandas(run, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+        .mapInPandas(gather, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     )
     blocks = spark.read.parquet(f"{path}/blocks")
     sizes = blocks.groupBy("part").agg(
