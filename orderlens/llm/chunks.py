@@ -19,8 +19,8 @@ import types
 
 import numpy as np
 
-#: Chunks of one generation of the table, about 50 MB.
-KEPT_CHUNKS = 300_000
+#: Chunks of one generation of the table, about 70 MB.
+KEPT_CHUNKS = 400_000
 #: Texts with one of these go to the tokenizer whole: the two kinds of white space differ
 #: there, a special token may be named, or a key's mark stands in the text.
 WHOLE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -110,7 +110,7 @@ class ChunkEncoder:
         chunks = list(map(self.chunk, keys))
         got = self.tokenizer.encode_batch([chunks], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(got.ids, dtype="<u4").tobytes()
-        word = np.array([-1 if w is None else w for w in got.word_ids], dtype=np.int64)
+        word = np.array(got.word_ids, dtype=np.int64)  # none is missing: no special tokens are added
         at = (4 * np.searchsorted(word, np.arange(len(keys) + 1))).tolist()
         return {k: ids[a:b] for k, a, b in zip(keys, at, at[1:])}
 
@@ -128,16 +128,18 @@ class ChunkEncoder:
         cut = [None if not t or stays_whole(t) else self.cut(t) for t in texts]
         get = self.young.get
         found = [keys and list(map(get, keys)) for keys in cut]
-        missing = {k for keys, ids in zip(cut, found) if ids and None in ids for k, i in zip(keys, ids) if i is None}
+        gaps = [[j for j, i in enumerate(ids) if i is None] if ids else () for ids in found]
+        missing = {keys[j] for keys, at in zip(cut, gaps) for j in at}
         new = {k for k in missing if self._known(k) is None}
         if new:
             self.young.update(self._encode_new(new))
-        out = []
-        for text, keys, ids in zip(texts, cut, found):
-            if ids is None:
-                out.append(self.whole(text) if text else b"")
-            else:
-                out.append(b"".join(map(self.young.__getitem__, keys) if None in ids else ids))
+        for keys, ids, at in zip(cut, found, gaps):
+            for j in at:
+                ids[j] = self.young[keys[j]]
+        out = [
+            b"".join(ids) if ids is not None else self.whole(text) if text else b""
+            for text, ids in zip(texts, found)
+        ]
         if len(self.young) >= KEPT_CHUNKS:
             self.old, self.young = self.young, {}
         return out

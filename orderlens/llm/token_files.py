@@ -1,10 +1,10 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary.
 
 A dictionary is trained on the serialized ids of a bounded sample of documents and stored
-beside the data.  Documents are compressed where they are; their frames are sorted by doc_id in
-range partitions and written in blocks: a block holds the zstandard frames of its documents end to end, the offset of each, and the
-hash of the dictionary it needs.  One short document is read by its block and offset alone,
-without touching its neighbours.  Blocks are rows of a Parquet table, so that any store
+beside the data.  Documents are compressed where they are; their frames are sorted by doc_id
+in range partitions and written in blocks: a block holds the zstandard frames of its documents
+end to end, the offset of each, and the hash of the dictionary it needs.  One short document is
+read by its block and offset alone, without touching its neighbours.  Blocks are rows of a Parquet table, so that any store
 Spark reaches will do and Spark's commit protocol covers lost executors.
 
 Ids are stored as unsigned 16-bit numbers where the vocabulary allows, else 32-bit.
