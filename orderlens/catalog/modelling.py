@@ -314,9 +314,8 @@ def order_drivers(spark, sf_dir):
     ).select("order_id", "feature", "importance", "value", F.col("_review").alias("review_driver"))
 
 
-# ---- trained models: checked by their properties, as the booster is Spark ML's -------
+# ---- trained models: checked by their properties ------------------------------------
 
-SMALL = models.TrainSettings(trees=4, depth=3, learning_rate=0.3, folds=3)
 _TRAINED: dict[tuple[str, str], dict] = {}
 
 
@@ -328,7 +327,7 @@ def trained(spark, sf_dir):
         frame = features.scoring_frame(level, "order_purchase_timestamp", "review_score")
         loaded, reports, root = {}, {}, scratch_path(spark, "models")
         for name in MODEL_NAMES:
-            model, reports[name] = models.train(features.modeling_rows(frame, name), name, SMALL)
+            model, reports[name] = models.train(features.modeling_rows(frame, name), name)
             model.save(f"{root}/{name}")
             loaded[name] = models.RiskModel.load(spark, f"{root}/{name}")
         _TRAINED[key] = {"models": loaded, "reports": reports, "frame": frame}
@@ -361,6 +360,6 @@ def bulk_scoring(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     state = trained(spark, sf_dir)
     rows = features.modeling_rows(state["frame"], "delay")
-    return models.permutation_importance(state["models"]["delay"], rows).select(
+    return models.mean_shap(state["models"]["delay"], rows).select(
         "feature", r("importance", 6)
     )

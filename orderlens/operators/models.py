@@ -1,8 +1,9 @@
-"""Training, calibration and bulk scoring of the two risk models with Spark ML.
+"""Training, calibration and bulk scoring of the two risk models.
 
-Imputation values, class weight and thresholds are exact; trees, encoders and
-isotonic fits are Spark ML's.  The booster differs from other libraries, so the
-properties (ranking above chance, calibration that does not hurt) are what holds.
+Imputation values, class weight and thresholds are exact and read all rows; forests
+are boosted on a bounded sample (``TrainSettings.fit_rows``), isotonic fits are Spark
+ML's.  Random choices differ from other libraries, so the properties (ranking above
+chance, calibration that does not hurt) are what holds.
 """
 
 from __future__ import annotations
@@ -11,14 +12,11 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.operators import boosting
 from orderlens.operators import evaluation as E
 from orderlens.schemas import LABEL_OF, model_inputs
 from orderlens.session import staged
@@ -34,11 +32,22 @@ class TrainSettings:
     depth: int = 5
     learning_rate: float = 0.08
     row_share: float = 0.9
-    column_share: str = "0.9"
+    column_share: float = 0.9
+    l2: float = 1.0
+    bins: int = 256
+    fit_rows: int = 200_000
     min_category_rows: int = 50
     folds: int = 3
     seed: int = E.SEED
 
+    @property
+    def boosting(self) -> boosting.BoostSettings:
+        return boosting.BoostSettings(
+            trees=self.trees, depth=self.depth, learning_rate=self.learning_rate,
+            row_share=self.row_share, column_share=self.column_share, l2=self.l2,
+            bins=self.bins, seed=self.seed,
+        )
+
 
 @dataclass(frozen=True)
 class Imputation:
@@ -48,6 +57,11 @@ class Imputation:
     modes: dict[str, str]
     frequent: dict[str, list[str]] = field(default_factory=dict)
 
+    @property
+    def levels(self) -> dict[str, list[str]]:
+        """The categories that inputs can take once applied."""
+        return {c: [*known, POOLED] for c, known in self.frequent.items()}
+
     def apply(self, df: DataFrame) -> DataFrame:
         """Fill missing values and pool infrequent categories; unseen ones stay unseen."""
         filled = {
@@ -75,35 +89,6 @@ def fit_imputation(
     )
 
 
-def booster(
-    numeric: Sequence[str], categorical: Sequence[str], settings: TrainSettings, out: str
-) -> Pipeline:
-    """Index and one-hot the categoricals, assemble, boost.  Unseen → all zeros."""
-    indexed = [f"{c}__index" for c in categorical]
-    encoded = [f"{c}__onehot" for c in categorical]
-    return Pipeline(stages=[
-        StringIndexer(
-            inputCols=list(categorical), outputCols=indexed, handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ),
-        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True, handleInvalid="keep"),
-        VectorAssembler(inputCols=[*numeric, *encoded], outputCol=f"{out}__features"),
-        GBTClassifier(
-            featuresCol=f"{out}__features", labelCol="label", weightCol="weight",
-            predictionCol=f"{out}__class", maxIter=settings.trees, maxDepth=settings.depth,
-            stepSize=settings.learning_rate, subsamplingRate=settings.row_share,
-            featureSubsetStrategy=settings.column_share, seed=settings.seed,
-        ).setProbabilityCol(f"{out}__probability").setRawPredictionCol(f"{out}__raw"),
-    ])
-
-
-def raw_score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
-    """Add ``out``: the booster's probability of the positive class."""
-    kept = df.columns
-    scored = model.transform(df)
-    return scored.select(*kept, vector_to_array(f"{out}__probability")[1].alias(out))
-
-
 def fit_isotonic(scored: DataFrame, column: str) -> IsotonicRegressionModel:
     """Isotonic map from score to probability.
 
@@ -124,8 +109,8 @@ class RiskModel:
 
     name: str
     imputation: Imputation
-    base: PipelineModel
-    folds: list[tuple[PipelineModel, IsotonicRegressionModel]]
+    base: boosting.Forest
+    folds: list[tuple[boosting.Forest, IsotonicRegressionModel]]
     metadata: dict
 
     @property
@@ -140,29 +125,30 @@ class RiskModel:
 
     def base_score(self, df: DataFrame, out: str = "base_score") -> DataFrame:
         """Add ``out``: the uncalibrated probability."""
-        scored = raw_score(self.base, self._input(df), "base")
-        return scored.select("_row.*", F.col("base").alias(out))
+        return self._input(df).select("_row.*", self.base.probability().alias(out))
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
         """Add ``out``: the mean of the calibrated fold probabilities.
 
         Row-local: every booster runs over each partition, nothing is shuffled.
         """
-        scored, parts = self._input(df), []
-        for i, (model, isotonic) in enumerate(self.folds):
-            name = f"fold{i}"
-            scored = isotonic.transform(raw_score(model, scored, name))
-            parts.append(F.col(f"{name}__cal"))
+        scored = self._input(df).select(
+            "_row", *[f.probability().alias(f"fold{i}") for i, (f, _) in enumerate(self.folds)]
+        )
+        parts = []
+        for i, (_, isotonic) in enumerate(self.folds):
+            scored = isotonic.transform(scored)
+            parts.append(F.col(f"fold{i}__cal"))
         mean = sum(parts[1:], parts[0]) / float(len(parts))
         return scored.select("_row.*", mean.alias(out))
 
     def save(self, path: str) -> None:
-        """Pipelines in Spark ML format, the rest as JSON."""
-        self.base.write().overwrite().save(f"{path}/base")
-        for i, (model, isotonic) in enumerate(self.folds):
-            model.write().overwrite().save(f"{path}/fold{i}")
-            isotonic.write().overwrite().save(f"{path}/isotonic{i}")
+        """Forests as Parquet, isotonic maps in Spark ML format, the rest as JSON."""
         spark = SparkSession.getActiveSession()
+        self.base.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/base")
+        for i, (forest, isotonic) in enumerate(self.folds):
+            forest.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/fold{i}")
+            isotonic.write().overwrite().save(f"{path}/isotonic{i}")
         payload = json.dumps({
             "name": self.name, "folds": len(self.folds), "imputation": asdict(self.imputation),
             "metadata": self.metadata,
@@ -174,12 +160,16 @@ class RiskModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> RiskModel:
         payload = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        imputation = Imputation(**payload["imputation"])
+
+        def forest(part: str) -> boosting.Forest:
+            rows = spark.read.parquet(f"{path}/{part}").collect()
+            return boosting.Forest.of(rows, list(imputation.medians), imputation.levels)
+
         return RiskModel(
-            payload["name"], Imputation(**payload["imputation"]),
-            PipelineModel.load(f"{path}/base"),
+            payload["name"], imputation, forest("base"),
             [
-                (PipelineModel.load(f"{path}/fold{i}"),
-                 IsotonicRegressionModel.load(f"{path}/isotonic{i}"))
+                (forest(f"fold{i}"), IsotonicRegressionModel.load(f"{path}/isotonic{i}"))
                 for i in range(payload["folds"])
             ],
             payload["metadata"],
@@ -202,13 +192,16 @@ def train(rows: DataFrame, name: str, settings: TrainSettings = TrainSettings())
     prepared = staged(
         imputation.apply(train_rows).withColumn("weight", weighted), "prepared"
     )
-    base = booster(numeric, categorical, settings, "base").fit(prepared)
+    base, *forests = boosting.fit_forests(
+        prepared, numeric, imputation.levels, settings.boosting, settings.folds, settings.fit_rows
+    )
     folds = []
-    for i in range(settings.folds):
+    for i, forest in enumerate(forests):
         out = f"fold{i}"
-        model = booster(numeric, categorical, settings, out).fit(prepared.where(F.col("fold") != i))
-        held_out = raw_score(model, prepared.where(F.col("fold") == i), out)
-        folds.append((model, fit_isotonic(held_out, out)))
+        held_out = prepared.where(F.col("fold") == i).select(
+            "label", forest.probability().alias(out)
+        )
+        folds.append((forest, fit_isotonic(held_out, out)))
     fitted = RiskModel(name, imputation, base, folds, {})
     validation = fitted.score(split.where(F.col("split") == "validation"), "score")
     threshold = E.best_threshold(validation.select("label", "score")).first()["threshold"]
@@ -241,61 +234,12 @@ def score_with_both(frame: DataFrame, delay: RiskModel, low_review: RiskModel) -
     return low_review.score(delay.score(frame, "delay_probability"), "low_review_probability")
 
 
-def permutation_importance(
-    model: RiskModel, rows: DataFrame, sample_rows: int = 3000, seed: int = E.SEED
-) -> DataFrame:
-    """How much ROC-AUC falls when one input is shuffled, on a bounded sample.
+def mean_shap(model: RiskModel, rows: DataFrame) -> DataFrame:
+    """(feature, importance): mean absolute Shapley value of the log-odds, over all rows.
 
-    All shuffled copies are scored in one pass.  Shuffling pairs each sampled row
-    with one a feature-specific distance further along the hashed order.
+    Numbers are named ``num__column``, categories ``cat__column_value``.
     """
-    numeric, categorical = model_inputs(model.name)
-    inputs = [*numeric, *categorical]
-    # the sample holds ``sample_rows`` rows at most, so its windows are bounded
-    hashed = Window.orderBy(E.unit_hash("order_id", seed + 2), "order_id")
-    sample = staged(
-        E.seeded_sample(rows, sample_rows, seed=seed)
-        .select("order_id", "label", *inputs)
-        .withColumn("place", F.row_number().over(hashed) - 1),
-        "importance-sample",
-    )
-    n = sample.agg(F.count(F.lit(1))).scalar()
-    shifts = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(7 + 13 * i).alias("shift"))
-        for i, c in enumerate(["(none)", *inputs])
-    ])
-    copies = sample.select("*", F.inline(shifts)).withColumn(
-        "partner", F.pmod(F.col("place") + F.col("shift"), n)
-    )
-    partners = sample.select(
-        F.col("place").alias("partner"), *[F.col(c).alias(f"other__{c}") for c in inputs]
-    )
-    shuffled = copies.join(partners, "partner").select(
-        "feature", "order_id", "label",
-        *[
-            F.when(F.col("feature") == c, F.col(f"other__{c}")).otherwise(F.col(c)).alias(c)
-            for c in inputs
-        ],
-    )
-    scored = model.base_score(shuffled, "score").select("feature", "label", "score")
-    of_feature = Window.partitionBy("feature")
-    up_to = Window.partitionBy("feature").orderBy("score")
-    ranked = scored.select(
-        "feature", "label",
-        (F.rank().over(up_to) + (F.count(F.lit(1)).over(
-            Window.partitionBy("feature", "score")) - 1) / 2.0).alias("mean_rank"),
-        F.count_if(F.col("label") == 1).over(of_feature).alias("pos"),
-        F.count_if(F.col("label") == 0).over(of_feature).alias("neg"),
-    )
-    auc = ranked.groupBy("feature").agg(
-        ((F.sum(F.when(F.col("label") == 1, F.col("mean_rank")))
-          - F.max(F.col("pos") * (F.col("pos") + 1) / 2.0))
-         / F.nullif(F.max(F.col("pos") * F.col("neg")), F.lit(0))).alias("auc")
-    )
-    whole = auc.where(F.col("feature") == "(none)").select("auc").scalar()
-    return auc.where(F.col("feature") != "(none)").select(
-        "feature", (whole - F.col("auc")).alias("importance")
-    )
+    return boosting.mean_attributions(model.base, model._input(rows))
 
 
 # What is shown for a low-review risk, and how many delay drivers.

@@ -20,7 +20,7 @@ def train_all(
         model.save(f"{root}/models/{name}")
         report.write.mode("overwrite").json(f"{root}/reports/metrics_{name}")
         if name == "delay":
-            models.permutation_importance(model, rows).write.mode("overwrite").json(
+            models.mean_shap(model, rows).write.mode("overwrite").json(
                 f"{root}/reports/importance_{name}"
             )
         reports[name] = report

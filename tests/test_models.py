@@ -1,12 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.catalog.modelling import SMALL
 from orderlens.operators import features, models, risk
 from orderlens.operators import evaluation as E
 from orderlens.plans import scoring, training
 from orderlens.schemas import model_inputs
 
+SMALL = models.TrainSettings(trees=40, depth=3, learning_rate=0.1)
+
 
 def synthetic_frame(spark, n=3000):
     """Orders whose lateness depends on the promise and the distance."""
@@ -81,10 +82,10 @@ def test_imputation(spark):
 
 def test_importance_finds_the_cause(trained):
     rows, model, _ = trained
-    got = models.permutation_importance(model, rows, sample_rows=1000).orderBy(
-        F.col("importance").desc()).collect()
-    assert len(got) == 23 and got[0]["feature"] == "estimated_delivery_days"
-    assert got[0]["importance"] > 0.05
+    got = models.mean_shap(model, rows).orderBy(F.col("importance").desc()).collect()
+    assert [r["feature"] for r in got].count("num__estimated_delivery_days") == 1
+    assert got[0]["feature"] == "num__estimated_delivery_days" and got[0]["importance"] > 0.05
+    assert {r["feature"] for r in got} == set(model.base.names())
 
 
 def test_drivers(spark):
