@@ -4,7 +4,7 @@
     spark-submit … -m orderlens increment --raw RAW_DIR --root GOLD_DIR --batch-size 2000
     spark-submit … -m orderlens train     --root GOLD_DIR
     spark-submit … -m orderlens score     --root GOLD_DIR
-    spark-submit … -m orderlens profile   --root GOLD_DIR
+    spark-submit … -m orderlens profile   --root GOLD_DIR [--merged]
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import argparse
 import datetime as dt
 
 from orderlens.operators.models import TrainSettings
+from orderlens.operators.sketch_profile import stored_sketches
 from orderlens.plans import build, scoring, training
-from orderlens.schemas import ORDERS_TABLE
+from orderlens.schemas import ORDERS_TABLE, SKETCHES_TABLE
 from orderlens.session import build_session
 from orderlens.sources.writers import read_upserted
 from orderlens.streaming.ingest import DEFAULT_BATCH_SIZE
@@ -29,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--reset", action="store_true")
     parser.add_argument("--no-csv", action="store_true")
     parser.add_argument("--trees", type=int, default=TrainSettings.trees)
+    parser.add_argument("--merged", action="store_true", help="profile from stored sketches, no rows read")
     args = parser.parse_args(argv)
     spark = build_session()
 
@@ -44,7 +46,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "train":
         training.train_all(level, args.root, TrainSettings(trees=args.trees))
         return 0
-    if args.command == "profile":
+    if args.command == "profile" and args.merged:
+        stored = stored_sketches(spark, f"{args.root}/{SKETCHES_TABLE}")
+        outputs = {"profile_merged": scoring.merged_profile_tables(stored)}
+    elif args.command == "profile":
         outputs = {"profile": scoring.profile_tables(level)}
     else:
         trained = training.load_all(spark, args.root)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from orderlens.catalog.core import order_level, query
 from orderlens.catalog.orders import r
 from orderlens.functions import scalar as S
-from orderlens.operators import forecast, profile, segments
+from orderlens.operators import forecast, profile, segments, sketch_profile
 from orderlens.operators.order_level import with_delivery_metrics
 from orderlens.schemas import DASHBOARD_MONTH_MIN, FORECAST_MONTH_MIN
-from orderlens.session import staged
+from orderlens.session import scratch_path, staged
+from orderlens.sources import writers
 from orderlens.sources.driver_tables import view
 
 
@@ -248,6 +249,43 @@ def quality_profile(spark, sf_dir):
     )
 
 
+_SKETCHED = [c for c, _ in _PROFILED] + [
+    c for c in profile.DESCRIBED if c not in dict(_PROFILED)
+] + ["order_purchase_timestamp"]
+
+
+@query("a22_merged_profile", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS n_missing, "
+    f"round((count(*) - count({c})) * 100.0E0 / count(*), 4) AS pct_missing, "
+    "TRUE AS unique_within_3_pct, "
+    + (f"CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 4) AS mean, "
+       f"round(stddev_samp({c}), 4) AS sd, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
+       f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM order_level" if c in profile.DESCRIBED else
+       "CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS sd, "
+       "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max FROM order_level")
+    for c in _SKETCHED
+))
+def merged_profile(spark, sf_dir):
+    """A table filled by two writes; its profile is merged from sketches after each."""
+    level = staged(order_level(spark, sf_dir).select(*_SKETCHED), "profiled")
+    table, path = scratch_path(spark, "profiled-table"), scratch_path(spark, "sketches")
+    shipped = F.col("order_status").eqNullSafe("shipped")
+    for batch in (level.where(~shipped), level.where(shipped)):
+        writers.upsert_table(batch, table, part=writers.period_part(pattern="yyyy"))
+        sketch_profile.refresh(spark, table, path)
+    stored = sketch_profile.stored_sketches(spark, path)
+    exact = profile.quality_profile(level).select("column_name", F.col("n_unique").alias("distinct"))
+    within = F.abs(F.col("n_unique") - F.col("distinct")) <= 0.03 * F.col("distinct")
+    return (
+        sketch_profile.quality_profile(stored).join(exact, "column_name")
+        .join(sketch_profile.describe(stored).withColumnRenamed("metric", "column_name"), "column_name", "left")
+        .select(
+            "column_name", "n_missing", r("pct_missing"), within.alias("unique_within_3_pct"),
+            "n", r("mean"), r("sd"), r("min"), r("max"),
+        )
+    )
+
+
 @query("a23_describe", "\nUNION ALL\n".join(
     f"SELECT '{c}' AS metric, CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 4) AS mean, "
     f"round(stddev_samp({c}), 4) AS sd, round(CAST(min({c}) AS DOUBLE), 4) AS min, "

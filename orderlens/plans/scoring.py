@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators import features, forecast, models, profile, risk, segments
+from orderlens.operators import features, forecast, models, profile, risk, segments, sketch_profile
 from orderlens.schemas import DASHBOARD_MONTH_MIN, FORECAST_MONTH_MIN
 from orderlens.session import staged
 from orderlens.sources.writers import write_action_queue, write_digest
@@ -81,6 +81,11 @@ def profile_tables(level: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def merged_profile_tables(stored: DataFrame) -> dict[str, DataFrame]:
+    """Quality and description from the stored sketches alone."""
+    return {"quality": sketch_profile.quality_profile(stored), "describe": sketch_profile.describe(stored)}
+
+
 def digest(
     level: DataFrame, scored: DataFrame | None, root: str, generated_at: str, k: int = 10
 ) -> DataFrame:

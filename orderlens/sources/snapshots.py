@@ -118,6 +118,12 @@ def folder(spark: SparkSession, value: str) -> str:
     return f"{PART}={utils.escapePathName(value)}"
 
 
+def value(spark: SparkSession, name: str) -> str:
+    """The partition that a folder holds."""
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return utils.unescapePathName(name.removeprefix(f"{PART}="))
+
+
 def write(df: DataFrame, path: str, former: Snapshot | None, touched: list[str] | None, key: str,
           batch: tuple[str, int] | None = None) -> Snapshot:
     """The next snapshot: ``df`` (with its partition column) in place of the partitions ``touched``.
