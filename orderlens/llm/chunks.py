@@ -6,6 +6,9 @@ before come from a table of bounded size, the others of a batch are encoded in o
 The table has two generations: when the younger is full it becomes the older one, and chunks
 that are met again move over, so that frequent chunks stay and rare ones go.
 
+Where white space is dropped, texts are cut and their distinct words are found in Arrow, so that
+the table is asked once for each distinct word of a group of texts, and ids are gathered at once.
+
 A chunk is kept under a key: where white space is part of the tokens, the key of a word behind
 a single space is the word alone, so that regular texts are cut by ``str.split``.
 """
@@ -18,9 +21,18 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks of one generation of the table, about 70 MB.
 KEPT_CHUNKS = 400_000
+#: Signs that may be cut off the end of a chunk, and how many; where they stand apart is asked of
+#: the tokenizer once for each letter and signs, and kept for a bounded number of them.
+SIGNS, LONGEST_TAIL, KEPT_TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 4, 200_000
+#: Stands between words that are encoded as one text.
+BETWEEN = "|"
+#: Characters of texts whose words are looked up together; one text may hold more.
+GROUP_CHARACTERS = 8_000_000
 #: Texts with one of these go to the tokenizer whole: the two kinds of white space differ
 #: there, a special token may be named, or a key's mark stands in the text.
 WHOLE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -68,9 +80,11 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.stops = {c: self.whole(c) for c in ".,"}
-        self.apart: dict[str, bool] = {}
-        self.cut, self.chunk = (spaced_keys, spaced_chunk) if spaces else (str.split, str)
+        self.tails: dict[str, str] = {}
+        # the last id: a vocabulary may put a mark for the start of a text before it
+        self.between = np.frombuffer(self.whole(BETWEEN), dtype="<u4")[-1]
+        self.spaces = spaces
+        self.chunk = spaced_chunk if spaces else str
 
     @classmethod
     def shared(cls, path: str, spaces: bool) -> ChunkEncoder:
@@ -85,25 +99,52 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _stands_apart(self, ends: str) -> bool:
-        """Whether the stop behind a letter or digit is a token of its own.  It is not where lower-casing
-        or normalisation leaves a mark behind the letter."""
-        found = self.apart.get(ends)
-        if found is None:
-            found = self.apart[ends] = ends[0].isalnum() and self.whole(ends) == self.whole(ends[0]) + self.stops[ends[1]]
-        return found
+    def _tail(self, key: str) -> str:
+        """The signs at the end of a chunk, if they are tokens of their own; else nothing.  They are not
+        where lower-casing or normalisation leaves a mark behind the letter before them."""
+        stem = key.rstrip(SIGNS)
+        if not stem or not 0 < len(key) - len(stem) <= LONGEST_TAIL or not stem[-1].isalnum():
+            return ""
+        ends = key[len(stem) - 1:]
+        tail = self.tails.get(ends)
+        if tail is None:
+            if len(self.tails) >= KEPT_TAILS:
+                self.tails.clear()
+            apart = self.whole(ends) == self.whole(ends[0]) + self.whole(ends[1:])
+            tail = self.tails[ends] = ends[1:] if apart else ""
+        return tail
 
     def _encode_new(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not in the table; where the stop at the end stands apart, those of what is before it."""
-        stem = {k: k[:-1] for k in keys if k[-1:] in self.stops and len(k) > 1 and self._stands_apart(k[-2:])}
-        known = {s: self._known(s) for s in stem.values()}
+        """Ids of chunks not in the table; where signs at the end stand apart, those of what is before them."""
+        tail = {k: t for k in keys if (t := self._tail(k))}
+        stem = {k: k[:-len(t)] for k, t in tail.items()}
+        signs = {t: self.whole(t) for t in set(tail.values())}
+        known = {s: self._known(s) for s in set(stem.values())}
         got = self._encode_apart(list({s for s, ids in known.items() if ids is None} | (keys - stem.keys())))
         for k, s in stem.items():
             ids = known[s]
-            got[k] = (got[s] if ids is None else ids) + self.stops[k[-1]]
+            got[k] = (got[s] if ids is None else ids) + signs[tail[k]]
         return got
 
     def _encode_apart(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of some chunks in one call.
+
+        Words go as one text in which a sign that none of them holds stands between any two: its
+        id, which no other text has, tells them apart.  Others are told apart by the tokenizer,
+        which takes twice the time.
+        """
+        if not self.spaces:
+            plain = [k for k in keys if BETWEEN not in k]
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [f" {BETWEEN} ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.between)
+            if plain and len(cuts) == len(plain) - 1:
+                low, high = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
+                rest = self._encode_named([k for k in keys if BETWEEN in k])
+                return rest | {k: ids[a:b].tobytes() for k, a, b in zip(plain, low, high)}
+        return self._encode_named(keys)
+
+    def _encode_named(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of some chunks in one call, which names the chunk of each id."""
         if not keys:
             return {}
@@ -125,10 +166,22 @@ class ChunkEncoder:
     def encode(self, texts) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
-        cut = [None if not t or stays_whole(t) else self.cut(t) for t in texts]
+        out = [self.whole(t) if t and stays_whole(t) else b"" for t in texts]
+        rest = [i for i, t in enumerate(texts) if t and not stays_whole(t)]
+        for i, ids in zip(rest, (self._spaced if self.spaces else self._words)([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _turn(self) -> None:
+        """Let the younger generation become the older one when it is full."""
+        if len(self.young) >= KEPT_CHUNKS:
+            self.old, self.young = self.young, {}
+
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(spaced_keys, texts))
         get = self.young.get
-        found = [keys and list(map(get, keys)) for keys in cut]
-        gaps = [[j for j, i in enumerate(ids) if i is None] if ids else () for ids in found]
+        found = [list(map(get, keys)) for keys in cut]
+        gaps = [[j for j, i in enumerate(ids) if i is None] for ids in found]
         missing = {keys[j] for keys, at in zip(cut, gaps) for j in at}
         new = {k for k in missing if self._known(k) is None}
         if new:
@@ -136,10 +189,46 @@ class ChunkEncoder:
         for keys, ids, at in zip(cut, found, gaps):
             for j in at:
                 ids[j] = self.young[keys[j]]
-        out = [
-            b"".join(ids) if ids is not None else self.whole(text) if text else b""
-            for text, ids in zip(texts, found)
-        ]
-        if len(self.young) >= KEPT_CHUNKS:
-            self.old, self.young = self.young, {}
+        self._turn()
+        return list(map(b"".join, found))
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        low = size = 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= GROUP_CHARACTERS or i == len(texts):
+                out += self._group(texts[low:i])
+                low, size = i, 0
         return out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts whose words stand between white space."""
+        cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        word = coded.indices.to_numpy()
+        width = size[word]
+        end = np.cumsum(width)
+        # the i-th id of a word lies i places behind the word's first one in the pool
+        first = (np.cumsum(size) - size)[word] - (end - width)
+        flat = pool[np.repeat(first, width) + np.arange(end[-1] if len(end) else 0)]
+        # a text's ids end where those of its last word do
+        at = np.append(0, end)[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    def _ids_of(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct words, in their order."""
+        found = list(map(self.young.get, keys))
+        gaps = [j for j, ids in enumerate(found) if ids is None]
+        older = list(map(self.old.get, [keys[j] for j in gaps]))
+        self.young.update({keys[j]: ids for j, ids in zip(gaps, older) if ids is not None})
+        new = {keys[j] for j, ids in zip(gaps, older) if ids is None}
+        if new:
+            self.young.update(self._encode_new(new))
+        for j in gaps:
+            found[j] = self.young[keys[j]]
+        self._turn()
+        return found
