@@ -160,3 +160,39 @@ def test_scalar_edges(spark):
     nums = spark.createDataFrame([("1.5",), ("NaN",), ("x",), ("",)], "v string")
     assert [r[0] for r in nums.select(S.safe_double(F.col("v"))).collect()] == [
         1.5, None, None, None]
+
+
+def _items(spark, extra=(), **options):
+    t = tables(spark)
+    items = t["items"].unionByName(spark.createDataFrame(list(extra), t["items"].schema))
+    products = t["products"].unionByName(t["products"].where("product_id = 'p2'"))  # a key that comes twice
+    centroids = build.geo_centroids(t["geolocation"])
+    return build.order_items(items, products, t["category_translation"], t["sellers"], centroids, **options)
+
+
+def test_orders_of_any_size_fold_alike(spark):
+    extra = [("o8", i, f"p{1 + i % 3}", f"s{1 + i % 2}", None, 0.5 * i, 0.25) for i in range(40)]
+    extra += [("o8", None, None, None, None, None, None)]
+
+    def figures(**options):
+        out = {}
+        for r in _items(spark, extra, **options).collect():
+            row = r.asDict(recursive=True)
+            points = {}
+            for p in row.pop("seller_points"):
+                points[p["lat"], p["lng"]] = points.get((p["lat"], p["lng"]), 0) + p["lines"]
+            out[r["order_id"]] = (row, points)
+        return out
+
+    gathered, spread, mixed = figures(), figures(gathered_lines=0), figures(gathered_lines=5)
+    assert gathered.keys() == spread.keys() == mixed.keys() and "o8" in gathered
+    for order, (row, points) in gathered.items():
+        assert row == pytest.approx(spread[order][0]) and row == pytest.approx(mixed[order][0])
+        assert points == spread[order][1] == mixed[order][1]
+
+
+def test_lines_are_shuffled_once_by_order_and_not_multiplied(spark, capsys):
+    _items(spark).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan  # one row per line and kind would follow
+    assert plan.count("Exchange hashpartitioning(order_id") == 1
