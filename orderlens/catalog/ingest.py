@@ -9,7 +9,7 @@ from orderlens.catalog.orders import big, r
 from orderlens.operators import features
 from orderlens.operators.order_level import build_order_level, with_delivery_metrics
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE, RAW_FILES, RAW_SCHEMAS
-from orderlens.session import scratch_path
+from orderlens.session import scratch_path, staged
 from orderlens.sources import readers, writers
 from orderlens.sources.driver_tables import order_tables, star_table, view
 from orderlens.streaming import ingest
@@ -272,7 +272,7 @@ def late_reviews(spark, sf_dir):
     tables = order_tables(spark, sf_dir)
     early = {**tables, "reviews": tables["reviews"].where(F.col("review_answer_timestamp").isNull())}
     part = writers.period_part(pattern="yyyy")
-    level = build_order_level(early)
+    level = staged(build_order_level(early), "level")  # both gold tables are written from it
     writers.upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part)
     features_now = features.feature_table(level, "order_purchase_timestamp")
     writers.upsert_table(features_now, f"{root}/{FEATURES_TABLE}", part=part)

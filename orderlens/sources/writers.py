@@ -96,10 +96,11 @@ def upsert_table(
         return snapshots.read(spark, path, former).count()
     if order is not None:
         incoming = last_per_key(incoming, key, order)
-    rows = staged(incoming.withColumn(PART, _partition(part if part is not None else key_part(key))), "batch")
-    if former is None:
+    rows = incoming.withColumn(PART, _partition(part if part is not None else key_part(key)))
+    if former is None:  # read once, by the write
         snapshot = snapshots.write(rows, path, None, None, key, batch)
         return snapshots.read(spark, path, snapshot).count()
+    rows = staged(rows, "batch")
     if rows.isEmpty():
         snapshot = former if batch is None else snapshots.note(spark, path, former, batch)
         return snapshots.read(spark, path, snapshot).count()

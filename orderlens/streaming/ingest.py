@@ -28,6 +28,8 @@ DEFAULT_BATCH_SIZE = 2000
 #: Cells of time that are counted at once, and rows that one task may put in order.
 TIME_CELLS, SMALL_CELL = 4_096, 100_000
 ORDER_CHILDREN = ("items", "payments", "reviews")
+#: Children are cut to the changed orders up to this share of all orders.
+CUT_SHARE = 0.25
 
 
 @dataclass(frozen=True)
@@ -162,11 +164,15 @@ def restrict(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFram
     """The nine tables cut down to the given orders.
 
     The id list is staged, so its real size decides whether the big child tables
-    are filtered by broadcast, without shuffling them, or by a shuffle join.
+    are filtered by broadcast, without shuffling them, or by a shuffle join.  The build joins
+    what is rolled up to the orders that are left, so for a large share of the orders the
+    children stay as they are: cutting them would shuffle every raw line once more.
     """
     ids = staged(ids, "changed-orders")
     cut = dict(tables)
     cut["orders"] = tables["orders"].join(ids, "order_id", "left_semi")
+    if ids.count() > CUT_SHARE * tables["orders"].count():
+        return cut
     for name in ORDER_CHILDREN:
         cut[name] = tables[name].join(ids, "order_id", "left_semi")
     customers = staged(cut["orders"].select("customer_id").distinct(), "changed-customers")
