@@ -64,8 +64,9 @@ def _terms(key: str, alias: str, table: str) -> str:
 """)
 def tfidf_search(spark, sf_dir):
     stop = english_stop_words()
-    postings, vocabulary = retrieval.tfidf_index(corpus(spark, sf_dir), stop)
-    return retrieval.tfidf_search(questions(spark, sf_dir), postings, vocabulary, stop).select(
+    asked = questions(spark, sf_dir)
+    postings, vocabulary = retrieval.tfidf_index(corpus(spark, sf_dir), stop, asked)
+    return retrieval.tfidf_search(asked, postings, vocabulary, stop).select(
         "query_id", "id", r("score"), F.col("rank").cast("bigint").alias("rank")
     )
 

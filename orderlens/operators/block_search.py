@@ -122,11 +122,14 @@ def best_rows(rows: DataFrame, queries: DataFrame, k: int, score: Callable = wei
     blocks = max(1, -(-asked.count() // query_words))
     types = {n: rows.schema["id"].dataType if n == "id" else queries.schema["query_id"].dataType for n in ("query_id", "id")}
     schema = f"query_id {types['query_id'].simpleString()}, id {types['id'].simpleString()}, score double"
-    found = spark.createDataFrame([], schema)
+    found = None
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
         if len(block):
-            found = found.unionByName(staged(_search_block(block, rows, k, score, schema, slice_words), "best-rows"))
+            part = staged(_search_block(block, rows, k, score, schema, slice_words), "best-rows")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import text as X
-from orderlens.operators import pivot_index
+from orderlens.operators import pivot_index, term_blocks
 from orderlens.operators.block_search import best_rows, overlap_score
 from orderlens.session import staged
 
@@ -57,24 +57,31 @@ def _unit(weighted: DataFrame, key: str) -> DataFrame:
     )
 
 
-def tfidf_index(corpus: DataFrame, stop_words: list[str]) -> tuple[DataFrame, DataFrame]:
+def tfidf_index(
+    corpus: DataFrame, stop_words: list[str], queries: DataFrame | None = None,
+    block_words: int = term_blocks.BLOCK_WORDS, bucket_chars: int = term_blocks.BUCKET_CHARS,
+) -> tuple[DataFrame, DataFrame]:
     """(index, vocabulary): each document's words and unit-length weights, and idf.
 
     Both are staged: the index is read by every search, one row per document, so that a search
-    never moves it.
+    never moves it.  With ``queries`` (text) both list only the terms these ask for, which gives
+    them the same scores: weights still rest on all terms of all documents.
     """
-    counts = staged(term_counts(corpus, "id", stop_words), "term-counts")
-    total = corpus.agg(F.count(F.lit(1))).scalar()
+    total, chars = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    buckets = 1 + chars // bucket_chars
+    asked = None
+    if queries is not None:
+        spelt = F.explode(X.with_pairs(X.content_words(F.col("text"), stop_words))).alias("term")
+        asked = term_blocks.in_buckets(queries.select(spelt).distinct(), buckets)
+    blocks = term_blocks.term_blocks(corpus, "id", stop_words, buckets, block_words)
+    counts = term_blocks.text_counts(blocks, asked)
     vocabulary = staged(
-        counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-            "term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf")
-        ),
+        counts.where(F.col("block").isNull())
+        .select(F.inline("listed"))
+        .select("term", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")),
         "vocabulary",
     )
-    weighted = counts.join(vocabulary, "term").select(
-        "id", "term", (_damped("n") * F.col("idf")).alias("weight")
-    )
-    return staged(_unit(weighted, "id"), "index"), vocabulary
+    return staged(term_blocks.unit_weights(blocks, counts, total, asked is None), "index"), vocabulary
 
 
 def tfidf_search(
