@@ -48,12 +48,14 @@ def stays_whole(text: str) -> bool:
 
 def spaced_keys(text: str) -> list[str]:
     """The keys of a text's chunks where white space is part of the tokens."""
-    if " ".join(text.split()) == text.replace("\n", " "):  # one space or line break between any two words
-        keys: list[str] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            words[0] = "\n" + words[0]
-            keys += words
+    keys: list[str] = []
+    for line in text.split("\n"):
+        words = line.split()
+        if not words or " ".join(words) != line:  # not one space or line break between any two words
+            break
+        words[0] = "\n" + words[0]
+        keys += words
+    else:
         keys[0] = BARE + keys[0][1:]
         return keys
     return [
@@ -183,7 +185,9 @@ class ChunkEncoder:
         found = [list(map(get, keys)) for keys in cut]
         gaps = [[j for j, i in enumerate(ids) if i is None] for ids in found]
         missing = {keys[j] for keys, at in zip(cut, gaps) for j in at}
-        new = {k for k in missing if self._known(k) is None}
+        older = {k: ids for k in missing if (ids := self.old.get(k)) is not None}
+        self.young.update(older)
+        new = missing - older.keys()
         if new:
             self.young.update(self._encode_new(new))
         for keys, ids, at in zip(cut, found, gaps):

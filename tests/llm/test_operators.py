@@ -403,3 +403,20 @@ def test_longest_common_subsequence(a, b):
         for j, y in enumerate(b):
             table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
     assert decontaminate.lcs_length(decontaminate.places_of(a), len(a), b) == table[-1, -1]
+
+
+def test_spaced_keys_are_cut_once():
+    """A word is cut out of a regular text once, and the keys name the chunks of the text."""
+
+    class Counted(str):
+        words = 0
+
+        def split(self, *a):
+            parts = super().split(*a)
+            Counted.words += len(parts) if a != ("\n",) else 0
+            return [Counted(p) for p in parts]
+
+    assert chunks.spaced_keys(Counted("a b\nc d e")) == ["\0a", "b", "\nc", "d", "e"]
+    assert Counted.words == 5
+    for text in ("a", "a  b", "a\n\nb", " a", "a ", "a\n", "\n", "a\tb\nc", "a b\nc d"):
+        assert "".join(map(chunks.spaced_chunk, chunks.spaced_keys(text))) == text
