@@ -6,11 +6,11 @@ before come from a table of bounded size, the others of a batch are encoded in o
 The table has two generations: when the younger is full it becomes the older one, and chunks
 that are met again move over, so that frequent chunks stay and rare ones go.
 
-Where white space is dropped, texts are cut and their distinct words are found in Arrow, so that
-the table is asked once for each distinct word of a group of texts, and ids are gathered at once.
+Texts are cut and their distinct chunks are found in Arrow, so that the table is asked once for
+each distinct chunk of a group of texts, and ids are gathered at once.
 
 A chunk is kept under a key: where white space is part of the tokens, the key of a word behind
-a single space is the word alone, so that regular texts are cut by ``str.split``.
+a single space is the word alone, so that texts are cut at their spaces and line breaks.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ import os
 import re
 import sys
 import types
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -42,6 +44,19 @@ BARE = "\0"
 SPACED_CHUNKS = re.compile(r"\s*\S+|\s+$")
 
 
+def grouped(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches, those with few characters of text together: a group asks once for each chunk."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += int(batch["text"].str.len().sum())
+        if size >= GROUP_CHARACTERS:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def stays_whole(text: str) -> bool:
     return any(c in text for c in WHOLE) or not text.isascii() and any(c in text for c in WHOLE_BEYOND_ASCII)
 
@@ -64,6 +79,39 @@ def spaced_keys(text: str) -> list[str]:
     ]
 
 
+def _strings(array: pa.LargeStringArray) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _used(codes: np.ndarray, n: int) -> tuple[list[int], np.ndarray]:
+    """Which of ``n`` codes occur, and the codes as places among those."""
+    occurs = np.zeros(n, dtype=bool)
+    occurs[codes] = True
+    return np.flatnonzero(occurs).tolist(), (np.cumsum(occurs) - 1)[codes]
+
+
+def _pooled(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of chunks end to end, and how many each has."""
+    return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+
+
+def _gathered(pool: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The ids of words in a row, which are given by their places in the pool's order."""
+    width = size[word]
+    end = np.cumsum(width)
+    # the i-th id of a word lies i places behind the word's first one in the pool
+    first = (np.cumsum(size) - size)[word] - (end - width)
+    return pool[np.repeat(first, width) + np.arange(end[-1] if len(end) else 0)]
+
+
+def _texts(pool: np.ndarray, size: np.ndarray, word: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """The ids of texts of so many words each."""
+    flat = _gathered(pool, size, word)
+    # a text's ids end where those of its last word do
+    at = np.append(0, np.cumsum(size[word]))[np.append(0, np.cumsum(words))].tolist()
+    return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
 def spaced_chunk(key: str) -> str:
     return key[1:] if key[0] == BARE else key if key[0].isspace() else " " + key
 
@@ -82,9 +130,11 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tails: dict[str, str] = {}
+        self.tails: dict[str, str | bool] = {}
         # the last id: a vocabulary may put a mark for the start of a text before it
         self.between = np.frombuffer(self.whole(BETWEEN), dtype="<u4")[-1]
+        # the line break that regular texts are given in front
+        self.line = self.whole("\n")
         self.spaces = spaces
         self.chunk = spaced_chunk if spaces else str
 
@@ -118,6 +168,8 @@ class ChunkEncoder:
 
     def _encode_new(self, keys: set[str]) -> dict[str, bytes]:
         """Ids of chunks not in the table; where signs at the end stand apart, those of what is before them."""
+        if self.spaces:
+            return self._encode_apart(list(keys))
         tail = {k: t for k in keys if (t := self._tail(k))}
         stem = {k: k[:-len(t)] for k, t in tail.items()}
         signs = {t: self.whole(t) for t in set(tail.values())}
@@ -131,20 +183,33 @@ class ChunkEncoder:
     def _encode_apart(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of some chunks in one call.
 
-        Words go as one text in which a sign that none of them holds stands between any two: its
-        id, which no other text has, tells them apart.  Others are told apart by the tokenizer,
-        which takes twice the time.
+        Chunks go as one text in which a sign or a line break that none of them holds stands between
+        any two: its id, which no other text has, tells them apart.  Others are told apart by the
+        tokenizer, which takes twice the time.
         """
         if not self.spaces:
             plain = [k for k in keys if BETWEEN not in k]
-            ids = np.array(self.tokenizer.encode_batch_fast(
-                [f" {BETWEEN} ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.between)
-            if plain and len(cuts) == len(plain) - 1:
-                low, high = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
-                rest = self._encode_named([k for k in keys if BETWEEN in k])
-                return rest | {k: ids[a:b].tobytes() for k, a, b in zip(plain, low, high)}
-        return self._encode_named(keys)
+            got = self._encode_between(plain, f" {BETWEEN} ".join(plain), self.between)
+        elif len(self.line) == 4:
+            # no white space but the one in front
+            plain = [k for k in keys if (word := k.removeprefix("\n")).split() == [word]]
+            text = "\n".join([k[1:] if k[0] in "\n" + BARE else " " + k for k in plain])
+            got = self._encode_between(plain, text, np.frombuffer(self.line, dtype="<u4")[0])
+            for k in got:
+                if k[0] == "\n":
+                    got[k] = self.line + got[k]
+        else:
+            got = {}
+        return got | self._encode_named([k for k in keys if k not in got])
+
+    def _encode_between(self, keys: list[str], text: str, between: int) -> dict[str, bytes]:
+        """The ids of the text between the ids of its separator; nothing if they don't fit the keys."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == between)
+        if not keys or len(cuts) != len(keys) - 1:
+            return {}
+        low, high = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
+        return {k: ids[a:b].tobytes() for k, a, b in zip(keys, low, high)}
 
     def _encode_named(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of some chunks in one call, which names the chunk of each id."""
@@ -170,8 +235,13 @@ class ChunkEncoder:
         texts = [t or "" for t in texts]
         out = [self.whole(t) if t and stays_whole(t) else b"" for t in texts]
         rest = [i for i, t in enumerate(texts) if t and not stays_whole(t)]
-        for i, ids in zip(rest, (self._spaced if self.spaces else self._words)([texts[i] for i in rest])):
-            out[i] = ids
+        low = size = 0
+        for n, i in enumerate(rest, 1):
+            size += len(texts[i])
+            if size >= GROUP_CHARACTERS or n == len(rest):
+                for j, ids in zip(rest[low:n], self._group([texts[j] for j in rest[low:n]])):
+                    out[j] = ids
+                low, size = n, 0
         return out
 
     def _turn(self) -> None:
@@ -179,49 +249,66 @@ class ChunkEncoder:
         if len(self.young) >= KEPT_CHUNKS:
             self.old, self.young = self.young, {}
 
-    def _spaced(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(spaced_keys, texts))
-        get = self.young.get
-        found = [list(map(get, keys)) for keys in cut]
-        gaps = [[j for j, i in enumerate(ids) if i is None] for ids in found]
-        missing = {keys[j] for keys, at in zip(cut, gaps) for j in at}
-        older = {k: ids for k in missing if (ids := self.old.get(k)) is not None}
-        self.young.update(older)
-        new = missing - older.keys()
-        if new:
-            self.young.update(self._encode_new(new))
-        for keys, ids, at in zip(cut, found, gaps):
-            for j in at:
-                ids[j] = self.young[keys[j]]
-        self._turn()
-        return list(map(b"".join, found))
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        low = size = 0
-        for i, text in enumerate(texts, 1):
-            size += len(text)
-            if size >= GROUP_CHARACTERS or i == len(texts):
-                out += self._group(texts[low:i])
-                low, size = i, 0
-        return out
-
     def _group(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts whose words stand between white space."""
-        cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        """The ids of texts, gathered from those of their distinct chunks."""
+        whole = pa.array(texts, pa.large_string())
+        if not self.spaces:
+            cut = pc.utf8_split_whitespace(whole)
+            coded = cut.flatten().dictionary_encode()
+            pool, size = _pooled(self._ids_of(_strings(coded.dictionary)))
+            return _texts(pool, size, coded.indices.to_numpy(), pc.list_value_length(cut).to_numpy())
+        # a line break stands before every text and begins a word, as other ones do
+        front, nothing = pa.scalar("\n", whole.type), pa.scalar("", whole.type)
+        lines = pc.binary_join_element_wise(front, pc.replace_substring(whole, "\n", " \n"), nothing)
+        cut = pc.split_pattern(lines, " ")
         coded = cut.flatten().dictionary_encode()
-        ids = self._ids_of(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(ids), dtype="<u4")
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        word = coded.indices.to_numpy()
-        width = size[word]
-        end = np.cumsum(width)
-        # the i-th id of a word lies i places behind the word's first one in the pool
-        first = (np.cumsum(size) - size)[word] - (end - width)
-        flat = pool[np.repeat(first, width) + np.arange(end[-1] if len(end) else 0)]
-        # a text's ids end where those of its last word do
-        at = np.append(0, end)[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))].tolist()
-        return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
+        word, words = coded.indices.to_numpy(), pc.list_value_length(cut).to_numpy()
+        # texts are cut right where words have no white space at their ends but the line break in front
+        size = pc.binary_length(pc.utf8_trim_whitespace(coded.dictionary)).to_numpy()
+        breaks = pc.starts_with(coded.dictionary, "\n").to_numpy(zero_copy_only=False)
+        torn = (size == 0) | (size + breaks != pc.binary_length(coded.dictionary).to_numpy())
+        other = np.add.reduceat(torn[word], np.cumsum(words) - words, dtype=np.int64) > 0
+        if not other.any():
+            pool, size = self._word_ids(coded.dictionary)
+            return [ids[len(self.line):] for ids in _texts(pool, size, word, words)]
+        regular, irregular = np.flatnonzero(~other).tolist(), np.flatnonzero(other).tolist()
+        out = dict(zip(regular, self._group([texts[i] for i in regular]))) if regular else {}
+        keys = [spaced_keys(texts[i]) for i in irregular]
+        coded = pa.array([k for own in keys for k in own], whole.type).dictionary_encode()
+        pool, size = self._word_ids(coded.dictionary)
+        out |= zip(irregular, _texts(pool, size, coded.indices.to_numpy(), np.array(list(map(len, keys)))))
+        return [out[i] for i in range(len(texts))]
+
+    def _word_ids(self, keys: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks end to end, and how many each has; signs at the end of a word are
+        looked up apart from the word, so that it is encoded once whatever follows it."""
+        stem = pc.utf8_rtrim(keys, SIGNS)
+        last = pc.utf8_slice_codeunits(stem, -1).dictionary_encode()
+        apart = np.array([self._stands_apart(c) for c in _strings(last.dictionary)], dtype=bool)[last.indices.to_numpy()]
+        start = np.frombuffer(keys.buffers()[1], dtype=np.int64)[keys.offset:keys.offset + len(keys) + 1]
+        cut = start[1:] - np.where(apart, (pc.binary_length(keys).to_numpy() - pc.binary_length(stem).to_numpy()), 0)
+        # every second string is what follows the cut
+        ends = np.append(np.stack([start[:-1], cut], axis=1).ravel(), start[-1])
+        parts = pa.LargeStringArray.from_buffers(2 * len(keys), pa.py_buffer(ends), keys.buffers()[2])
+        coded = parts.dictionary_encode()
+        part, names = coded.indices.to_numpy().copy(), _strings(coded.dictionary)
+        stems, part[::2] = _used(part[::2], len(names))
+        tails, part[1::2] = _used(part[1::2], len(names))
+        part[1::2] += len(stems)
+        ids = self._ids_of([names[i] for i in stems] + [BARE + names[i] for i in tails if names[i]])
+        for at, i in enumerate(tails):
+            if not names[i]:  # no signs
+                ids.insert(len(stems) + at, b"")
+        pool, size = _pooled(ids)
+        return _gathered(pool, size, part), size[part].reshape(-1, 2).sum(axis=1)
+
+    def _stands_apart(self, c: str) -> bool:
+        """Whether signs behind this letter never share a token with it."""
+        apart = self.tails.get(c)
+        if apart is None:
+            cut = self.tokenizer.pre_tokenizer
+            apart = self.tails[c] = bool(c and not c.isspace() and cut and len(cut.pre_tokenize_str(c + ".")) == 2)
+        return apart
 
     def _ids_of(self, keys: list[str]) -> list[bytes]:
         """The ids of distinct words, in their order."""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.chunks import ChunkEncoder
+from orderlens.llm.chunks import ChunkEncoder, grouped
 from orderlens.llm.common import stored
 
 CAPACITY = 2048
@@ -145,7 +145,7 @@ def _pieces(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, c
 
     def run(batches):
         part, seen, encode = TaskContext.get().partitionId(), {}, encoder()
-        for batch in batches:
+        for batch in grouped(batches):
             rows = []
             for doc_id, ids in zip(batch["doc_id"].astype(object), encode.encode(batch["text"])):
                 ids += end

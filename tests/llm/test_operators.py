@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -80,6 +81,30 @@ def test_random_texts_through_a_small_table(path, spaces, monkeypatch):
     assert len(encoder.young) <= 2000  # a batch beyond the bound is the most it holds
 
 
+def test_a_word_is_encoded_once_whatever_signs_follow(monkeypatch):
+    encoder, asked = chunks.ChunkEncoder(BYTES, True), []
+    encode = encoder._encode_apart
+    monkeypatch.setattr(encoder, "_encode_apart", lambda keys: asked.extend(keys) or encode(keys))
+    for text in ("one alpha, beta.", "one beta, alpha. beta alpha"):
+        asked.clear()
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole_ids(BYTES, text, 0)[:-1]
+    assert asked == []
+
+
+def test_texts_with_white_space_at_their_ends_among_regular_ones():
+    texts = ["a b,\nc", " a", "\u3000\tb c", "a \n b", "a\tb c", "a \tb", "c\n", "\nc", "a  b", "a\n\nb", "x\xa0 y", "a b,\nc"]
+    got = chunks.ChunkEncoder(BYTES, True).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole_ids(BYTES, t, 0)[:-1] for t in texts]
+
+
+def test_small_batches_are_encoded_together(monkeypatch):
+    monkeypatch.setattr(chunks, "GROUP_CHARACTERS", 10)
+    texts = [["abc", None], ["defg"], [None], ["hijk", "l"], ["m" * 30], ["n"]]
+    frames = [pd.DataFrame({"doc_id": range(len(t)), "text": pd.Series(t, dtype=object)}) for t in texts]
+    got = [list(f["text"]) for f in chunks.grouped(frames)]
+    assert [[t or None for t in g] for g in got] == [["abc", None, "defg", None, "hijk", "l"], ["m" * 30], ["n"]]
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, BYTES, capacity=64).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(i for i, _ in TEXTS)
