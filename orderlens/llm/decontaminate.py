@@ -26,6 +26,8 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,6 @@ PART_WORDS = WIDEST * BLOCK
 ITEMS_AT_ONCE = 4_000
 #: Items of one matrix product.
 ITEMS_TOGETHER = 256
-TOKENS_KEPT = 300_000
 #: Words whose latent rows are gathered at once; longer texts are read in overlapping stretches.
 WORDS_AT_ONCE = 1 << 15
 SEED = 5
@@ -59,25 +60,20 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (t.strip(EDGES) for t in (text or "").lower().split()) if w]
 
 
-class Numberer:
-    """Word numbers of texts: the vocabulary's, or its size for any other word."""
+def word_numbers(texts, vocabulary: dict[str, int]) -> list[np.ndarray]:
+    """The word numbers of each text: the vocabulary's, or its size for any other word.
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.other = vocabulary, len(vocabulary)
-        self.known: dict[str, int] = {}
-
-    def ids(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").lower().split()
-        out = list(map(self.known.get, tokens))
-        if None in out:
-            for at, t in enumerate(tokens):
-                if out[at] is None:
-                    w = t.strip(EDGES)
-                    i = out[at] = self.vocabulary.get(w, self.other) if w else -1
-                    if len(self.known) < TOKENS_KEPT:
-                        self.known[t] = i
-        ids = np.array(out, dtype=np.int32)
-        return ids[ids >= 0]
+    Lower-casing looks no further than a token, so each distinct token of the texts is read once.
+    """
+    cut = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+    coded, other = cut.flatten().dictionary_encode(), len(vocabulary)
+    tokens = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    number = np.array([vocabulary.get(w, other) if (w := t.lower().strip(EDGES)) else -1 for t in tokens], dtype="<i4")
+    ids = number[coded.indices.to_numpy()]
+    words = ids >= 0
+    at = np.append(0, np.cumsum(words))[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))].tolist()
+    ids = ids[words]
+    return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
 def lcs_length(places: dict, n: int, words) -> int:
@@ -103,10 +99,9 @@ def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(doc_id, ids): the word numbers of every text, stored, so that texts are read once."""
 
     def run(batches):
-        number = Numberer(vocabulary)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"),
-                                "ids": [number.ids(t).astype("<i4").tobytes() for t in batch["text"]]})
+                                "ids": [ids.tobytes() for ids in word_numbers(batch["text"], vocabulary)]})
 
     return stored(docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, ids binary"), "word-numbers")
 
@@ -135,8 +130,13 @@ def _chunks(rows, pad: int, overlap: int = 0):
         yield where, np.concatenate(parts)
 
 
-def _block_sums(values: np.ndarray) -> np.ndarray:
-    return values.reshape(-1, BLOCK, values.shape[1]).sum(axis=1)
+def _block_sums(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Sums of the rows of the words of each block, added word by word."""
+    words = np.ascontiguousarray(ids.reshape(-1, BLOCK).T)
+    out = rows.take(words[0], axis=0)
+    for own in words[1:]:
+        out += rows.take(own, axis=0)
+    return out
 
 
 def _windows(sums: np.ndarray, width: int) -> np.ndarray:
@@ -155,8 +155,10 @@ def word_weights(words: DataFrame, v: int) -> np.ndarray:
         seen, blocks = np.zeros(v + 2, dtype=np.int64), 0
         for batch in batches:
             for _, ids in _chunks(batch["ids"], v + 1):
-                pair = np.unique(np.arange(len(ids)) // BLOCK * (v + 2) + ids)
-                seen += np.bincount(pair % (v + 2), minlength=v + 2)
+                block = np.sort(ids.reshape(-1, BLOCK), axis=1)
+                first = np.ones(block.shape, dtype=bool)
+                first[:, 1:] = block[:, 1:] != block[:, :-1]
+                seen += np.bincount(block[first], minlength=v + 2)
                 blocks += len(ids) // BLOCK
         at = np.nonzero(seen[:v])[0]
         yield pd.DataFrame({"w": np.append(at, -1), "n": np.append(seen[at], blocks)})
@@ -179,7 +181,7 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
         out = np.zeros((v, turned.shape[1]))
         for batch in batches:
             for _, ids in _chunks(batch["ids"], v + 1):
-                passages = _windows(_block_sums(turned[ids]), width)
+                passages = _windows(_block_sums(turned, ids), width)
                 # each block gets back the sum of the passages over it
                 padded = np.zeros((len(passages) + 2 * (width - 1), passages.shape[1]), dtype=np.float32)
                 padded[width - 1:width - 1 + len(passages)] = passages
@@ -240,7 +242,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                     member, np.ceil(LCS_SHARE_WITH_ANSWER * lengths), lengths - member.sum(axis=0, dtype=np.int64)))
 
         def leaks_in(where, ids):
-            sums = _block_sums(turned[ids])
+            sums = _block_sums(turned, ids)
             firsts = np.array([w[2] for w in where])
             for width, own, points, member, least, repeats in groups:
                 passages = _windows(sums, width)
@@ -248,26 +250,26 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                 cosine = (passages / np.where(norm > 0, norm, 1)) @ points
                 # words of the passage and a block on each side that the item has, 80 at most:
                 # no common subsequence is longer
-                had = member[ids].reshape(-1, BLOCK, len(own)).sum(axis=1, dtype=np.uint8)
-                common = _windows(np.pad(had, ((1, 1), (0, 0))), width + 2)
+                common = _windows(np.pad(_block_sums(member, ids), ((1, 1), (0, 0))), width + 2)
                 # a passage below the bound neither counts nor stands for its neighbour
-                cosine[common < np.minimum(least, 255).astype(np.uint8)] = -1
-                p, i = np.divmod(np.flatnonzero(cosine >= COSINE), len(own))
+                near = (cosine >= COSINE) & (common >= np.minimum(least, 255).astype(np.uint8))
+                p, i = np.divmod(np.flatnonzero(near), len(own))
                 if not len(p):
                     continue
                 # of passages one block apart the nearer one stands for both
                 here = cosine[p, i]
-                best = (here >= cosine[np.maximum(p - 1, 0), i]) & (
-                    here >= cosine[np.minimum(p + 1, len(cosine) - 1), i])
+                best = np.ones(len(p), dtype=bool)
+                for beside in (np.maximum(p - 1, 0), np.minimum(p + 1, len(cosine) - 1)):
+                    best &= ~near[beside, i] | (here >= cosine[beside, i])
                 p, i, here = p[best], i[best], here[best]
                 span = np.arange(-BLOCK, (width + 1) * BLOCK)
                 for at in range(0, len(p), 4096):
                     q, j = p[at:at + 4096], i[at:at + 4096]
-                    near = np.sort(ids[np.clip(q[:, None] * BLOCK + span, 0, len(ids) - 1)], axis=1)
+                    around = np.sort(ids[np.clip(q[:, None] * BLOCK + span, 0, len(ids) - 1)], axis=1)
                     # the same bound by different words, the item's own repeats added
-                    first = np.ones(near.shape, dtype=np.uint8)
-                    first[:, 1:] = near[:, 1:] != near[:, :-1]
-                    told_apart = (member[near, j[:, None]] * first).sum(axis=1, dtype=np.int64)
+                    first = np.ones(around.shape, dtype=np.uint8)
+                    first[:, 1:] = around[:, 1:] != around[:, :-1]
+                    told_apart = (member[around, j[:, None]] * first).sum(axis=1, dtype=np.int64)
                     for c in np.nonzero(told_apart + repeats[j] >= least[j])[0]:
                         item_id, words, answer, word_places, answer_places = own[j[c]]
                         read = ids[max(0, int(q[c]) - 1) * BLOCK:(int(q[c]) + width + 1) * BLOCK].tolist()

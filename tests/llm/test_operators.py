@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -421,6 +422,34 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_word_numbers_of_texts():
+    class Asked(dict):
+        times = 0
+
+        def get(self, *a):
+            Asked.times += 1
+            return super().get(*a)
+
+    draw = random.Random(4)
+    parts = ["a", "Ab", "B", "ΑΣ", "Σ", "İ", "x,", "(b)", "'", "--", "é", " ", " ", " ", "\n", "\x1f", "\x85", "\u3000", "«a»"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(20))) for _ in range(3_000)] + [None, "", " "]
+    numbers = {w: i for i, w in enumerate(["a", "ab", "b", "ας", "i\u0307", "é"])}
+    got = decontaminate.word_numbers(texts, numbers)
+    assert [g.tolist() for g in got] == [[numbers.get(w, 6) for w in decontaminate.words_of(t)] for t in texts]
+    decontaminate.word_numbers(["a (b) A", None, "a b"] * 100, asked := Asked(numbers))
+    assert asked.times == 4
+
+
+def test_block_sums_hold_no_row_for_each_word():
+    rows, ids = np.random.default_rng(1).random((50, 64), dtype=np.float32), np.arange(1 << 15, dtype=np.int32) % 50
+    tracemalloc.start()
+    got = decontaminate._block_sums(rows, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, rows[ids].reshape(-1, decontaminate.BLOCK, 64).sum(axis=1))
+    assert peak < 4 * got.nbytes
+
+
 @pytest.mark.parametrize("a, b", [("abcbdab", "bdcaba"), ("", "a"), ("aaa", "aa"), ("xyz", "abc")])
 def test_longest_common_subsequence(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
