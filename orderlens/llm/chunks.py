@@ -34,7 +34,7 @@ SIGNS, LONGEST_TAIL, KEPT_TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 4, 200_00
 #: Stands between words that are encoded as one text.
 BETWEEN = "|"
 #: Characters of texts whose words are looked up together; one text may hold more.
-GROUP_CHARACTERS = 8_000_000
+GROUP_CHARACTERS = 4_000_000
 #: Texts with one of these go to the tokenizer whole: the two kinds of white space differ
 #: there, a special token may be named, or a key's mark stands in the text.
 WHOLE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -101,7 +101,9 @@ def _gathered(pool: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarra
     end = np.cumsum(width)
     # the i-th id of a word lies i places behind the word's first one in the pool
     first = (np.cumsum(size) - size)[word] - (end - width)
-    return pool[np.repeat(first, width) + np.arange(end[-1] if len(end) else 0)]
+    at = np.repeat(first, width)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 def _texts(pool: np.ndarray, size: np.ndarray, word: np.ndarray, words: np.ndarray) -> list[bytes]:
