@@ -22,6 +22,7 @@ reported under a null id; empty tables give no row; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -51,6 +52,8 @@ ITEMS_TOGETHER = 256
 WORDS_AT_ONCE = 1 << 15
 SEED = 5
 
+FOUND_SCHEMA = "doc_id bigint, item_id bigint, share double, answer_share double, cosine double, at_word bigint"
+
 # Signs that are not part of a word at its edges.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚…–—·¿¡"
 
@@ -292,9 +295,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "answer_share", "cosine", "at_word"]) \
                 .astype({"doc_id": "Int64", "item_id": "int64"})
 
-    return words.mapInPandas(
-        find, "doc_id bigint, item_id bigint, share double, answer_share double, cosine double, at_word bigint"
-    )
+    return words.mapInPandas(find, FOUND_SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -303,8 +304,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         "item_id", "text", answer.alias("answer"))
     groups = max(1, -(-listed.count() // ITEMS_AT_ONCE))
-    found = docs.sparkSession.createDataFrame(
-        [], "doc_id bigint, item_id bigint, share double, answer_share double, cosine double, at_word bigint")
+    blocks = []
     for g in range(groups):
         rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()
         items = []
@@ -315,7 +315,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cuts = [len(ws) * k // parts for k in range(parts + 1)]
                 items += [(r["item_id"], ws[a:b], told) for a, b in zip(cuts, cuts[1:])]
         if items:
-            found = found.union(_search(docs, items))
+            blocks.append(_search(docs, items))
+    # a list of rows, an empty one too, would start Python workers of its own beside those of the search
+    none = [f"cast(null as {kind}) as {name}" for name, kind in map(str.split, FOUND_SCHEMA.split(", "))]
+    found = reduce(DataFrame.union, blocks) if blocks else docs.sparkSession.range(0).selectExpr(*none)
     best = F.struct("share", "answer_share", "cosine", (-F.col("at_word")).alias("at"))
     return stored(found, "leak-passages").groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select(
         "doc_id", "item_id", F.col("b.share").alias("lcs_share"), F.col("b.answer_share").alias("answer_share"),

@@ -405,6 +405,17 @@ def test_numbers_are_no_leetspeak():
     assert not READER.features("4 5 5 2 0 2 4")
 
 
+def test_the_search_for_leaks_starts_no_python_workers_for_rows_of_the_driver(spark, monkeypatch):
+    item = " ".join(f"b{i}" for i in range(24))
+    spark.createDataFrame([(1, item), (2, "x")], "doc_id bigint, text string").write.parquet(path := scratch_path(spark, "t"))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    plans, keep = {}, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, label: plans.update(
+        {label: df._jdf.queryExecution().toString()}) or keep(df, label))
+    assert decontaminate.leaks(spark.read.parquet(path), bench).count() == 1
+    assert "MapInPandas" in plans["leak-passages"] and "ExistingRDD" not in plans["leak-passages"]
+
+
 def test_decontamination(spark):
     draw = np.random.default_rng(6)
     words = [f"wort{i}" for i in range(400)]
