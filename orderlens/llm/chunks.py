@@ -9,6 +9,9 @@ that are met again move over, so that frequent chunks stay and rare ones go.
 Texts are cut and their distinct chunks are found in Arrow, so that the table is asked once for
 each distinct chunk of a group of texts, and ids are gathered at once.
 
+Signs at the end of a word are looked up apart from it, and words of ASCII in small letters where
+the tokenizer makes them small, so that a word is encoded once however it is written.
+
 A chunk is kept under a key: where white space is part of the tokens, the key of a word behind
 a single space is the word alone, so that texts are cut at their spaces and line breaks.
 """
@@ -20,6 +23,7 @@ import re
 import sys
 import types
 from collections.abc import Iterable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
@@ -114,6 +118,13 @@ def _texts(pool: np.ndarray, size: np.ndarray, word: np.ndarray, words: np.ndarr
     return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
+def _cut_before(keys: pa.LargeStringArray, last: np.ndarray) -> pa.LargeStringArray:
+    """Each string in two, the second one of so many of its last bytes."""
+    start = np.frombuffer(keys.buffers()[1], dtype=np.int64)[keys.offset:keys.offset + len(keys) + 1]
+    ends = np.append(np.stack([start[:-1], start[1:] - last], axis=1).ravel(), start[-1])
+    return pa.LargeStringArray.from_buffers(2 * len(keys), pa.py_buffer(ends), keys.buffers()[2])
+
+
 def spaced_chunk(key: str) -> str:
     return key[1:] if key[0] == BARE else key if key[0].isspace() else " " + key
 
@@ -132,12 +143,15 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tails: dict[str, str | bool] = {}
+        self.tails: dict[str, bool] = {}
         # the last id: a vocabulary may put a mark for the start of a text before it
         self.between = np.frombuffer(self.whole(BETWEEN), dtype="<u4")[-1]
         # the line break that regular texts are given in front
         self.line = self.whole("\n")
         self.spaces = spaces
+        # whether the tokenizer makes the letters of ASCII small
+        normal = self.tokenizer.normalizer
+        self.folds = bool(normal) and normal.normalize_str(ascii_uppercase) == normal.normalize_str(ascii_lowercase)
         self.chunk = spaced_chunk if spaces else str
 
     @classmethod
@@ -153,35 +167,6 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _tail(self, key: str) -> str:
-        """The signs at the end of a chunk, if they are tokens of their own; else nothing.  They are not
-        where lower-casing or normalisation leaves a mark behind the letter before them."""
-        stem = key.rstrip(SIGNS)
-        if not stem or not 0 < len(key) - len(stem) <= LONGEST_TAIL or not stem[-1].isalnum():
-            return ""
-        ends = key[len(stem) - 1:]
-        tail = self.tails.get(ends)
-        if tail is None:
-            if len(self.tails) >= KEPT_TAILS:
-                self.tails.clear()
-            apart = self.whole(ends) == self.whole(ends[0]) + self.whole(ends[1:])
-            tail = self.tails[ends] = ends[1:] if apart else ""
-        return tail
-
-    def _encode_new(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not in the table; where signs at the end stand apart, those of what is before them."""
-        if self.spaces:
-            return self._encode_apart(list(keys))
-        tail = {k: t for k in keys if (t := self._tail(k))}
-        stem = {k: k[:-len(t)] for k, t in tail.items()}
-        signs = {t: self.whole(t) for t in set(tail.values())}
-        known = {s: self._known(s) for s in set(stem.values())}
-        got = self._encode_apart(list({s for s, ids in known.items() if ids is None} | (keys - stem.keys())))
-        for k, s in stem.items():
-            ids = known[s]
-            got[k] = (got[s] if ids is None else ids) + signs[tail[k]]
-        return got
-
     def _encode_apart(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of some chunks in one call.
 
@@ -224,14 +209,6 @@ class ChunkEncoder:
         at = (4 * np.searchsorted(word, np.arange(len(keys) + 1))).tolist()
         return {k: ids[a:b] for k, a, b in zip(keys, at, at[1:])}
 
-    def _known(self, key: str) -> bytes | None:
-        ids = self.young.get(key)
-        if ids is None:
-            ids = self.old.get(key)
-            if ids is not None:
-                self.young[key] = ids
-        return ids
-
     def encode(self, texts) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
@@ -257,7 +234,10 @@ class ChunkEncoder:
         if not self.spaces:
             cut = pc.utf8_split_whitespace(whole)
             coded = cut.flatten().dictionary_encode()
-            pool, size = _pooled(self._ids_of(_strings(coded.dictionary)))
+            keys = coded.dictionary
+            if self.folds:  # beyond ASCII a mark may join a small letter that does not join the capital
+                keys = pc.if_else(pc.string_is_ascii(keys), pc.ascii_lower(keys), keys)
+            pool, size = self._word_ids(keys)
             return _texts(pool, size, coded.indices.to_numpy(), pc.list_value_length(cut).to_numpy())
         # a line break stands before every text and begins a word, as other ones do
         front, nothing = pa.scalar("\n", whole.type), pa.scalar("", whole.type)
@@ -283,44 +263,54 @@ class ChunkEncoder:
 
     def _word_ids(self, keys: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct chunks end to end, and how many each has; signs at the end of a word are
-        looked up apart from the word, so that it is encoded once whatever follows it."""
+        looked up apart from the word."""
         stem = pc.utf8_rtrim(keys, SIGNS)
-        last = pc.utf8_slice_codeunits(stem, -1).dictionary_encode()
+        last = pc.utf8_slice_codeunits(stem, -1)
+        signs = pc.binary_length(keys).to_numpy() - pc.binary_length(stem).to_numpy()
+        if not self.spaces:  # the signs matter too
+            behind = _cut_before(keys, signs).take(pa.array(np.arange(1, 2 * len(keys), 2)))
+            last = pc.binary_join_element_wise(last, behind, pa.scalar("", keys.type))
+        last = last.dictionary_encode()
         apart = np.array([self._stands_apart(c) for c in _strings(last.dictionary)], dtype=bool)[last.indices.to_numpy()]
-        start = np.frombuffer(keys.buffers()[1], dtype=np.int64)[keys.offset:keys.offset + len(keys) + 1]
-        cut = start[1:] - np.where(apart, (pc.binary_length(keys).to_numpy() - pc.binary_length(stem).to_numpy()), 0)
-        # every second string is what follows the cut
-        ends = np.append(np.stack([start[:-1], cut], axis=1).ravel(), start[-1])
-        parts = pa.LargeStringArray.from_buffers(2 * len(keys), pa.py_buffer(ends), keys.buffers()[2])
-        coded = parts.dictionary_encode()
+        coded = _cut_before(keys, np.where(apart, signs, 0)).dictionary_encode()
         part, names = coded.indices.to_numpy().copy(), _strings(coded.dictionary)
         stems, part[::2] = _used(part[::2], len(names))
         tails, part[1::2] = _used(part[1::2], len(names))
         part[1::2] += len(stems)
-        ids = self._ids_of([names[i] for i in stems] + [BARE + names[i] for i in tails if names[i]])
+        front = BARE if self.spaces else ""
+        ids = self._ids_of([names[i] for i in stems] + [front + names[i] for i in tails if names[i]])
         for at, i in enumerate(tails):
             if not names[i]:  # no signs
                 ids.insert(len(stems) + at, b"")
         pool, size = _pooled(ids)
         return _gathered(pool, size, part), size[part].reshape(-1, 2).sum(axis=1)
 
-    def _stands_apart(self, c: str) -> bool:
-        """Whether signs behind this letter never share a token with it."""
-        apart = self.tails.get(c)
+    def _stands_apart(self, end: str) -> bool:
+        """Whether signs behind this letter never share a token with it; where white space is dropped, whether
+        those given with it don't.  They do where lower-casing or normalisation leaves a mark behind the letter."""
+        apart = self.tails.get(end)
         if apart is None:
-            cut = self.tokenizer.pre_tokenizer
-            apart = self.tails[c] = bool(c and not c.isspace() and cut and len(cut.pre_tokenize_str(c + ".")) == 2)
+            if self.spaces:
+                cut = self.tokenizer.pre_tokenizer
+                apart = bool(end and not end.isspace() and cut and len(cut.pre_tokenize_str(end + ".")) == 2)
+            elif 1 < len(end) <= LONGEST_TAIL + 1 and end[0].isalnum():
+                apart = self.whole(end) == self.whole(end[0]) + self.whole(end[1:])
+            else:
+                return False
+            if len(self.tails) >= KEPT_TAILS:
+                self.tails.clear()
+            self.tails[end] = apart
         return apart
 
     def _ids_of(self, keys: list[str]) -> list[bytes]:
-        """The ids of distinct words, in their order."""
+        """The ids of words, in their order."""
         found = list(map(self.young.get, keys))
         gaps = [j for j, ids in enumerate(found) if ids is None]
         older = list(map(self.old.get, [keys[j] for j in gaps]))
         self.young.update({keys[j]: ids for j, ids in zip(gaps, older) if ids is not None})
         new = {keys[j] for j, ids in zip(gaps, older) if ids is None}
         if new:
-            self.young.update(self._encode_new(new))
+            self.young.update(self._encode_apart(list(new)))
         for j in gaps:
             found[j] = self.young[keys[j]]
         self._turn()

@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,7 +72,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     dtype = "<u2" if max(vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
     data = train_dictionary(docs, vocabulary, end_id, dtype)
     name = dictionary_hash(data)
-    spark.createDataFrame([(name, bytearray(data), dtype)], "hash string, data binary, dtype string") \
+    # as an Arrow table: a list of rows would start Python workers of its own
+    spark.createDataFrame(pa.table({"hash": [name], "data": [data], "dtype": [dtype]})) \
         .coalesce(1).write.parquet(f"{path}/dictionary")
 
     def encode(batches):

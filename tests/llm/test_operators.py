@@ -92,6 +92,23 @@ def test_a_word_is_encoded_once_whatever_signs_follow(monkeypatch):
     assert asked == []
 
 
+def test_a_word_is_encoded_once_in_capital_or_small_letters_and_whatever_signs_follow(monkeypatch):
+    encoder, asked = chunks.ChunkEncoder(WORDS, False), []
+    encode = encoder._encode_apart
+    monkeypatch.setattr(encoder, "_encode_apart", lambda keys: asked.extend(keys) or encode(keys))
+    for text in ("One alpha, beta.", "one BETA, Alpha. beta alpha"):
+        asked.clear()
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole_ids(WORDS, text, 0)[:-1]
+    assert asked == []
+
+
+def test_capitals_before_marks_keep_their_ids():
+    # a small j and a caron are one character, a capital one and a caron are two
+    texts = ["J\u030c", "j\u030c", "J\u030c.", "TH\u0331, Y\u030a W\u030a. T\u0308", "I\u0307. \u0130. i\u0307) \u0130)", "\u212a K k."]
+    got = chunks.ChunkEncoder(WORDS, False).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole_ids(WORDS, t, 0)[:-1] for t in texts]
+
+
 def test_texts_with_white_space_at_their_ends_among_regular_ones():
     texts = ["a b,\nc", " a", "\u3000\tb c", "a \n b", "a\tb c", "a \tb", "c\n", "\nc", "a  b", "a\n\nb", "x\xa0 y", "a b,\nc"]
     got = chunks.ChunkEncoder(BYTES, True).encode(texts)
