@@ -2,13 +2,16 @@
 
 Both ways write to the shared folder named by ``spark.checkpoint.dir`` so that a
 lost executor costs a re-read, never a rebuild.  Only a local master (tests,
-notebooks) may leave it unset.
+notebooks) may leave it unset.  ``passing_stages`` removes what a finished step staged.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,10 +75,47 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for paths in _passing.__dict__.get("paths", ())[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The stages of the blocks a thread is in, by ``passing_stages``.
+_passing = threading.local()
+
+
+@contextmanager
+def passing_stages(spark: SparkSession) -> Iterator[None]:
+    """Stages that are written inside are removed at the end, and so are shuffle files that no
+    query reads any more.  For work whose results are stored elsewhere before the block ends.
+    """
+    stack = _passing.__dict__.setdefault("paths", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            remove(spark, path)
+        release_shuffles(spark)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of queries that are over.
+
+    Its cleaner follows the driver's garbage collector, which by itself may run every half an
+    hour, while a job that rewrites tables batch by batch leaves files behind with each batch.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing is read from any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint that keeps partition order (needed for global ranks)."""
     shared_dir(df.sparkSession)

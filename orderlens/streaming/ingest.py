@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +20,7 @@ from orderlens.operators.features import feature_table
 from orderlens.operators.order_level import build_order_level
 from orderlens.operators.quantiles import with_global_rank
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE
-from orderlens.session import staged
+from orderlens.session import passing_stages, release_shuffles, staged
 from orderlens.sources import snapshots
 from orderlens.sources.writers import key_part, merge_rows, period_part, read_upserted, upsert_table
 
@@ -28,8 +28,10 @@ DEFAULT_BATCH_SIZE = 2000
 #: Cells of time that are counted at once, and rows that one task may put in order.
 TIME_CELLS, SMALL_CELL = 4_096, 100_000
 ORDER_CHILDREN = ("items", "payments", "reviews")
-#: Children are cut to the changed orders up to this share of all orders.
+#: Children are cut to exactly the changed orders up to this share of all orders.
 CUT_SHARE = 0.25
+#: Size of a filter of many changed orders: bits for each, the most in all (8 MB), words in a row.
+FILTER_BITS, MOST_BITS, FILTER_WORDS = 16, 1 << 26, 256
 
 
 @dataclass(frozen=True)
@@ -166,12 +168,19 @@ def restrict(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFram
     The id list is staged, so its real size decides whether the big child tables
     are filtered by broadcast, without shuffling them, or by a shuffle join.  The build joins
     what is rolled up to the orders that are left, so for a large share of the orders the
-    children stay as they are: cutting them would shuffle every raw line once more.
+    children need not be cut exactly, which would shuffle every raw line once more: a filter
+    of the ids drops most lines of other orders where they are read.
     """
     ids = staged(ids, "changed-orders")
     cut = dict(tables)
     cut["orders"] = tables["orders"].join(ids, "order_id", "left_semi")
-    if ids.count() > CUT_SHARE * tables["orders"].count():
+    changed = ids.count()
+    if changed > CUT_SHARE * tables["orders"].count():
+        among = key_filter(ids, changed)
+        for name in ORDER_CHILDREN:
+            # other types hash otherwise
+            if tables[name].schema["order_id"].dataType == ids.schema["order_id"].dataType:
+                cut[name] = tables[name].where(among)
         return cut
     for name in ORDER_CHILDREN:
         cut[name] = tables[name].join(ids, "order_id", "left_semi")
@@ -180,21 +189,47 @@ def restrict(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFram
     return cut
 
 
+def key_filter(ids: DataFrame, n: int, key: str = "order_id") -> Column:
+    """Whether a row's key may be among ``n`` ids: true for each of them and for few others.
+
+    The ids set bits of a table of bounded size, at most ``MOST_BITS``.  It is staged as one row
+    and enters as a scalar, so the rows that are tested stay where they are.
+    """
+    size = min(MOST_BITS, max(64 * FILTER_WORDS, 1 << (FILTER_BITS * n - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(size))
+    word, bit = F.floor(slot / 64).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")
+    unset = ids.sparkSession.range(size // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = (
+        ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits"))
+        .unionByName(unset).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        .groupBy(F.floor(F.col("word") / FILTER_WORDS).alias("line"))
+        .agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("line_bits"))
+        .agg(F.array_sort(F.collect_list(F.struct("line", "line_bits")))["line_bits"].alias("table"))
+    )
+    table = staged(words, "changed-bits").scalar()
+    own = F.get(F.get(table, F.floor(word / FILTER_WORDS).cast("int")), F.pmod(word, F.lit(FILTER_WORDS)).cast("int"))
+    return F.getbit(own, bit) == 1
+
+
 def ingest_orders(
     tables: dict[str, DataFrame], ids: DataFrame, root: str, period: str = "yyyy-MM",
     batch: tuple[str, int] | None = None,
 ) -> dict[str, int]:
     """Rebuild the given orders and upsert both gold tables; returns their row counts.
 
-    ``batch`` names the stream and its batch, which a table takes once.
+    ``batch`` names the stream and its batch, which a table takes once.  Stages and shuffle files
+    go as soon as the tables have the rows, so a long row of batches needs the disk of one.
     """
-    level = staged(build_order_level(restrict(tables, ids)), "slice")
-    features = feature_table(level, "order_purchase_timestamp")
-    part = period_part(pattern=period)
-    return {
-        ORDERS_TABLE: upsert_table(level, f"{root}/{ORDERS_TABLE}", part=part, batch=batch),
-        FEATURES_TABLE: upsert_table(features, f"{root}/{FEATURES_TABLE}", part=part, batch=batch),
-    }
+    spark, part = ids.sparkSession, period_part(pattern=period)
+    with passing_stages(spark):
+        level = staged(build_order_level(restrict(tables, ids)), "slice")
+        release_shuffles(spark)
+        features = feature_table(level, "order_purchase_timestamp")
+        counts = {}
+        for name, rows in ((ORDERS_TABLE, level), (FEATURES_TABLE, features)):
+            with passing_stages(spark):
+                counts[name] = upsert_table(rows, f"{root}/{name}", part=part, batch=batch)
+        return counts
 
 
 def run_increment(
@@ -234,11 +269,13 @@ def load_batch(
     paths = [arrivals_path(root, name), f"{root}/{ORDERS_TABLE}", f"{root}/{FEATURES_TABLE}"]
     if all(s is not None and s.has(batch) for s in (snapshots.load(spark, p) for p in paths)):
         return False
-    rows = staged(rows, "arrivals")
-    if rows.isEmpty():
-        return False
-    upsert_table(rows, paths[0], part=key_part(), batch=batch)
-    ingest_orders(with_arrivals(spark, tables, root), changed_orders(rows), root, period, batch)
+    with passing_stages(spark):
+        rows = staged(rows, "arrivals")
+        if rows.isEmpty():
+            return False
+        with passing_stages(spark):
+            upsert_table(rows, paths[0], part=key_part(), batch=batch)
+        ingest_orders(with_arrivals(spark, tables, root), changed_orders(rows), root, period, batch)
     return True
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nine_tables import tables
+from orderlens import session
 from orderlens.operators.order_level import build_order_level
 from orderlens.plans import build
 from orderlens.schemas import FEATURES_TABLE, ORDERS_TABLE, RAW_FILES
@@ -356,3 +357,55 @@ def test_queue_export_quotes_everything(spark, tmp_path):
         '"a","high","high","0.900","high","0.600","","odd ""name""",'
         '"Expedite shipping + notify the customer",'
         '"Zendesk / Gorgias | Gmail / Outlook | Google Sheets | Slack"')
+
+
+def scratch_folders(spark):
+    fs, at = snapshots.files(spark, session.shared_dir(spark))
+    return {s.getPath().getName() for s in fs.listStatus(at(session.shared_dir(spark)))}
+
+
+def test_batches_leave_no_stages(spark, tmp_path):
+    t, root = tables(spark), str(tmp_path / "gold")
+    early = {**t, "orders": t["orders"].where("false")}
+    before = scratch_folders(spark)
+    assert ingest.load_batch(t["orders"].where("order_id < 'o4'"), "orders", early, root, ("s", 0))
+    assert ingest.load_batch(t["orders"].where("order_id >= 'o3'"), "orders", early, root, ("s", 1))
+    assert scratch_folders(spark) == before
+    want = build_order_level(t).drop("customer_seller_distance_km")
+    assert same_rows(want, writers.read_upserted(spark, f"{root}/{ORDERS_TABLE}"))
+    before = scratch_folders(spark)
+    with pytest.raises(RuntimeError):
+        with session.passing_stages(spark):
+            kept = session.staged(spark.range(3), "kept")
+            with session.passing_stages(spark):
+                session.staged(spark.range(3), "inner")
+            assert len(scratch_folders(spark) - before) == 1 and kept.count() == 3
+            raise RuntimeError
+    assert scratch_folders(spark) == before
+
+
+@pytest.mark.parametrize("prefix", ["", "o"])
+def test_children_of_other_orders_are_dropped_where_they_are_read(spark, prefix):
+    key = F.col("id") if not prefix else F.concat(F.lit(prefix), "id")
+    rows = spark.range(20_000).select(key.alias("order_id"), F.col("id").alias("n"))
+    lines = rows.unionByName(rows).unionByName(rows.limit(1).select(F.lit(None).alias("order_id"), "n"))
+    known = {"orders": rows, "items": lines, "payments": lines, "reviews": lines, "customers": rows}
+    ids = rows.where("n % 2 = 0").select("order_id")
+    cut = ingest.restrict(known, ids)
+    assert cut["orders"].count() == 10_000
+    for name in ingest.ORDER_CHILDREN:
+        assert cut[name].join(ids, "order_id", "left_semi").count() == 20_000
+        assert cut[name].count() < 23_000
+    # keys that would hash differently are left to the join
+    if prefix:
+        other = {**known, "items": lines.withColumn("order_id", F.col("order_id").cast("binary"))}
+        assert ingest.restrict(other, ids)["items"].count() == 40_001
+
+
+def test_key_filter_of_few_and_of_no_keys(spark, monkeypatch):
+    rows = spark.range(2_000).select(F.col("id").alias("order_id"))
+    for n in (0, 1, 5):
+        assert rows.where(ingest.key_filter(rows.limit(n), n)).join(rows.limit(n), "order_id", "left_anti").count() < 100
+        assert rows.limit(n).where(ingest.key_filter(rows.limit(n), n)).count() == n
+    monkeypatch.setattr(ingest, "MOST_BITS", 1 << 14)  # a full table of bits lets more rows pass, and loses none
+    assert rows.where(ingest.key_filter(rows, 2_000)).count() == 2_000
